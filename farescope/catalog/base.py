@@ -35,11 +35,15 @@ class Context:
 
     @cached_property
     def offers(self) -> DataFrame:
-        return fixtures.offers_from(self.wide)
+        return fixtures.offers(self.spark, self.sf_dir)
 
     @cached_property
     def meta(self) -> DataFrame:
-        return fixtures.meta_from(self.wide)
+        return fixtures.offer_meta(self.spark, self.sf_dir)
+
+    def meta_with(self, names: str) -> DataFrame:
+        """Side-car limited to some columns."""
+        return fixtures.offer_meta(self.spark, self.sf_dir, ["meta_id", "offer_id", *names.split()])
 
     @cached_property
     def daily(self) -> DataFrame:
@@ -102,6 +106,11 @@ def _digits(kind: str) -> int:
     return int(kind[1:]) if len(kind) > 1 else 6
 
 
+def _nudge(kind: str) -> float:
+    """Far below the last digit, so that both engines round an exact tie the same way."""
+    return 0.017 / 10 ** _digits(kind)
+
+
 def _spark_value(value: Column, kind: str) -> Column:
     if kind == "s":
         return value.cast("string")
@@ -115,7 +124,7 @@ def _spark_value(value: Column, kind: str) -> Column:
         return F.date_format(value, "yyyy-MM-dd")
     if kind == "a":
         return F.array_join(value, "|")
-    return F.round(value.cast("double"), _digits(kind)) + F.lit(0.0)
+    return F.round(value.cast("double") + F.lit(_nudge(kind)), _digits(kind)) + F.lit(0.0)
 
 
 def _duck_value(name: str, kind: str) -> str:
@@ -131,7 +140,7 @@ def _duck_value(name: str, kind: str) -> str:
         return f"strftime({name}, '%Y-%m-%d')"
     if kind == "a":
         return f"array_to_string({name}, '|')"
-    return f"round(CAST({name} AS DOUBLE), {_digits(kind)}) + 0.0"
+    return f"round(CAST({name} AS DOUBLE) + {_nudge(kind):.12f}, {_digits(kind)}) + 0.0"
 
 
 def sql(body: str, needs: str = "offers", ctes: str = "") -> str:

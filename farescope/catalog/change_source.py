@@ -14,7 +14,7 @@ def state_rows(ctx) -> DataFrame:
     """Offers with the side-car fields whose changes are tracked."""
     from farescope.sources import offers_with_latest_meta
 
-    meta = ctx.meta.select("offer_id", "meta_id", "arrival", "tax_amount", "soldout", "aircraft", "booking_class")
+    meta = ctx.meta_with("arrival tax_amount soldout aircraft booking_class")
     return offers_with_latest_meta(ctx.offers, meta).drop("meta_id")
 
 

@@ -2,3 +2,4 @@
 
 from farescope.catalog import q_cycles  # noqa: F401
 from farescope.catalog import q_diff  # noqa: F401
+from farescope.catalog import q_rollups  # noqa: F401

@@ -135,12 +135,26 @@ def _expressions(dialect: str) -> dict[str, str]:
 _SELECTORS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"]
 
 
+_PLANS: dict[tuple, DataFrame] = {}
+
+
+def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """Analysed (not computed) input tables, kept per session to save repeated analysis."""
+    full = (spark.sparkContext.applicationId, id(spark._jsparkSession), *key)
+    if full not in _PLANS:
+        _PLANS[full] = build()
+    return _PLANS[full]
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return _plan(spark, (sf_dir, name), lambda: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per line item, with every offer and side-car column."""
+def _joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plan(spark, (sf_dir, "joined"), lambda: _join_tables(spark, sf_dir))
+
+
+def _join_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     lineitem = read_table(spark, sf_dir, "lineitem")
     orders = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
     nation = read_table(spark, sf_dir, "nation")
@@ -154,12 +168,11 @@ def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         .select("s_suppkey", F.col("n_regionkey").alias("o_regionkey"))
     )
-    joined = (
+    return (
         lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(customer, F.col("o_custkey") == F.col("c_custkey"))
         .join(supplier, F.col("l_suppkey") == F.col("s_suppkey"))
     )
-    return joined.selectExpr(*[f"{e} AS {n}" for n, e in _expressions("spark").items()], *_SELECTORS)
 
 
 def capture_times(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,20 +181,40 @@ def capture_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "lineitem").selectExpr(*[f"{exprs[n]} AS {n}" for n in ("cycle_id", "captured_at")])
 
 
-def offers_from(wide: DataFrame) -> DataFrame:
-    return wide.select(*OFFER_COLUMNS)
+def offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One offer per line item."""
+    exprs = _expressions("spark")
+    return _plan(spark, (sf_dir, "offers"), lambda: _joined(spark, sf_dir).selectExpr(
+        *[f"{exprs[n]} AS {n}" for n in OFFER_COLUMNS]))
+
+
+def offers_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per line item, with every offer and side-car column."""
+    exprs = _expressions("spark")
+    return _joined(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in exprs.items()], *_SELECTORS)
 
 
-def meta_from(wide: DataFrame) -> DataFrame:
+def offer_meta(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
     """Side-car rows: most offers have one, some none, some a second and newer one."""
-    first = wide.where("l_partkey % 17 <> 0").withColumn("meta_id", F.expr("concat(offer_id, '#1')"))
-    second = (
-        wide.where("l_partkey % 17 <> 0 AND l_partkey % 5 = 1")
-        .withColumn("meta_id", F.expr("concat(offer_id, '#2')"))
-        .withColumn("tax_amount", F.expr("CAST(tax_amount + 10 AS DECIMAL(12,2))"))
-        .withColumn("soldout", F.expr("l_quantity <= 3"))
-    )
-    return first.select(*META_COLUMNS).unionByName(second.select(*META_COLUMNS))
+    names = tuple(columns or META_COLUMNS)
+    return _plan(spark, (sf_dir, "meta", names), lambda: _build_meta(spark, sf_dir, list(names)))
+
+
+def _build_meta(spark: SparkSession, sf_dir: str, names: list[str]) -> DataFrame:
+    exprs = _expressions("spark")
+    second = {
+        "tax_amount": f"CASE WHEN meta_no = 2 THEN CAST({{x}} + 10 AS DECIMAL(12,2)) ELSE {{x}} END",
+        "soldout": "CASE WHEN meta_no = 2 THEN l_quantity <= 3 ELSE {x} END",
+    }
+    rows = _joined(spark, sf_dir).where("l_partkey % 17 <> 0").selectExpr(
+        "*", "explode(CASE WHEN l_partkey % 5 = 1 THEN array(1, 2) ELSE array(1) END) AS meta_no")
+    out = []
+    for n in names:
+        if n == "meta_id":
+            out.append(f"concat({exprs['offer_id']}, '#', meta_no) AS meta_id")
+        else:
+            out.append(f"{second.get(n, '{x}').format(x='(' + exprs[n] + ')') if n in second else exprs[n]} AS {n}")
+    return rows.selectExpr(*out)
 
 
 def daily_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -77,28 +77,32 @@ def blank_to_null(value: Column) -> Column:
     return F.when(text != "", text)
 
 
-def number_of(value: Column, data_type: str) -> Column:
-    """Numeric reading of a typed column: numbers and booleans as they are, text when it parses."""
-    if data_type in ("string",):
-        plain = value.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$")
-        return F.when(plain, F.trim(value).try_cast("double"))
+def number_sql(x: str, data_type: str) -> str:
+    """SQL text of the numeric reading of a column: numbers and booleans as they are, text when it parses."""
+    if data_type == "string":
+        plain = r"^\\s*[+-]?(\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?\\s*$"
+        return f"CASE WHEN {x} RLIKE '{plain}' THEN try_cast(trim({x}) AS double) END"
     if data_type == "boolean":
-        return value.cast("int").cast("double")
+        return f"CAST(CAST({x} AS int) AS double)"
     if data_type.startswith(("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")):
-        return value.cast("double")
-    return F.lit(None).cast("double")
+        return f"CAST({x} AS double)"
+    return "CAST(NULL AS double)"
 
 
-def json_text(value: Column, data_type: str) -> Column:
-    """JSON scalar of a typed column, NULL for NULL. Money becomes a JSON double, times ISO text."""
+def json_sql(x: str, data_type: str) -> str:
+    """SQL text of a JSON scalar, NULL for NULL. Money becomes a JSON double, times ISO text."""
     if data_type.startswith("timestamp"):
-        value = F.date_format(value, "yyyy-MM-dd'T'HH:mm:ss")
+        x = f"date_format({x}, \"yyyy-MM-dd'T'HH:mm:ss\")"
     elif data_type == "date":
-        value = F.date_format(value, "yyyy-MM-dd")
+        x = f"date_format({x}, 'yyyy-MM-dd')"
     elif data_type.startswith("decimal"):
-        value = value.cast("double")
-    wrapped = F.to_json(F.array(value))
-    return F.when(value.isNotNull(), F.substring(wrapped, F.lit(2), F.length(wrapped) - 2))
+        x = f"CAST({x} AS double)"
+    return f"CASE WHEN {x} IS NOT NULL THEN regexp_replace(to_json(array({x})), '^\\\\[|\\\\]$', '') END"
+
+
+def numeric_round(value: Column, digits: int) -> Column:
+    """Round a double the way an exact numeric column rounds: binary noise does not decide a tie."""
+    return F.round(value.cast("decimal(38,10)"), digits).cast("double")
 
 
 def dtypes(df: DataFrame) -> dict[str, str]:

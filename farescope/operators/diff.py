@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import DIFF_KEY, all_of, first_rows, json_text, number_of
+from farescope.functions import DIFF_KEY, all_of, first_rows, json_sql, number_sql
 from farescope.operators.cycles import cycle_order
 
 # Columns that identify a stored row and are never reported as a change.
@@ -274,27 +274,24 @@ def _presence(change_type: str, direction: str, before: str, after: str) -> Colu
 
 
 def _field_entry(name: str, p_type: str | None, c_type: str | None) -> Column:
-    old = F.col(f"p.{name}") if p_type else F.lit(None).cast(c_type)
-    new = F.col(f"c.{name}") if c_type else F.lit(None).cast(p_type)
+    """Change of one field as a struct, NULL when nothing changed. SQL text keeps plan building quick."""
+    old = f"p.`{name}`" if p_type else f"CAST(NULL AS {c_type})"
+    new = f"c.`{name}`" if c_type else f"CAST(NULL AS {p_type})"
     p_type, c_type = p_type or c_type, c_type or p_type
-    x, y = number_of(old, p_type), number_of(new, c_type)
-    numeric = x.isNotNull() & y.isNotNull()
-    change_type = (
-        F.when(old.isNull() & new.isNotNull(), "added")
-        .when(old.isNotNull() & new.isNull(), "removed")
-        .when(numeric & (y > x), "increase")
-        .when(numeric & (y < x), "decrease")
-        .when(numeric, "stable")
-        .otherwise("modified")
-    )
-    entry = F.struct(
-        F.lit(_DOMAIN_OF_FIELD.get(name, "field")).alias("domain"),
-        change_type.alias("change_type"),
-        F.when(numeric & (y > x), "up").when(numeric & (y < x), "down").otherwise("none").alias("direction"),
-        F.lit(name).alias("field_name"),
-        json_text(old, p_type).alias("old_value"),
-        json_text(new, c_type).alias("new_value"),
-        F.abs(y - x).alias("magnitude"),
-        (F.try_divide(y - x, x) * 100.0).alias("percent_change"),
-    )
-    return F.when(_both() & ~old.eqNullSafe(new), entry)
+    x, y = number_sql(old, p_type), number_sql(new, c_type)
+    return F.expr(f"""
+        CASE WHEN p IS NOT NULL AND c IS NOT NULL AND NOT ({old} <=> {new}) THEN named_struct(
+          'domain', '{_DOMAIN_OF_FIELD.get(name, "field")}',
+          'change_type', CASE
+            WHEN {old} IS NULL THEN 'added'
+            WHEN {new} IS NULL THEN 'removed'
+            WHEN {y} > {x} THEN 'increase'
+            WHEN {y} < {x} THEN 'decrease'
+            WHEN {y} = {x} THEN 'stable'
+            ELSE 'modified' END,
+          'direction', CASE WHEN {y} > {x} THEN 'up' WHEN {y} < {x} THEN 'down' ELSE 'none' END,
+          'field_name', '{name}',
+          'old_value', {json_sql(old, p_type)},
+          'new_value', {json_sql(new, c_type)},
+          'magnitude', abs({y} - {x}),
+          'percent_change', try_divide({y} - {x}, {x}) * 100.0D) END""")
