@@ -51,10 +51,10 @@ class Context:
 
     @cached_property
     def changes(self) -> DataFrame:
-        """Field-level change events between consecutive cycles."""
-        from farescope.catalog.change_source import change_events
+        """Stored field-level change events between consecutive cycles."""
+        from farescope.catalog.change_source import stored_change_events
 
-        return change_events(self)
+        return stored_change_events(self)
 
     @cached_property
     def cycle_order(self) -> DataFrame:

@@ -4,3 +4,5 @@ from farescope.catalog import q_cycles  # noqa: F401
 from farescope.catalog import q_diff  # noqa: F401
 from farescope.catalog import q_rollups  # noqa: F401
 from farescope.catalog import q_reporting  # noqa: F401
+from farescope.catalog import q_quality  # noqa: F401
+from farescope.catalog import q_market  # noqa: F401

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql
-from farescope.catalog.change_source import STATE_FIELDS, pairs, state_rows
+from farescope.catalog.change_source import STATE_FIELDS, change_events, pairs, state_rows
 from farescope.functions import DIFF_KEY
 from farescope.operators import cycles, diff
 
@@ -17,7 +17,7 @@ _KEYS = "airline:s origin:s destination:s departure:t flight_number:s cabin:s fa
 
 @query("diff_columns", _EVENT, sql("SELECT * FROM changes", needs="changes"))
 def _columns(ctx):
-    return ctx.changes
+    return change_events(ctx)
 
 
 @query("diff_identity_keys", "identity_key:s events:i", sql("""SELECT '["' || concat_ws('","', airline, origin,
