@@ -6,3 +6,5 @@ from farescope.catalog import q_rollups  # noqa: F401
 from farescope.catalog import q_reporting  # noqa: F401
 from farescope.catalog import q_quality  # noqa: F401
 from farescope.catalog import q_market  # noqa: F401
+from farescope.catalog import q_compare  # noqa: F401
+from farescope.catalog import q_monitor  # noqa: F401
