@@ -9,3 +9,4 @@ from farescope.catalog import q_market  # noqa: F401
 from farescope.catalog import q_compare  # noqa: F401
 from farescope.catalog import q_monitor  # noqa: F401
 from farescope.catalog import q_forecast  # noqa: F401
+from farescope.catalog import q_ingest  # noqa: F401
