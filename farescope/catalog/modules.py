@@ -11,3 +11,4 @@ from farescope.catalog import q_monitor  # noqa: F401
 from farescope.catalog import q_forecast  # noqa: F401
 from farescope.catalog import q_ingest  # noqa: F401
 from farescope.catalog import q_plans  # noqa: F401
+from farescope.catalog import q_inventory  # noqa: F401
