@@ -339,27 +339,28 @@ def time_split(df: DataFrame, test_fraction: float = 0.2, time_col: str = "obser
                tie: Sequence[str] | None = None) -> DataFrame:
     """Add ``is_test`` for the newest share of the rows, exactly as many as the share asks for.
 
-    Rows are counted per time first, so only the time at the border has to be divided. That is done by
-    the hash of the tie columns: whole hash ranges are counted and a single range is ranked.
+    Rows are counted per time, so only the time at the border has to be divided. There whole ranges of
+    a hash of the tie columns are counted, and the rows of a single range are ranked. The border comes
+    back as two one-row subqueries.
     """
     rows = df.where(F.col(time_col).isNotNull()).withColumn("__h", F.xxhash64(*(tie or df.columns)))
     rows = rows.withColumn("__slot", F.shiftright(F.col("__h"), 54))
     slots = rows.groupBy(time_col, "__slot").agg(F.count("*").alias("c"))
-    per_time = slots.groupBy(time_col).agg(F.sum("c").alias("c"))
-    before = Window.orderBy(time_col).rowsBetween(Window.unboundedPreceding, -1)
     total = slots.agg(F.sum("c")).scalar()
     train = F.greatest(F.lit(1), total - F.greatest(F.lit(1), F.floor(total * test_fraction)))
-    timed = per_time.withColumns({"start": F.coalesce(F.sum("c").over(before), F.lit(0)), "train": train})
-    timed = timed.select(time_col, (F.col("train") - F.col("start")).alias("left"), F.col("c").alias("size"))
-    in_time = Window.partitionBy(time_col).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
-    border = slots.join(timed.where("left > 0 AND left < size"), time_col).withColumn(
-        "slot_left", F.col("left") - F.coalesce(F.sum("c").over(in_time), F.lit(0))).select(time_col, "__slot", "slot_left", "c")
-    joined = rows.join(F.broadcast(timed), time_col, "left").join(
-        F.broadcast(border.withColumnRenamed("c", "slot_size")), [time_col, "__slot"], "left")
-    inside = (F.col("slot_left") > 0) & (F.col("slot_left") < F.col("slot_size"))
+
+    def border(counts: DataFrame, key: str, want: Column) -> Column:
+        """The first key at which the running count passes ``want``, and how many rows it still gives."""
+        before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+        running = counts.withColumns({"want": want, "start": F.coalesce(F.sum("c").over(before), F.lit(0))})
+        hit = running.where("start <= want AND want < start + c")
+        return hit.agg(F.max(F.struct(F.col(key).alias("at"), (F.col("want") - F.col("start")).alias("left")))).scalar()
+
+    cut = border(slots.groupBy(time_col).agg(F.sum("c").alias("c")), time_col, train)
+    slot = border(slots.where(F.col(time_col) == cut["at"]).groupBy("__slot").agg(F.sum("c").alias("c")), "__slot", cut["left"])
+    divided = F.coalesce((F.col(time_col) == cut["at"]) & (F.col("__slot") == slot["at"]), F.lit(False))
     place = F.row_number().over(Window.partitionBy(time_col, "__slot").orderBy("__h"))
-    ranked = joined.where(F.coalesce(inside, F.lit(False))).withColumn("is_test", place > F.col("slot_left"))
-    simple = joined.where(~F.coalesce(inside, F.lit(False))).withColumn(
-        "is_test", F.when(F.col("left") >= F.col("size"), False).when(F.col("left") <= 0, True)
-        .otherwise(F.col("slot_left") <= 0))
+    ranked = rows.where(divided).withColumn("is_test", place > slot["left"])
+    later = (F.col(time_col) > cut["at"]) | ((F.col(time_col) == cut["at"]) & (F.col("__slot") > slot["at"]))
+    simple = rows.where(~divided).withColumn("is_test", F.coalesce(later, F.lit(False)))
     return ranked.unionByName(simple).select(*df.columns, "is_test")
