@@ -13,3 +13,4 @@ from farescope.catalog import q_ingest  # noqa: F401
 from farescope.catalog import q_plans  # noqa: F401
 from farescope.catalog import q_inventory  # noqa: F401
 from farescope.catalog import q_models  # noqa: F401
+from farescope.catalog import q_streaming  # noqa: F401

@@ -92,21 +92,6 @@ def _best(ctx):
     return models.best_thresholds(models.threshold_sweep(scored), zero)
 
 
-@query("route_model_reports", "route_key:s two_stage_skipped:b beats_zero_rmse:b beats_zero_mae:b route_model_priority:s "
-       "route_model_priority_reason:s")
-def _reports(ctx):
-    rows, features = labelled(ctx)
-    routes = [r[0] for r in rows.groupBy("route_key").count().orderBy(F.col("count").desc(), "route_key").limit(2).collect()]
-    params = models.TwoStageParams(min_move_delta=5000.0, trees=5, max_depth=3)
-    reports = models.route_reports(rows, _fast(features), routes, 0, params)
-    schema = ("route_key string, two_stage_skipped boolean, reason string, sparse_stage_b boolean, folds_total int, best_rmse double, "
-              "zero_rmse double, beats_zero_rmse boolean, best_mae double, zero_mae double, beats_zero_mae boolean, folds_evaluated int, "
-              "sparse_test_folds int, sparse_stage_b_folds int, viable_rmse boolean, viable_mae boolean, any_fold_rmse boolean, any_fold_mae boolean")
-    names = [p.strip().split()[0] for p in schema.split(",")]
-    frame = ctx.spark.createDataFrame([tuple(r.get(n) for n in names) for r in reports], schema)
-    return models.route_priority(frame)
-
-
 _FLAGS = """rep AS (SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS two_stage_skipped, o_orderkey % 2 = 0 AS sparse_stage_b,
   CASE WHEN o_orderkey % 3 <> 0 THEN 4 END AS folds_total, o_orderkey % 5 AS folds_evaluated, o_orderkey % 7 = 1 AS viable_rmse,
   o_orderkey % 4 = 1 AS viable_mae, o_orderkey % 6 < 2 AS any_fold_rmse, o_orderkey % 9 = 2 AS any_fold_mae,
