@@ -185,8 +185,7 @@ def _scan_today(ctx):
   AND destination = 'R2' GROUP BY 1, 2"""))
 def _scan_stored(ctx):
     path = work_dir(ctx.spark, "offers")
-    scans.write_offers(ctx.offers.where("captured_at >= timestamp_ntz'1997-01-01' AND captured_at < timestamp_ntz'1998-01-01'")
-                       .repartition("cycle_id"), path)
+    scans.write_offers(ctx.offers.repartitionByRange("captured_at"), path, by_month=True)
     rows = scans.scan_offers(scans.read_offers(ctx.spark, path), scans.Filters(date(1997, 2, 1), date(1997, 2, 10), destination="R2"))
     return rows.groupBy("airline", "capture_date").agg(F.count("*").alias("offers"), F.sum("price_total").alias("price"))
 

@@ -86,44 +86,33 @@ def latest_two_full(offers: DataFrame, lookback: int = 40, min_rows_floor: int =
     A cycle is complete when every target airline reaches its own row threshold. When fewer
     than two cycles pass, the threshold on whole-cycle rows decides, and after that recency.
     """
-    window = max(lookback, 2, 200)
     counts = offers.groupBy("cycle_id", F.upper("airline").alias("airline")).agg(
         F.count("*").alias("rows"), F.max("captured_at").alias("captured_at")
     )
-    cycles = _by_capture(
-        counts.groupBy("cycle_id").agg(F.max("captured_at").alias("captured_at"), F.sum("rows").alias("rows"))
-    ).limit(window)
-
-    per_airline = counts.select("cycle_id", "airline", "rows").join(
-        cycles.select("cycle_id"), "cycle_id", "left_semi"
-    ).where(F.trim("airline") != "")
-    largest = per_airline.groupBy("airline").agg(F.max("rows").alias("max_rows"))
-    if airlines:
-        wanted = offers.sparkSession.createDataFrame([(a.strip().upper(),) for a in airlines], "airline string")
-        targets = wanted.distinct().join(largest, "airline", "left")
-    else:
-        targets = largest
-    max_rows = F.coalesce(F.col("max_rows"), F.lit(0))
-    targets = targets.select(
-        "airline",
-        F.when(max_rows <= 0, F.lit(1))
-        .otherwise(F.least(max_rows, F.greatest(F.lit(min_rows_floor), F.floor(max_rows * min_full_ratio))))
-        .alias("threshold"),
+    per_cycle = counts.groupBy("cycle_id").agg(
+        F.max("captured_at").alias("captured_at"), F.sum("rows").alias("total"),
+        F.collect_list(F.struct("airline", "rows")).alias("per_airline"),
     )
-    reached = per_airline.join(targets, "airline").where(F.col("rows") >= F.col("threshold"))
-    reached = reached.groupBy("cycle_id").agg(F.count("*").alias("airlines_full"))
-    full = reached.where(
-        (F.col("airlines_full") > 0) & (F.col("airlines_full") == targets.agg(F.count("*")).scalar())
-    ).select("cycle_id", F.lit(1).alias("tier"))
-
-    whole_floor = cycles.agg(
-        F.greatest(F.lit(min_rows_floor), F.floor(F.max("rows") * min_full_ratio))
-    ).scalar()
-    large = cycles.where(F.col("rows") >= whole_floor).select("cycle_id", F.lit(2).alias("tier"))
-    ranked = full.unionByName(large).unionByName(cycles.select("cycle_id", F.lit(3).alias("tier")))
-    usable = ranked.groupBy("tier").count().where("count >= 2").agg(F.min("tier"))
-    chosen = ranked.where(F.col("tier") == usable.scalar()).join(cycles.select("cycle_id", "captured_at"), "cycle_id")
-    return _rank(_by_capture(chosen).limit(2))
+    # From here on there are at most max(lookback, 200) cycles, so windows over all of them are small.
+    recent = _by_capture(per_cycle).limit(max(lookback, 2, 200))
+    wanted = [a.strip().upper() for a in airlines or []]
+    used = F.array_contains(F.array(*[F.lit(a) for a in wanted]), F.col("airline")) if wanted else F.trim("airline") != ""
+    flat = recent.select("cycle_id", "captured_at", "total", F.inline("per_airline")).where(F.col("airline").isNotNull())
+    largest = F.max("rows").over(Window.partitionBy("airline"))
+    threshold = F.least(largest, F.greatest(F.lit(min_rows_floor), F.floor(largest * min_full_ratio)))
+    flat = flat.withColumns({"used": used, "reached": used & (F.col("rows") >= threshold)})
+    everything = Window.partitionBy(F.lit(0))
+    targets = F.lit(len(set(wanted))) if wanted else F.size(F.collect_set(F.when(F.col("used"), F.col("airline"))).over(everything))
+    cycles = flat.withColumn("targets", targets).groupBy("cycle_id", "captured_at", "total", "targets").agg(
+        F.count_if("reached").alias("reached"))
+    floor = F.greatest(F.lit(min_rows_floor), F.floor(F.max("total").over(everything) * min_full_ratio))
+    marked = cycles.withColumns({
+        "full": (F.col("targets") > 0) & (F.col("reached") == F.col("targets")), "large": F.col("total") >= floor,
+    })
+    enough = {n: F.count_if(F.col(n)).over(everything) >= 2 for n in ("full", "large")}
+    chosen = marked.withColumn("tier", F.when(enough["full"], 1).when(enough["large"], 2).otherwise(3))
+    kept = F.when(F.col("tier") == 1, F.col("full")).when(F.col("tier") == 2, F.col("large")).otherwise(True)
+    return _rank(_by_capture(chosen.where(kept).select("cycle_id", "captured_at", "tier")).limit(2))
 
 
 def dominant_mix(offers: DataFrame, meta: DataFrame, cycle_id: str | Column) -> DataFrame:

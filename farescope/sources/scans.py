@@ -53,20 +53,30 @@ def read_offers(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def write_offers(offers: DataFrame, path: str, mode: str = "append") -> None:
-    """Store offers by capture date, sorted by route so that file statistics prune scans."""
-    (
-        offers.withColumn("capture_date", F.to_date("captured_at"))
-        .sortWithinPartitions("capture_date", "airline", "origin", "destination")
-        .write.mode(mode)
-        .partitionBy("capture_date")
-        .parquet(path)
-    )
+def write_offers(offers: DataFrame, path: str, mode: str = "append", by_month: bool = False) -> None:
+    """Store offers by capture date (or month), sorted by route so that file statistics prune scans.
+
+    Months suit long histories with few offers per day; the date stays a column either way.
+    """
+    day = F.to_date("captured_at")
+    rows = offers.withColumn("capture_date", day)
+    folder = "capture_date"
+    if by_month:
+        rows, folder = rows.withColumn("capture_month", F.date_format(day, "yyyy-MM")), "capture_month"
+    rows.sortWithinPartitions(folder, "airline", "origin", "destination").write.mode(mode).partitionBy(folder).parquet(path)
 
 
 def scan_offers(offers: DataFrame, filters: Filters, today: date | None = None) -> DataFrame:
     """Offers under the report filters; date filters hit the partition column where there is one."""
     day = "capture_date"
+    if "capture_month" in offers.columns:
+        start, end = filters.start_date, filters.end_date
+        if not start and not end:
+            start = end = today
+        if start:
+            offers = offers.where(F.col("capture_month") >= f"{start:%Y-%m}")
+        if end:
+            offers = offers.where(F.col("capture_month") <= f"{end:%Y-%m}")
     if day in offers.columns:
         return apply_filters(offers, filters, day, today)
     return apply_filters(offers.withColumn(day, F.to_date("captured_at")), filters, day, today).drop(day)
