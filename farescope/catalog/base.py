@@ -61,7 +61,12 @@ class Context:
         """Cycles in order, read from the capture dates alone."""
         from farescope.operators.cycles import cycle_order
 
-        return cycle_order(fixtures.capture_times(self.spark, self.sf_dir))
+        return cycle_order(self.capture_times)
+
+    @cached_property
+    def capture_times(self) -> DataFrame:
+        """Cycle and capture time of every offer, read from the line items alone."""
+        return fixtures.capture_times(self.spark, self.sf_dir)
 
     @cached_property
     def airports(self) -> DataFrame:

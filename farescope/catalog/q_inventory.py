@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql
+from farescope.functions import bounded_broadcast
 from farescope.operators import cycles, inventory
 from farescope.operators.inventory import FLIGHT_KEY, MARKET_KEY, PROBE_KEY, STATE_KEY
 from farescope.sources import offers_with_meta
@@ -14,8 +15,8 @@ _META = ("tax_amount soldout adt_count chd_count inf_count probe_group_id bookin
 
 def prepared(ctx):
     """Offers with their side-car, all captures of a cycle at the cycle's time."""
-    times = cycles.cycle_times(ctx.offers).withColumnRenamed("captured_at", "t")
-    offers = ctx.offers.join(F.broadcast(times), "cycle_id").withColumn("captured_at", F.col("t")).drop("t")
+    times = cycles.cycle_times(ctx.capture_times).withColumnRenamed("captured_at", "t")
+    offers = ctx.offers.join(bounded_broadcast(times), "cycle_id").withColumn("captured_at", F.col("t")).drop("t")
     return inventory.prepare_rows(offers_with_meta(offers, ctx.meta_with(_META)))
 
 

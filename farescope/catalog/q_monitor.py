@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql
 from farescope.catalog.q_reporting import NEWEST, newest, recent, tax
+from farescope.functions import bounded_broadcast
 from farescope.operators import cycles, monitor, operations
 
 _TOP = f"""toproutes AS (SELECT origin, destination, origin || '-' || destination AS route_key, count(*) AS row_count
@@ -54,8 +55,8 @@ _CELLS = f"{_TOP}, {_CAP}, {_cells(_PG)}"
 
 def _captured(ctx):
     """Offers with the capture time of their cycle, so a cycle is one column of the matrix."""
-    times = cycles.cycle_times(ctx.offers).withColumnRenamed("captured_at", "capture")
-    return ctx.offers.join(F.broadcast(times), "cycle_id")
+    times = cycles.cycle_times(ctx.capture_times).withColumnRenamed("captured_at", "capture")
+    return ctx.offers.join(bounded_broadcast(times), "cycle_id")
 
 
 def cells(ctx, **options):

@@ -287,6 +287,30 @@ def salted_left_join(left: DataFrame, right: DataFrame, keys: Sequence[str], sal
     return salted.join(repeated, [*keys, "__salt"], "left").drop("__salt")
 
 
+def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Exact medians per key, one column per named value.
+
+    Values are counted first, before and after the shuffle, so equal values travel once. The running
+    count then passes one row per distinct value and spills; no group is held in memory.
+    """
+    items = F.array(*[F.struct(F.lit(n).alias("__m"), c.cast("double").alias("__v")) for n, c in values.items()])
+    counts = df.select(*keys, F.inline(items)).where("__v is not null").groupBy(*keys, "__m", "__v").agg(
+        F.count("*").alias("__n"))
+    group = Window.partitionBy(*keys, "__m")
+    ranks = counts.withColumns({
+        "__upto": F.sum("__n").over(group.orderBy("__v").rowsBetween(Window.unboundedPreceding, 0)),
+        "__all": F.sum("__n").over(group),
+    })
+    start = F.col("__upto") - F.col("__n")
+
+    def at(rank: Column, name: str) -> Column:
+        here = (F.col("__m") == name) & (start <= rank) & (rank < F.col("__upto"))
+        return F.max(F.when(here, F.col("__v")))
+
+    low, high = F.floor((F.col("__all") - 1) / 2), F.floor(F.col("__all") / 2)
+    return ranks.groupBy(*keys).agg(*[((at(low, n) + at(high, n)) / 2).alias(n) for n in values])
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a reference table after checking its size; beyond the bound Spark picks the join."""
     if df.limit(max_rows + 1).count() <= max_rows:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import DIFF_KEY, all_of, first_rows, json_sql, number_sql
+from farescope.functions import DIFF_KEY, all_of, bounded_broadcast, first_rows, json_sql, number_sql
 from farescope.operators.cycles import cycle_order
 
 # Columns that identify a stored row and are never reported as a change.
@@ -81,8 +81,8 @@ def pair_consecutive(states: DataFrame, order: DataFrame | None = None, first_as
     """
     if order is None:
         order = cycle_order(states)
-    # One row per cycle.
-    numbered = states.join(F.broadcast(order), "cycle_id")
+    # One row per cycle, checked before it is broadcast.
+    numbered = states.join(bounded_broadcast(order), "cycle_id")
     payload = F.struct(*states.columns)
     w = Window.partitionBy(*DIFF_KEY).orderBy("cycle_no")
     seen = numbered.select(

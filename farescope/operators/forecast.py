@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, ratio
+from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, exact_medians, ratio
 from farescope.operators.rollups import DAILY_KEY
 from farescope.sources import latest_meta
 
@@ -382,32 +382,16 @@ def ml_features(df: DataFrame, target: str, keys: Sequence[str] = SERIES_KEY) ->
 
 
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Exact median per column as (column, median).
-
-    Values are counted first; the running count then passes one row per distinct value.
-    """
-    items = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])
-    counts = df.select(F.inline(items)).where("value is not null and not isnan(value)").groupBy(
-        "column", "value").agg(F.count("*").alias("n"))
-    w = Window.partitionBy("column").orderBy("value")
-    ranks = counts.withColumns({
-        "upto": F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        "total": F.sum("n").over(Window.partitionBy("column")),
-    })
-    low, high = F.floor((F.col("total") - 1) / 2), F.floor(F.col("total") / 2)
-    start = F.col("upto") - F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("upto")), F.col("value")))
-
-    return ranks.groupBy("column").agg(((at(low) + at(high)) / 2).alias("median"))
+    """Exact median per column. One row."""
+    values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    return exact_medians(df.withColumn("__one", F.lit(1)), ["__one"], values).drop("__one")
 
 
 def fill_features(train: DataFrame, frames: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:
     """Fill gaps with the training median, then 0. All given frames get the same fill."""
-    fills = medians(train, columns).agg(F.map_from_entries(F.collect_list(F.struct("column", "median")))).scalar()
-    return [f.withColumns({c: F.coalesce(F.col(c).cast("double"), F.try_element_at(fills, F.lit(c)), F.lit(0.0))
-                           for c in columns}) for f in frames]
+    fills = medians(train, columns).agg(F.struct(*[F.max(c).alias(c) for c in columns])).scalar()
+    return [f.withColumns({c: F.coalesce(F.col(c).cast("double"), fills[c], F.lit(0.0)) for c in columns})
+            for f in frames]
 
 
 def recency_weight(df: DataFrame, keys: Sequence[str] = SERIES_KEY, low: float = 0.5, high: float = 1.0) -> DataFrame:
@@ -518,7 +502,7 @@ def latest_bundle(bundles: DataFrame, facts: DataFrame, needs: str | None = None
     rows = bundles.where(F.col(needs)) if needs else bundles
     newest = rows.orderBy(F.col("bundle_created_at_utc").desc(), F.col("stamp").desc(), F.col("bundle_name").desc())
     head = newest.limit(1).select("bundle_id", *[F.col(c) for c in bundles.columns if c != "bundle_id" and c not in facts.columns])
-    return facts.join(F.broadcast(head), "bundle_id")
+    return facts.join(head, "bundle_id")
 
 
 def leaderboard(evals: DataFrame, metric: str = "mae", ascending: bool = True, n: int | None = None, min_n: int = 0,

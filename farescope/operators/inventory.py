@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import blank_to_null, clip, first_rows, half_even, ratio, route_key
+from farescope.functions import blank_to_null, clip, exact_medians, first_rows, half_even, ratio, route_key
 
 STATE_KEY = ["cycle_id", "probe_group_id", "captured_at", "airline", "origin", "destination", "route_key", "flight_number",
              "departure", "departure_date", "cabin", "adt_count", "chd_count", "inf_count"]
@@ -204,11 +204,13 @@ def gap_profile(states: DataFrame) -> DataFrame:
     profile = reps.groupBy(*MARKET_KEY).agg(
         F.count("*").alias(p + "obs_count"), F.countDistinct("probe_join_id").alias(p + "probe_session_count"),
         *[F.count(g).alias(f"{p}paired_{k.replace('_to', '')}_count") for k, g in gap.items()],
-        *[F.median(g).alias(f"{p}median_gap_{k.replace('_to', '')}") for k, g in gap.items()],
         *[F.avg(g).alias(f"{p}mean_gap_{k.replace('_to', '')}") for k, g in gap.items()],
         rate(gap["1_to_2"] > 1e-9, pair).alias(p + "jump_1_2_rate"), rate(drop, pair).alias(p + "avail_drop_1_2_rate"),
         *[rate(point == n, point.isNotNull()).alias(f"{p}breakpoint{n}_rate") for n in (2, 3, 4)])
 
+    middle = exact_medians(reps, MARKET_KEY, {f"{p}median_gap_{k.replace('_to', '')}": g for k, g in gap.items()})
+    profile = profile.join(middle, MARKET_KEY, "left")
+
     def two(name: str) -> Column:
         return F.coalesce(F.format_string("%.2f", half_even(F.col(p + name), 2)), F.lit("NA"))
 
@@ -326,10 +328,10 @@ def probe_summary(flights: DataFrame, raw_rows: DataFrame | None = None, by: Seq
         F.count_if(pair[(1, 2)] & (gap == 0)).alias("stable_price_1_to_2_count"),
         F.count_if(drop).alias("availability_drop_1_to_2_count"),
         (ratio(F.count_if(drop), F.count_if(both)) * 100.0).alias("availability_drop_1_to_2_pct_of_pairs"),
-        *[f(F.col(f"fare_gap_{k}")).alias(f"{m}_fare_gap_{k}") for k in ("1_to_2", "1_to_3", "2_to_3")
-          for m, f in (("median", F.median), ("mean", F.avg))],
-        F.median("fare_gap_1_to_2_pct").alias("median_fare_gap_1_to_2_pct"),
+        *[F.avg(f"fare_gap_{k}").alias(f"mean_fare_gap_{k}") for k in ("1_to_2", "1_to_3", "2_to_3")],
         *[F.count_if(F.col("party_breakpoint_est") == k).alias(f"breakpoint_{k}_count") for k in (2, 3, 4)])
+    middle = {f"median_fare_gap_{k}": F.col(f"fare_gap_{k}") for k in ("1_to_2", "1_to_3", "2_to_3", "1_to_2_pct")}
+    out = out.join(exact_medians(flights, by, middle), list(by), "left")
     if raw_rows is None:
         return out
     return out.join(raw_rows.groupBy(*by).agg(F.count("*").alias("dataset_rows_raw")), list(by), "left")

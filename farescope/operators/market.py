@@ -117,7 +117,7 @@ def ranked_history(offers: DataFrame, cycles: DataFrame) -> DataFrame:
     """
     last = cycles.agg(F.max("position")).scalar()
     ranks = cycles.select("cycle_id", (last - F.col("position") + 1).alias("scrape_rank"))
-    return offers.join(F.broadcast(ranks), "cycle_id")
+    return offers.join(ranks, "cycle_id")
 
 
 def trend(history: DataFrame, order_col: str = "captured_at") -> DataFrame:

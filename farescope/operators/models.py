@@ -17,7 +17,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, ratio
+from farescope.functions import SERIES_KEY, exact_medians, ratio
 from farescope.operators.forecast import clip_predictions, recency_weight, robust_bounds
 from farescope.operators.inventory import time_split
 from farescope.session import work_dir
@@ -104,28 +104,13 @@ def _confusion(scored: DataFrame) -> DataFrame:
                                     F.avg(recall).alias("balanced_accuracy"), F.avg(f1).alias("macro_f1"))
 
 
-def exact_median(df: DataFrame, keys: Sequence[str], value: Column) -> DataFrame:
-    """Exact median per key from value counts; the running count passes one row per distinct value."""
-    counts = df.select(*keys, value.alias("v")).where("v is not null").groupBy(*keys, "v").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys)
-    ranks = counts.withColumns({"upto": F.sum("n").over(w.orderBy("v").rowsBetween(Window.unboundedPreceding, 0)),
-                                "total": F.sum("n").over(w)})
-    start = F.col("upto") - F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("upto")), F.col("v")))
-
-    return ranks.groupBy(*keys).agg(
-        ((at(F.floor((F.col("total") - 1) / 2)) + at(F.floor(F.col("total") / 2))) / 2).alias("median"))
-
-
 def regression_metrics(scored: DataFrame, keys: Sequence[str] = ("model",)) -> DataFrame:
     """MAE, RMSE, median error and R2 of (y, predicted) per model."""
     err = F.col("y") - F.col("predicted")
     base = scored.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (1 - F.try_divide(F.sum(err * err), F.nullif(F.var_pop("y") * F.count("*"), F.lit(0.0)))).alias("r2"))
-    return base.join(exact_median(scored, keys, F.abs(err)).withColumnRenamed("median", "median_ae"), list(keys))
+    return base.join(exact_medians(scored, keys, {"median_ae": F.abs(err)}), list(keys))
 
 
 def _split(states: DataFrame, fraction: float, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +168,7 @@ def delta_regressor(states: DataFrame, features: FeatureSet, test_fraction: floa
     model = _ridge(ready, "y", alpha, ready.count())
     scored = model.transform(prep.transform(_fill_modes(train, test, features.categorical))).select(
         F.lit("ridge").alias("model"), "y", F.col("prediction").alias("predicted"))
-    middle = exact_median(train.withColumn("k", F.lit(1)), ["k"], F.col("y")).select("median").scalar()
+    middle = exact_medians(train.withColumn("k", F.lit(1)), ["k"], {"y": F.col("y")}).select("y").scalar()
     base = test.select(F.lit("median").alias("model"), "y", middle.alias("predicted"))
     return {"skipped": False, "metrics": regression_metrics(scored.unionByName(base)),
             "top_features": top_features(prep, model.coefficients.toArray(), ready)}
@@ -266,7 +251,7 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
     size_model.transform(scored).withColumnRenamed("prediction", "pred_delta").select(
         "p_move", "pred_delta", "y", "moved").write.parquet(path)
     scored = states.sparkSession.read.parquet(path)
-    medians = {n: exact_median(d.withColumn("k", F.lit(1)), ["k"], F.col("y")).select("median").scalar()
+    medians = {n: exact_medians(d.withColumn("k", F.lit(1)), ["k"], {"y": F.col("y")}).select("y").scalar()
                for n, d in (("all", train), ("moved", train.where("moved = 1")))}
     guess = F.when(F.col("p_move") >= 0.5, F.col("pred_delta")).otherwise(0.0)
     variants = {"two_stage": guess, "zero": F.lit(0.0), "median_all": medians["all"],

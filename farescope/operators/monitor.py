@@ -37,7 +37,7 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
         "search_trip_type", "trip_origin", "trip_destination", "leg_direction", *_TRIP)
     rows = offers
     if routes is not None:
-        rows = rows.join(F.broadcast(routes.select(*ROUTE)), ROUTE, "left_semi")
+        rows = rows.join(routes.select(*ROUTE), ROUTE, "left_semi")
     rows = rows.join(side, "offer_id", "left")
     gap = F.col("price_total") - F.col("fare_amount")
     if dialect == "bq":

@@ -98,8 +98,8 @@ def operations_trend(offers: DataFrame, meta: DataFrame, cycles: DataFrame, by_a
 
     ``cycles`` has one row per kept cycle.
     """
-    kept = F.broadcast(cycles.select("cycle_id", "cycle_completed_at_utc"))
-    rows = _instances(offers.join(F.broadcast(cycles.select("cycle_id")), "cycle_id", "left_semi"), meta)
+    kept = cycles.select("cycle_id", "cycle_completed_at_utc")
+    rows = _instances(offers.join(cycles.select("cycle_id"), "cycle_id", "left_semi"), meta)
     rows = via_filter(rows, via).select(
         "cycle_id", "airline", *ROUTE, "route_key", "flight_number", "departure_date", "departure_time",
         "via_airports").distinct()

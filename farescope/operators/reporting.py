@@ -293,10 +293,11 @@ def tax_details(tax: DataFrame, cycle_id: str | Column, airports: DataFrame, rou
 def tax_trends(tax: DataFrame, cycles: DataFrame, by_airline: bool = False) -> DataFrame:
     """Tax level per recent cycle with the change against the route's cycle before.
 
-    ``cycles`` has cycle_id and cycle_completed_at_utc and is small, one row per kept cycle.
+    ``cycles`` has cycle_id and cycle_completed_at_utc, one row per kept cycle. A limited list is known to
+    be small, so Spark broadcasts it by itself.
     """
     keys = ["origin", "destination", "route_key"] + (["airline"] if by_airline else [])
-    rows = tax.join(F.broadcast(cycles.select("cycle_id", "cycle_completed_at_utc")), "cycle_id")
+    rows = tax.join(cycles.select("cycle_id", "cycle_completed_at_utc"), "cycle_id")
     rows = rows.where("tax_amount is not null").select(*_TAX_ROW, "cycle_completed_at_utc").distinct()
     levels = rows.groupBy("cycle_id", "cycle_completed_at_utc", *keys).agg(*_tax_levels(not by_airline))
     w = Window.partitionBy(*keys).orderBy("cycle_completed_at_utc", "cycle_id")
