@@ -15,8 +15,10 @@ from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from farescope import fixtures
+from farescope.session import work_dir
 
 
 class Context:
@@ -52,9 +54,9 @@ class Context:
     @cached_property
     def changes(self) -> DataFrame:
         """Stored field-level change events between consecutive cycles."""
-        from farescope.catalog.change_source import stored_change_events
+        from farescope.catalog.change_source import change_events
 
-        return stored_change_events(self)
+        return stored(self, "change-events", lambda: change_events(self))
 
     @cached_property
     def cycle_order(self) -> DataFrame:
@@ -79,6 +81,24 @@ class Context:
         return self.spark.createDataFrame(rows, "airport string, offset_minutes int")
 
 
+_STORED: dict[tuple, tuple[str, StructType]] = {}
+
+
+def stored(ctx: Context, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """An intermediate table that several queries read: computed and written once per session.
+
+    It lies in the shared work folder, so it survives the loss of executors and is not derived again
+    for each use.
+    """
+    key = (ctx.spark.sparkContext.applicationId, id(ctx.spark._jsparkSession), ctx.sf_dir, name)
+    if key not in _STORED:
+        df, path = build(), work_dir(ctx.spark, name)
+        df.write.parquet(path)
+        _STORED[key] = (path, df.schema)
+    path, schema = _STORED[key]
+    return ctx.spark.read.schema(schema).parquet(path)
+
+
 @dataclass
 class Query:
     name: str

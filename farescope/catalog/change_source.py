@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from farescope.functions import DIFF_KEY
-from farescope.session import work_dir
 
 STATE_FIELDS = ["price_total", "seat_available", "seat_capacity", "arrival", "tax_amount", "soldout", "aircraft",
                 "booking_class"]
@@ -32,26 +31,6 @@ def change_events(ctx) -> DataFrame:
     return diff_columns(pairs(ctx), STATE_FIELDS)
 
 
-_STORED: dict[tuple, str] = {}
-
-
-def stored_change_events(ctx) -> DataFrame:
-    """The change log as a table: computed and written once, then read by every rollup and report.
-
-    Reports read it several times over, so it is stored like any other fact and not derived again
-    for each use. It lies in the shared work folder and survives the loss of executors.
-    """
-    from farescope.schemas import CHANGE_EVENTS
-
-    spark = ctx.spark
-    key = (spark.sparkContext.applicationId, id(spark._jsparkSession), ctx.sf_dir)
-    if key not in _STORED:
-        path = work_dir(spark, "change-events")
-        change_events(ctx).write.parquet(path)
-        _STORED[key] = path
-    return spark.read.schema(CHANGE_EVENTS).parquet(_STORED[key])
-
-
 def _number(field: str) -> str | None:
     if field == "arrival":
         return None

@@ -4,7 +4,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from farescope.catalog.base import query, sql
+from farescope.catalog.base import query, sql, stored
 from farescope.catalog.q_reporting import COUNTRY
 from farescope.functions import COMPARE_KEY, PENALTY_FEES
 from farescope.operators import compare
@@ -103,7 +103,8 @@ def finalized(ctx):
 
 
 def flights(ctx):
-    return compare.prepare_flights(finalized(ctx))
+    """Flight and day rows of the two newest cycles, stored for the views built on them."""
+    return stored(ctx, "flights", lambda: compare.prepare_flights(finalized(ctx)))
 
 
 _KEYS = "airline:s origin:s destination:s flight_number:s departure:t cabin:s brand:s "

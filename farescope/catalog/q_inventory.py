@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from farescope.catalog.base import query, sql
+from farescope.catalog.base import query, sql, stored
 from farescope.functions import bounded_broadcast
 from farescope.operators import cycles, inventory
 from farescope.operators.inventory import FLIGHT_KEY, MARKET_KEY, PROBE_KEY, STATE_KEY
@@ -78,10 +78,15 @@ STATES = _PREP + f""",
       FROM ag b LEFT JOIN lv a ON {_SAME}))"""
 
 
-def states(ctx):
+def computed_states(ctx):
     return inventory.inventory_states(prepared(ctx), _SEM)
 
 
+def states(ctx):
+    """Inventory states, stored for the features built on them."""
+    return stored(ctx, "inventory-states", lambda: computed_states(ctx))
+
+
 _ID = ("cycle_id:s probe_join_id:s observed_at_utc:t airline:s origin:s destination:s flight_number:s departure:t cabin:s "
        "adt_count:i chd_count:i inf_count:i ")
 
@@ -93,7 +98,7 @@ _ID = ("cycle_id:s probe_join_id:s observed_at_utc:t airline:s origin:s destinat
        "max_bucket_seat_censored:b open_seat_sum:i open_cap_ratio:d inv_press_pct:d has_tax_info:b inventory_proxy_quality:s "
        "inventory_confidence_summary:s is_weekend:b", sql("SELECT * FROM st", needs="offers meta", ctes=STATES))
 def _states(ctx):
-    return states(ctx)
+    return computed_states(ctx)
 
 
 _F = ", ".join(FLIGHT_KEY)
@@ -139,14 +144,14 @@ PROBES = STATES + f""",
 
 
 def probes(ctx):
-    return inventory.probe_features(states(ctx))
+    return stored(ctx, "probes", lambda: inventory.probe_features(states(ctx)))
 
 
 @query("inventory_probe_features", _ID + "fare_adt1:d2 fare_adt2:d2 fare_adt3:d2 fare_adt4:d2 availability_adt1:b "
        "availability_adt2:b lowest_bucket_code_adt1:s lowest_bucket_code_adt3:s fare_gap_1_to_2:d2 fare_gap_1_to_3:d2 "
        "fare_gap_2_to_3:d2 party_breakpoint_est:i", sql("SELECT * FROM pb", needs="offers meta", ctes=PROBES))
 def _probes(ctx):
-    return probes(ctx)
+    return inventory.probe_features(states(ctx))
 
 
 _M = ", ".join(MARKET_KEY)

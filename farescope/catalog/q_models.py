@@ -4,18 +4,16 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from farescope.catalog.base import query, sql
+from farescope.catalog.base import query, sql, stored
 from farescope.catalog.q_forecast import K, T, ml_frame
 from farescope.catalog.q_inventory import states
 from farescope.operators import inventory, models
-from farescope.session import work_dir
 
 
 def labelled(ctx):
     """States with labels and features, written once: the fits read them many times over."""
-    path = work_dir(ctx.spark, "states")
-    inventory.engineered(inventory.next_labels(states(ctx)), "R1-R2").write.parquet(path)
-    return models.feature_matrix(ctx.spark.read.parquet(path), "drop_route_engineered", "R1-R2")
+    rows = stored(ctx, "labelled-states", lambda: inventory.engineered(inventory.next_labels(states(ctx)), "R1-R2"))
+    return models.feature_matrix(rows, "drop_route_engineered", "R1-R2")
 
 
 def _fast(features):

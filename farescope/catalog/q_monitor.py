@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from farescope.catalog.base import query, sql
+from farescope.catalog.base import query, sql, stored
 from farescope.catalog.q_reporting import NEWEST, newest, recent, tax
 from farescope.functions import bounded_broadcast
 from farescope.operators import cycles, monitor, operations
@@ -108,7 +108,8 @@ _MATRIX = _CELLS + f""",
 
 
 def matrix(ctx):
-    return monitor.monitor_matrix(cells(ctx), newest(ctx), 5)
+    """Monitor matrix over stored cells."""
+    return monitor.monitor_matrix(stored(ctx, "monitor-cells", lambda: cells(ctx)), newest(ctx), 5)
 
 
 _M = ("route_key:s departure_date:D day_label:s captured_at_utc:t is_latest:b flight_group_id:s signal:s "
