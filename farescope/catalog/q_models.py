@@ -90,6 +90,19 @@ def _best(ctx):
     return models.best_thresholds(models.threshold_sweep(scored), zero)
 
 
+# Route group of the report, as a user would name it.
+_ROUTES = ["R1-R2", "R2-R3"]
+
+
+@query("route_model_reports", "route_key:s two_stage_skipped:b beats_zero_rmse:b beats_zero_mae:b route_model_priority:s "
+       "route_model_priority_reason:s")
+def _reports(ctx):
+    rows, features = labelled(ctx)
+    params = models.TwoStageParams(min_move_delta=5000.0, trees=5, max_depth=3)
+    reports = models.route_reports(rows, _fast(features), _ROUTES, 0, params)
+    return models.route_priority(models.report_frame(ctx.spark, reports))
+
+
 _FLAGS = """rep AS (SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS two_stage_skipped, o_orderkey % 2 = 0 AS sparse_stage_b,
   CASE WHEN o_orderkey % 3 <> 0 THEN 4 END AS folds_total, o_orderkey % 5 AS folds_evaluated, o_orderkey % 7 = 1 AS viable_rmse,
   o_orderkey % 4 = 1 AS viable_mae, o_orderkey % 6 < 2 AS any_fold_rmse, o_orderkey % 9 = 2 AS any_fold_mae,

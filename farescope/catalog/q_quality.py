@@ -376,7 +376,7 @@ def _query_log(ctx):
 
 
 @query("runtime_by_airline", "airline:s count:i avg_sec:d4 max_sec:d4", sql("""SELECT airline, count(*) AS count,
-  round(avg(elapsed_sec), 4) AS avg_sec, round(max(elapsed_sec), 4) AS max_sec FROM qlog GROUP BY 1""", needs="",
+  round(CAST(avg(elapsed_sec) AS DECIMAL(38,10)), 4) AS avg_sec, round(CAST(max(elapsed_sec) AS DECIMAL(38,10)), 4) AS max_sec FROM qlog GROUP BY 1""", needs="",
        ctes=_QLOG))
 def _runtime(ctx):
     return quality.runtime_by_airline(_query_log(ctx))
@@ -384,7 +384,7 @@ def _runtime(ctx):
 
 @query("runtime_slowest_routes", "route:s count:i avg_sec:d4 max_sec:d4", sql("""SELECT
   airline || ':' || origin || '-' || destination || ':' || cabin AS route, count(*) AS count,
-  round(avg(elapsed_sec), 4) AS avg_sec, round(max(elapsed_sec), 4) AS max_sec FROM qlog GROUP BY 1
+  round(CAST(avg(elapsed_sec) AS DECIMAL(38,10)), 4) AS avg_sec, round(CAST(max(elapsed_sec) AS DECIMAL(38,10)), 4) AS max_sec FROM qlog GROUP BY 1
   ORDER BY avg_sec DESC, route LIMIT 50""", needs="", ctes=_QLOG))
 def _slowest(ctx):
     return quality.slowest_routes(_query_log(ctx), 50)

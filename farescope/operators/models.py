@@ -14,7 +14,7 @@ from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from farescope.functions import SERIES_KEY, exact_medians, ratio
@@ -365,6 +365,18 @@ def route_reports(states: DataFrame, features: FeatureSet, routes: Sequence[str]
     return reports
 
 
+_REPORT = """route_key string, two_stage_skipped boolean, reason string, sparse_stage_b boolean, folds_total int,
+    best_rmse double, zero_rmse double, beats_zero_rmse boolean, best_mae double, zero_mae double, beats_zero_mae boolean,
+    folds_evaluated int, sparse_test_folds int, sparse_stage_b_folds int, viable_rmse boolean, viable_mae boolean,
+    any_fold_rmse boolean, any_fold_mae boolean"""
+
+
+def report_frame(spark: SparkSession, reports: list[dict]) -> DataFrame:
+    """Route reports as rows, for ``route_priority``."""
+    names = [part.split()[0] for part in _REPORT.split(",")]
+    return spark.createDataFrame([tuple(r.get(n) for n in names) for r in reports], _REPORT)
+
+
 def _beats(result: dict) -> dict:
     zero = result["combined"].where("model = 'zero'")
     best = {r["metric"]: r for r in best_thresholds(threshold_sweep(result["scored"]), zero).collect()}

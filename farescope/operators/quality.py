@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farescope.functions import any_of, clip, first_rows, half_even, pct, ratio, route_key
+from farescope.functions import any_of, clip, first_rows, half_even, numeric_round, pct, ratio, route_key
 from farescope.operators.rollups import DAILY_KEY
 from farescope.sources import latest_meta
 
@@ -445,15 +445,15 @@ def store_reuse(store: DataFrame) -> DataFrame:
 
 def runtime_by_airline(query_log: DataFrame) -> DataFrame:
     return query_log.groupBy("airline").agg(
-        F.count("*").alias("count"), F.round(F.avg("elapsed_sec"), 4).alias("avg_sec"),
-        F.round(F.max("elapsed_sec"), 4).alias("max_sec"))
+        F.count("*").alias("count"), numeric_round(F.avg("elapsed_sec"), 4).alias("avg_sec"),
+        numeric_round(F.max("elapsed_sec"), 4).alias("max_sec"))
 
 
 def slowest_routes(query_log: DataFrame, n: int = 50) -> DataFrame:
     route = F.concat("airline", F.lit(":"), route_key(), F.lit(":"), "cabin")
     return query_log.groupBy(route.alias("route")).agg(
-        F.count("*").alias("count"), F.round(F.avg("elapsed_sec"), 4).alias("avg_sec"),
-        F.round(F.max("elapsed_sec"), 4).alias("max_sec"),
+        F.count("*").alias("count"), numeric_round(F.avg("elapsed_sec"), 4).alias("avg_sec"),
+        numeric_round(F.max("elapsed_sec"), 4).alias("max_sec"),
     ).orderBy(F.col("avg_sec").desc(), "route").limit(n)
 
 
