@@ -160,7 +160,7 @@ def parts(ctx):
 
 
 def risk(ctx):
-    return quality.risk_features(*parts(ctx))
+    return quality.risk_from_rollups(rollups.daily_rollups(ctx.changes))
 
 
 _RISK = ("report_day:D route_label:s total_change_events:i availability_change_events:i price_change_events:i "
@@ -170,7 +170,7 @@ _RISK = ("report_day:D route_label:s total_change_events:i availability_change_e
 @query("risk_features", _RISK + " net_structure_events:i row_added_events:i row_removed_events:i",
        sql("SELECT * FROM risk", needs="changes", ctes=RISK_CTES))
 def _risk(ctx):
-    return risk(ctx)
+    return quality.risk_features(*parts(ctx))
 
 
 @query("risk_action_queue", _RISK + " recommended_action:s", sql("""SELECT *, CASE WHEN soldout_flag_changes > 0
@@ -245,7 +245,7 @@ def _top_av(ctx):
        ctes=RISK_CTES + ", " + _OM + ", " + _COV))
 def _kpis(ctx):
     summary, availability, price = parts(ctx)
-    scored = quality.risk_features(summary, availability, price)
+    scored = risk(ctx)
     coverage = quality.meta_coverage(ctx.offers, ctx.meta_with("inventory_confidence"))
     return quality.executive_kpis(scored, summary, price, availability, coverage, "2000-01-01", "all")
 

@@ -338,11 +338,17 @@ def best_thresholds(sweep: DataFrame, zero: DataFrame) -> DataFrame:
 
 
 def expanding_folds(states: DataFrame, folds: int, time_col: str = "observed_at_utc") -> list[DataFrame]:
-    """Expanding time folds: equal test parts at the end, everything before is training."""
+    """Expanding time folds: equal test parts at the end, everything before is training.
+
+    The rows up to a fold's end are stored before they are split again.
+    """
     out = []
     for k in range(folds):
-        upto = time_split(states, (folds - 1 - k) / (folds + 1), time_col).where(~F.col("is_test")).drop("is_test") \
-            if k < folds - 1 else states
+        upto = states
+        if k < folds - 1:
+            path = work_dir(states.sparkSession, "fold")
+            time_split(states, (folds - 1 - k) / (folds + 1), time_col).where(~F.col("is_test")).drop("is_test").write.parquet(path)
+            upto = states.sparkSession.read.schema(states.schema).parquet(path)
         out.append(time_split(upto, 1.0 / (k + 2), time_col))
     return out
 

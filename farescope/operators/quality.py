@@ -168,7 +168,11 @@ def risk_features(summary: DataFrame, availability: DataFrame, price: DataFrame)
                              "row_removed_events", F.col("avg_abs_magnitude").alias("av_magnitude"))
     pr = price.select(*DAILY_KEY, "price_change_events", F.col("avg_abs_magnitude").alias("price_magnitude"),
                       "avg_abs_percent_change")
-    rows = summary.join(av, DAILY_KEY, "left").join(pr, DAILY_KEY, "left")
+    return risk_from_rollups(summary.join(av, DAILY_KEY, "left").join(pr, DAILY_KEY, "left"))
+
+
+def risk_from_rollups(rows: DataFrame) -> DataFrame:
+    """Risk scores from the combined daily rollup, which needs no joins."""
     zero = [F.coalesce(c, F.lit(0)).alias(c) for c in ("soldout_flag_changes", "row_added_events",
                                                        "row_removed_events")]
     zero += [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in (

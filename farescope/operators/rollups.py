@@ -87,6 +87,35 @@ def route_airline_summary(events: DataFrame) -> DataFrame:
     )
 
 
+def daily_rollups(events: DataFrame) -> DataFrame:
+    """The measures of the three daily rollups in one pass over the events.
+
+    Price and availability measures are conditional, so a report that needs all of them scans the
+    events once and joins nothing.
+    """
+    price, availability = F.col("domain") == "price", F.col("domain") == "availability"
+    presence = availability & (F.col("field_name") == "__row_presence__")
+
+    def mean(condition: Column, name: str) -> Column:
+        return numeric_round(F.avg(F.when(condition, F.abs(name))), 4)
+
+    return events.groupBy(*DAILY_KEY).agg(
+        *_affected(),
+        _is("change_type", "added").alias("added_events"),
+        _is("change_type", "removed").alias("removed_events"),
+        _is("change_type", "changed").alias("changed_events"),
+        F.count_if(price).alias("price_change_events"),
+        mean(price, "magnitude").alias("price_magnitude"),
+        mean(price, "percent_change").alias("avg_abs_percent_change"),
+        F.count_if(availability).alias("availability_change_events"),
+        F.count_if(availability & (F.col("field_name") == "soldout")).alias("soldout_flag_changes"),
+        F.count_if(presence & (F.col("change_type") == "added")).alias("row_added_events"),
+        F.count_if(presence & (F.col("change_type") == "removed")).alias("row_removed_events"),
+        mean(availability, "magnitude").alias("av_magnitude"),
+        *_event_span(),
+    )
+
+
 def change_activity_daily(events: DataFrame) -> DataFrame:
     keys = ["report_day", "airline", "origin", "destination", "domain", "change_type", "direction", "field_name"]
     return (

@@ -209,3 +209,31 @@ def test_comparable_cycles_only(spark):
     runs = spark.createDataFrame([("a", t, t, 500, 5, 10), ("b", t, datetime(2024, 1, 2), 499, 9, 99)], schema)
     assert rows(cycles.recent_cycles(runs), "cycle_id") == [("a",)]
     assert cycles.latest_cycle(runs, comparable_only=False).first()["cycle_id"] == "b"
+
+
+def test_event_daily_falls_back_to_offers(spark):
+    df = spark.createDataFrame([offer("1", "C1", "1"), offer("2", "C2", "2"), offer("3", "C3", "2", seats=4)], OFFER)
+    empty = rollups.route_airline_summary(diff.diff_columns(diff.pair_states(df.limit(0), df.limit(0))))
+    got = rows(forecast.event_daily(empty, df), "report_day", "price_events", "availability_events")
+    assert got == [(date(2024, 1, 1), 0, 0), (date(2024, 1, 2), 1, 0), (date(2024, 1, 3), 0, 1)]
+
+
+def test_expanding_folds_grow(spark):
+    df = spark.range(40).select(F.expr("timestamp_ntz'2024-01-01' + make_dt_interval(CAST(id AS INT))").alias("observed_at_utc"), "id")
+    sizes = [(f.where("not is_test").count(), f.where("is_test").count()) for f in models.expanding_folds(df, 3)]
+    assert sizes == [(10, 10), (20, 10), (30, 10)]
+
+
+def test_stream_keeps_last_known_state(spark, tmp_path):
+    from farescope.streaming import live
+
+    feed = str(tmp_path / "feed")
+    days = [[offer("1", "C1", "1")], [offer("2", "C2", "9", brand="OTHER")], [offer("3", "C3", "3")]]
+    state = live.DiffState(str(tmp_path / "state"))
+    for n, made in enumerate(days):
+        spark.createDataFrame(made, OFFER).coalesce(1).write.mode("append").parquet(feed)
+        stream = live.stream_files(spark, feed, spark.createDataFrame([], OFFER).schema)
+        live.stream_diff(stream, state, str(tmp_path / "checkpoint"), keep_known=True)
+    price = state.events(spark).where("field_name = 'price_total'")
+    # The first offer is compared with its last known row, two cycles back.
+    assert rows(price, "old_value", "new_value", "magnitude") == [("1.0", "3.0", 2.0)]
