@@ -7,7 +7,7 @@ import os
 import time
 
 from farescope.catalog.base import load_all, run
-from farescope.session import build_session
+from farescope.session import build_session, use_local_work_dir
 
 HEADLINE = [
     "cycle_runs", "latest_two_full_cycles", "route_daily_fare", "dq_nulls", "tax_monitor_routes", "compare_scrapes",
@@ -24,6 +24,7 @@ def main() -> None:
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g", "spark.ui.enabled": "false",
         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false",
     })
+    use_local_work_dir(spark)
     load_all()
     spark.range(1000).selectExpr("sum(id)").collect()
     times = {}

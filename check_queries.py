@@ -9,7 +9,7 @@ import time
 import duckdb
 
 from farescope.catalog.base import load_all, oracle_text, run
-from farescope.session import build_session
+from farescope.session import build_session, use_local_work_dir
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
           "labels conversations").split()
@@ -37,6 +37,7 @@ def main() -> int:
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g", "spark.ui.enabled": "false",
         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false",
     })
+    use_local_work_dir(spark)
     con = duckdb.connect()
     for t in TABLES:
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")

@@ -33,22 +33,19 @@ def build_session(app_name: str = "farescope", master: str | None = None, **conf
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 
-    It lies under ``spark.checkpoint.dir``, which a cluster points at shared storage. Only
-    a local master may fall back to a temporary folder of this machine.
+    It lies under ``spark.checkpoint.dir``, or the checkpoint folder set on the context, which must be shared by the
+    driver and all executors.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder")
-        base = _local_base()
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-_LOCAL_BASE: str | None = None
-
-
-def _local_base() -> str:
-    global _LOCAL_BASE
-    if _LOCAL_BASE is None:
-        _LOCAL_BASE = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _LOCAL_BASE
+def use_local_work_dir(spark: SparkSession) -> None:
+    """For tests and other runs in one process: a folder of this machine, where the session names none."""
+    if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="run-", dir="/tmp"))

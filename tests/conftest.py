@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from farescope.session import build_session  # noqa: E402
+from farescope.session import build_session, use_local_work_dir  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -13,5 +13,6 @@ def spark():
     session = build_session("tests", "local[8]", **{
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
+    use_local_work_dir(session)
     yield session
     session.stop()
