@@ -28,7 +28,7 @@ from farescope.llm.tokens import encoder, vocabulary
 CAPACITY = 1024
 END_ID = 2
 #: Rows of one length that one window task numbers.
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 20_000
 #: Bytes of text that are encoded at once.
 SLICE_BYTES = 4_000_000
 
