@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+import math
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -158,5 +159,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
         state = seen
 
 
-def arrow_map(df: DataFrame, function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    return df.mapInArrow(function, schema)
+def id_ranges(docs: DataFrame, n: int) -> list[int]:
+    """About n - 1 ids that cut a table into ranges of even row counts; n numbers at most reach the driver."""
+    shares = [k / n for k in range(1, n)]
+    if not shares:
+        return []
+    cuts = docs.where("doc_id IS NOT NULL").agg(F.percentile_approx(F.col("doc_id").cast("bigint"), shares, 100 * n).alias("cuts")).first()["cuts"]
+    return sorted(set(cuts or []))
+
+
+def bucket_of(doc_id: str, cuts: list[int]) -> Column:
+    """Number of the range of an id: how many cuts it reaches. A missing id belongs to the last range."""
+    if not cuts:
+        return F.lit(0).cast("long")
+    step = math.isqrt(len(cuts)) + 1
+    reached = lambda found: F.size(F.filter(found, lambda c: c <= F.col(doc_id)))
+    far = reached(F.array(*map(F.lit, cuts[step - 1 :: step]))) * step
+    near = reached(F.slice(F.array(*map(F.lit, cuts)), far + 1, F.lit(step)))
+    return F.when(F.col(doc_id).isNull(), F.lit(len(cuts))).otherwise(far + near).cast("long")
