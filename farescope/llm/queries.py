@@ -6,14 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from farescope.llm import exact_dedup, mixing, near_dedup, packing, toxicity
+from farescope.llm import bloom_lm, exact_dedup, fingerprints, mixing, near_dedup, packing, token_counts, token_frames, toxicity
 from farescope.llm.common import documents, labels
 
 
+def op1_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bloom_lm.scores(documents(spark, sf_dir))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(documents(spark, sf_dir))
 
@@ -26,16 +34,28 @@ def op6_mixing_to_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, sf_dir))
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_frames.round_trip(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bloom_lm": op1_bloom_lm,
     "op2_toxicity": op2_toxicity,
+    "op3_fingerprints": op3_fingerprints,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_mixing_to_targets": op6_mixing_to_targets,
+    "op7_token_counts": op7_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op10_token_frames": op10_token_frames,
 }
 
 ORACLES: dict[str, str] = {
