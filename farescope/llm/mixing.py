@@ -144,13 +144,13 @@ def rate(start: float, gradients: list[list[float]]) -> tuple[Column, Column]:
 def fitted(soft: DataFrame, targets: dict[str, float], tokens: float | None = None) -> tuple[Column, dict[str, float]]:
     """Expression of the rates over a stored table of memberships, and the expected share of each domain.
 
-    `targets` are weights of the domains, `tokens` the wanted total (by default as many as there are).
+    `targets` are weights of domains; a domain without one goes along as it falls out. `tokens` the wanted total (by default as many as there are).
     """
     k = range(len(DOMAINS))
     mass = [F.col("n_tokens") * F.get("p", F.lit(d)) for d in k]
     now = soft.agg(*[F.coalesce(F.sum(m), F.lit(0.0)).alias(DOMAINS[d]) for d, m in zip(k, mass)]).first()
     total = sum(now)
-    met = [d for d in k if now[d] > 1e-9 * total and total > 0]
+    met = [d for d in k if DOMAINS[d] in targets and now[d] > 1e-9 * total and total > 0]
     weight = sum(targets[DOMAINS[d]] for d in met)
     if not met or weight <= 0:
         return F.lit(1.0), dict.fromkeys(DOMAINS, 0.0)

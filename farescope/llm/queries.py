@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from farescope.llm import bloom_lm, exact_dedup, fingerprints, mixing, near_dedup, packing, token_counts, token_frames, toxicity
+from farescope.llm import bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_counts, token_frames, toxicity
 from farescope.llm.common import documents, labels
 
 
@@ -42,10 +43,18 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(spark.read.parquet(f"{sf_dir}/pages.parquet"), documents(spark, sf_dir))
+
+
 def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.round_trip(documents(spark, sf_dir))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bloom_lm": op1_bloom_lm,
     "op2_toxicity": op2_toxicity,
@@ -55,9 +64,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_mixing_to_targets": op6_mixing_to_targets,
     "op7_token_counts": op7_token_counts,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_language_id": op9_language_id,
     "op10_token_frames": op10_token_frames,
+    "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
-}
+} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
