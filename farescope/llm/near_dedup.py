@@ -2,7 +2,7 @@
 
 1. Every text gives its set of word shingles, a digest of the set and a signature of COORDINATES minima. Rows with equal
    sets form a class, represented by the smallest id; only classes go on.
-2. A class is posted under the coordinate-value pairs of its prefix: two signatures that agree in at least MATCHES
+2. A class is posted under the coordinate-value pairs of its prefix, each a 64-bit name: two signatures that agree in at least MATCHES
    coordinates share a pair among any COORDINATES - MATCHES + 1 of either one, in whatever fixed order. Lists with one
    class, and lists with the same members as another list, go.
 3. Within a list, collisions are counted coordinate slab by slab. A pair whose remaining coordinates cannot reach
@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.llm.common import WordHashes, by_key, components, grouped, join_groups, saved, shingles, text_bytes, word_hashes
+from farescope.llm.common import WordHashes, by_key, components, grouped, join_groups, mixed, saved, shingles, text_bytes, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -48,50 +48,50 @@ GROUP_BLOCK = 400_000
 SLAB = 16
 
 _SEEDS = np.random.default_rng(20_240_501).integers(1, 2**63, (2, COORDINATES), dtype=np.uint64)
+_PLACES = np.arange(1, COORDINATES + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
 _FACTORS, _SHIFTS = _SEEDS[0] * np.uint64(2) + np.uint64(1), _SEEDS[1]
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """Minima of COORDINATES random linear functions over a non-empty set, as 16-bit values."""
+def minima(found: np.ndarray) -> np.ndarray:
+    """Minima of COORDINATES random linear functions over a non-empty set."""
     out = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 4096):
         np.minimum(out, (found[at : at + 4096, None] * _FACTORS + _SHIFTS).min(axis=0), out=out)
-    # The minimum itself is small, so its low bits tell values apart.
-    return (out & np.uint64(0xFFFF)).astype(np.uint16)
+    return out
+
+
+def prefix(least: np.ndarray) -> np.ndarray:
+    """The coordinate-value pairs under which a signature is posted: the first ones in the order of their 64-bit names."""
+    return np.sort(mixed(least + _PLACES))[: COORDINATES - MATCHES + 1]
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
-        sizes, keys, signs = [], [], []
+        sizes, keys, signs, posts = [], [], [], []
         for text in text_bytes(batch.column("text")):
             found = shingles(word_hashes(text, cache), WIDTH)
             sizes.append(len(found))
-            keys.append(hashlib.blake2b(found.tobytes(), digest_size=16).digest() if len(found) else None)
-            signs.append(signature(found).tobytes() if len(found) else None)
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()),
-                                          "set_key": pa.array(keys, pa.binary()), "sign": pa.array(signs, pa.binary())})
+            least = minima(found) if len(found) else None
+            keys.append(None if least is None else hashlib.blake2b(found.tobytes(), digest_size=16).digest())
+            # The low bits of a minimum are as good as random, and tell values apart.
+            signs.append(None if least is None else (least & np.uint64(0xFFFF)).astype(np.uint16).tobytes())
+            posts.append(None if least is None else prefix(least).tobytes())
+        yield pa.RecordBatch.from_pydict({
+            "doc_id": batch.column("doc_id"), "n_shingles": pa.array(sizes, pa.int64()), "set_key": pa.array(keys, pa.binary()),
+            "sign": pa.array(signs, pa.binary()), "posts": pa.array(posts, pa.binary())})
 
 
 def sets(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_shingles, set_key (null without words), sign (COORDINATES 16-bit values)."""
+    """Per row: doc_id, n_shingles, set_key (null without words), sign (16 bits of each coordinate), posts (names of pairs)."""
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        _sets, "doc_id long, n_shingles long, set_key binary, sign binary")
+        _sets, "doc_id long, n_shingles long, set_key binary, sign binary, posts binary")
 
 
 def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    places = np.arange(COORDINATES, dtype=np.uint64) << np.uint64(16)
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        signs = np.frombuffer(b"".join(batch.column("sign").to_pylist()), np.uint16).reshape(-1, COORDINATES)
-        pairs = signs.astype(np.uint64) | places
-        # Any fixed order of the pairs will do: a scrambled one spreads the coordinates.
-        order = pairs * np.uint64(0x9E3779B97F4A7C15)
-        width = COORDINATES - MATCHES + 1
-        first = np.take_along_axis(pairs, np.argpartition(order, width - 1, axis=1)[:, :width], axis=1)
-        reps = np.repeat(batch.column("rep").to_numpy(), width)
-        yield pa.RecordBatch.from_pydict({"pair": first.astype(np.int64).ravel(), "rep": reps})
+        names = np.frombuffer(b"".join(batch.column("posts").to_pylist()), np.int64)
+        yield pa.RecordBatch.from_pydict({"pair": names, "rep": np.repeat(batch.column("rep").to_numpy(), COORDINATES - MATCHES + 1)})
 
 
 class Forest:
@@ -181,7 +181,7 @@ def block_pairs(rows: DataFrame, blocks: str, by: str) -> DataFrame:
 
 def candidates(classes: DataFrame) -> DataFrame:
     """Links (a, b) that connect all classes whose signatures agree in MATCHES coordinates; `classes` has rep and sign."""
-    posts = saved(classes.select("rep", "sign").mapInArrow(_post, "pair long, rep long"), "postings")
+    posts = saved(classes.select("rep", "posts").mapInArrow(_post, "pair long, rep long"), "postings")
     lists = posts.groupBy("pair").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"), F.bit_xor(F.xxhash64("rep", F.lit(7))).alias("y"))
     lists = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min("pair").alias("pair")).select(
         "pair", F.ceil(F.col("n") / LIST_BLOCK).cast("bigint").alias("blocks"))
@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     total = rows.count()
     first = F.row_number().over(Window.partitionBy("rep").orderBy("set_key")) == 1
     classes = saved(rows.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(
-        F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("n_shingles").alias("n_shingles"),
+        F.min("doc_id").alias("rep"), F.first("sign").alias("sign"), F.first("posts").alias("posts"), F.first("n_shingles").alias("n_shingles"),
         F.count("*").alias("members")).withColumn("first", first), "classes")
     guesses = components(candidates(classes.where("first")), "candidates")
     load = classes.where("first").join(guesses.withColumnRenamed("id", "rep"), "rep")
@@ -260,7 +260,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links = components(met.mapInArrow(_confirm, "a long, b long"), "links")
     roots = classes.select("set_key", "rep", "members").join(links.withColumnRenamed("id", "rep"), "rep", "left").select(
         "set_key", "members", F.coalesce("root", "rep").alias("component"))
-    joined = join_groups(rows.drop("sign"), roots, ["set_key"], "members", total)
+    joined = join_groups(rows.drop("sign", "posts"), roots, ["set_key"], "members", total)
     component = F.coalesce("component", "doc_id")
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
 
