@@ -90,7 +90,7 @@ def stored(ctx: Context, name: str, build: Callable[[], DataFrame]) -> DataFrame
     It lies in the shared work folder, so it survives the loss of executors and is not derived again
     for each use.
     """
-    key = (ctx.spark.sparkContext.applicationId, id(ctx.spark._jsparkSession), ctx.sf_dir, name)
+    key = (fixtures.session_key(ctx.spark), ctx.sf_dir, name)
     if key not in _STORED:
         df, path = build(), work_dir(ctx.spark, name)
         df.write.parquet(path)
@@ -131,9 +131,9 @@ def _digits(kind: str) -> int:
     return int(kind[1:]) if len(kind) > 1 else 6
 
 
-def _nudge(kind: str) -> float:
-    """Far below the last digit, so that both engines round an exact tie the same way."""
-    return 0.017 / 10 ** _digits(kind)
+def _tie(kind: str) -> float:
+    """A millionth of the last digit, so that both engines round an exact tie the same way. Other values keep theirs."""
+    return 1e-6 / 10 ** _digits(kind)
 
 
 def _spark_value(value: Column, kind: str) -> Column:
@@ -149,7 +149,7 @@ def _spark_value(value: Column, kind: str) -> Column:
         return F.date_format(value, "yyyy-MM-dd")
     if kind == "a":
         return F.array_join(value, "|")
-    return F.round(value.cast("double") + F.lit(_nudge(kind)), _digits(kind)) + F.lit(0.0)
+    return F.round(value.cast("double") + F.lit(_tie(kind)), _digits(kind)) + F.lit(0.0)
 
 
 def _duck_value(name: str, kind: str) -> str:
@@ -165,7 +165,7 @@ def _duck_value(name: str, kind: str) -> str:
         return f"strftime({name}, '%Y-%m-%d')"
     if kind == "a":
         return f"array_to_string({name}, '|')"
-    return f"round(CAST({name} AS DOUBLE) + {_nudge(kind):.12f}, {_digits(kind)}) + 0.0"
+    return f"round(CAST({name} AS DOUBLE) + {_tie(kind):.15f}, {_digits(kind)}) + 0.0"
 
 
 def sql(body: str, needs: str = "offers", ctes: str = "") -> str:

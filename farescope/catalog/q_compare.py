@@ -217,10 +217,10 @@ _KEPT = ["new", "sold_out", "fare_up", "fare_down", "seat_down", "load_up"]
 @query("changes_by_route", "route:s airline:s rows:i total_events:i " + " ".join(f"{f}:i" for f in _KEPT), sql(
     "SELECT *, " + " + ".join(_KEPT) + " AS total_events FROM (SELECT route, airline, count(*) AS rows, " + ", ".join(
         f"count(*) FILTER (WHERE {_FLAG[n]}) AS {n}" for n in _KEPT)
-    + " FROM fl GROUP BY 1, 2) ORDER BY total_events DESC, rows DESC, route, airline LIMIT 30", needs="offers meta",
+    + " FROM fl GROUP BY 1, 2)", needs="offers meta",
     ctes=FIN))
 def _by_route(ctx):
-    return compare.changes_by_route(flights(ctx), 30)
+    return compare.changes_by_route(flights(ctx))
 
 
 def _penalty_sql() -> str:
@@ -315,16 +315,11 @@ _FLEET = """fleet AS (SELECT concat('A', s_suppkey % 5) AS airline, concat('Type
   s_suppkey % 3 * 50 + 100 AS seats_per_aircraft, count(*) AS aircraft_count FROM supplier GROUP BY 1, 2, 3)"""
 
 
-def _limited(values: str, n: int) -> str:
-    return (f"array_to_string({values}[1:{n}], ', ') || CASE WHEN len({values}) > {n} THEN ' (+' || "
-            f"(len({values}) - {n}) || ')' ELSE '' END")
-
-
 @query("ops_by_airline", "airline:s observed_rows:i observed_routes:i daily_avg:d2 weekly_est:d2 first_departure:s "
-       "last_departure:s fleet_count:i fleet_types:s seat_capacities:s search_fleet_lb:i fleet_coverage_pct:d2", sql(
+       "last_departure:s fleet_count:i fleet_types:a seat_capacities:a search_fleet_lb:i fleet_coverage_pct:d2", sql(
     f"""SELECT *, round_even(observed_rows / days, 2) AS daily_avg, round_even(round_even(observed_rows / days, 2) * 7.0::DOUBLE, 2)
   AS weekly_est, peak AS search_fleet_lb, round_even(peak / fleet_count * 100.0, 2) AS fleet_coverage_pct,
-  {_limited('types', 8)} AS fleet_types, {_limited('caps', 8)} AS seat_capacities FROM (
+  types AS fleet_types, caps AS seat_capacities FROM (
   SELECT airline, count(*) AS observed_rows, count(DISTINCT flight_date) AS days, count(DISTINCT route) AS observed_routes,
     min(departure_time) AS first_departure, max(departure_time) AS last_departure FROM fl GROUP BY 1)
   LEFT JOIN (SELECT airline, sum(aircraft_count) AS fleet_count, list(aircraft_type ORDER BY aircraft_type) AS types,
@@ -334,19 +329,19 @@ def _ops_airline(ctx):
     return compare.ops_by_airline(flights(ctx), fleet(ctx))
 
 
-@query("ops_by_route", "airline:s route:s operating_days:i observed_flights:i daily_avg:d2 weekly_est:d2 timings:s "
+@query("ops_by_route", "airline:s route:s operating_days:i observed_flights:i daily_avg:d2 weekly_est:d2 timings:a "
        "aircraft_types:a", sql(f"""SELECT *, round_even(observed_flights / operating_days, 2) AS daily_avg,
   round_even(round_even(observed_flights / operating_days, 2) * 7.0::DOUBLE, 2) AS weekly_est,
-  {_limited('times', 8)} AS timings FROM (SELECT airline, route, count(DISTINCT flight_date) AS operating_days,
+  times AS timings FROM (SELECT airline, route, count(DISTINCT flight_date) AS operating_days,
   count(flight_key) AS observed_flights, list_sort(list_distinct(list(departure_time))) AS times,
   list_sort(list_distinct(list(aircraft))) AS aircraft_types FROM fl GROUP BY 1, 2)""", needs="offers meta", ctes=FIN))
 def _ops_route(ctx):
     return compare.ops_by_route(flights(ctx))
 
 
-@query("ops_by_route_day", "route:s day_name:s total:i details:s", sql(f"""SELECT route, day_name, total,
-  {_limited('e', 5)} AS details FROM (SELECT route, day_name, sum(flights) AS total,
-    list(airline || ':' || flights || '[' || {_limited('times', 4)} || ']' ORDER BY airline) AS e FROM (
+@query("ops_by_route_day", "route:s day_name:s total:i details:a", sql(f"""SELECT route, day_name, total,
+  e AS details FROM (SELECT route, day_name, sum(flights) AS total,
+    list(airline || ':' || flights || '[' || array_to_string(times, ', ') || ']' ORDER BY airline) AS e FROM (
     SELECT route, day_name, airline, count(flight_key) AS flights, list_sort(list_distinct(list(departure_time))) AS times
     FROM fl GROUP BY 1, 2, 3) GROUP BY 1, 2)""", needs="offers meta", ctes=FIN))
 def _ops_day(ctx):

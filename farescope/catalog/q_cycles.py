@@ -55,8 +55,7 @@ def _two(ctx):
     WHERE r.tier = (SELECT min(tier) FROM (SELECT tier FROM ranked GROUP BY tier HAVING count(*) >= 2))
     ORDER BY c.captured_at DESC, r.cycle_id DESC LIMIT 2)""", ctes="""
   per AS (SELECT cycle_id, upper(airline) AS airline, count(*) AS n FROM offers GROUP BY 1, 2),
-  cyc AS (SELECT cycle_id, max(captured_at) AS captured_at, count(*) AS n FROM offers GROUP BY 1
-          ORDER BY 2 DESC, 1 DESC LIMIT 200),
+  cyc AS (SELECT cycle_id, max(captured_at) AS captured_at, count(*) AS n FROM offers GROUP BY 1),
   lim AS (SELECT airline, least(max(n), greatest(100, CAST(floor(max(n) * 0.9) AS BIGINT))) AS threshold
           FROM per WHERE cycle_id IN (SELECT cycle_id FROM cyc) GROUP BY 1),
   ranked AS (
@@ -137,8 +136,7 @@ ROUTES_CTE = _ROUTES
     round(date_diff('second', cycle_completed_at_utc, TIMESTAMP '2000-01-01') / 60.0, 2) > 180 AS stale,
     (SELECT count(*) FROM conf) AS configured_route_pair_count, (SELECT count(*) FROM obs) AS observed_route_pair_count,
     round((SELECT count(*) FROM obs) / (SELECT count(*) FROM conf) * 100.0, 2) AS route_pair_coverage_pct,
-    (SELECT list(pair ORDER BY pair) FROM (SELECT pair FROM conf WHERE pair NOT IN (SELECT pair FROM obs)
-      ORDER BY pair LIMIT 60)) AS missing_route_pairs
+    (SELECT list(pair ORDER BY pair) FROM conf WHERE pair NOT IN (SELECT pair FROM obs)) AS missing_route_pairs
   FROM lat l""", ctes=_RUNS + ", " + _ROUTES + """,
   lat AS (SELECT * FROM runs WHERE offer_rows >= 500 AND airline_count >= 5 AND route_count >= 10
           ORDER BY cycle_completed_at_utc DESC, cycle_id DESC LIMIT 1),

@@ -365,7 +365,7 @@ def drifts(ctx):
 
 
 @query("model_drift", "airline:s origin:s destination:s cabin:s points:i recent_mae:d4 prior_mae:d4 drift_ratio:d4 "
-       "drift_flag:b", sql("""SELECT *, round(recent, 4) AS recent_mae, round(prior, 4) AS prior_mae, r AS drift_ratio,
+       "drift_flag:b", sql("""SELECT *, round(recent, 4) AS recent_mae, round(prior, 4) AS prior_mae, round(r, 4) AS drift_ratio,
   r >= 1.35 AS drift_flag FROM dr""", needs="changes", ctes=_DRIFT))
 def _drift(ctx):
     return drifts(ctx)
@@ -397,30 +397,28 @@ def _board_direction(ctx):
 
 
 @query("leaderboard_hardest_routes", _S + "model:s n:i mae:d", sql(f"""SELECT * FROM ({metrics_sql('airline, origin')})
-  WHERE n >= 5 ORDER BY mae DESC, airline, origin, model LIMIT 8""", needs="daily", ctes=LONG))
+  WHERE n >= 5""", needs="daily", ctes=LONG))
 def _hardest(ctx):
     evals = forecast.evaluate(predicted(ctx), T, PREDS, K)[1]
-    return forecast.leaderboard(evals, "mae", False, 8, 5, (*K, "model"))
+    return forecast.leaderboard(evals, "mae", False, None, 5, (*K, "model"))
 
 
 @query("leaderboard_winners", _S + "winner_model:s winner_n:i winner_mae:d", sql(f"""SELECT * FROM ({_winner_sql(
-    'airline, origin', metrics_sql('airline, origin'))}) WHERE winner_n >= 5 ORDER BY winner_mae NULLS LAST, airline, origin
-    LIMIT 10""", needs="daily", ctes=LONG))
+    'airline, origin', metrics_sql('airline, origin'))}) WHERE winner_n >= 5""", needs="daily", ctes=LONG))
 def _winner_board(ctx):
     winners = forecast.winner_table(forecast.evaluate(predicted(ctx), T, PREDS, K)[1], K)
-    return forecast.winner_board(winners, 10, 5, K)
+    return forecast.winner_board(winners, None, 5, K)
 
 
 _WATCH = f"""nd AS (SELECT airline, origin, max(y) FILTER (WHERE back = 1) AS latest_actual_value,
   avg(y) FILTER (WHERE back <= 3) AS preferred_value FROM (SELECT *, CAST({T} AS DOUBLE) * 100 AS y, row_number() OVER (
   PARTITION BY airline, origin ORDER BY report_day DESC) AS back FROM daily) GROUP BY 1, 2),
-  wl AS (SELECT *, 'pred_rolling_mean_3' AS preferred_key, preferred_value - latest_actual_value AS delta FROM nd
-    ORDER BY abs(delta) DESC, airline, origin LIMIT 12)"""
+  wl AS (SELECT *, 'pred_rolling_mean_3' AS preferred_key, preferred_value - latest_actual_value AS delta FROM nd)"""
 
 
 def _watch(ctx):
     rows = forecast.next_day(ctx.daily.withColumn(T, F.col(T) * 100), T, (3, 7), 3, 7, 0.3, K)
-    return forecast.watchlist(rows, 12, K)
+    return forecast.watchlist(rows, None, K)
 
 
 @query("forecast_watchlist", _S + "preferred_key:s preferred_value:d latest_actual_value:d delta:d",

@@ -8,8 +8,7 @@ from farescope.functions import bounded_broadcast
 from farescope.operators import cycles, monitor, operations
 
 _TOP = f"""toproutes AS (SELECT origin, destination, origin || '-' || destination AS route_key, count(*) AS row_count
-  FROM offers LEFT JOIN meta USING (offer_id) WHERE cycle_id = {NEWEST} GROUP BY 1, 2
-  ORDER BY row_count DESC, route_key LIMIT 8)"""
+  FROM offers LEFT JOIN meta USING (offer_id) WHERE cycle_id = {NEWEST} GROUP BY 1, 2)"""
 
 _SIDE = ("fare_amount tax_amount aircraft booking_class load_factor_pct soldout search_trip_type trip_origin "
          "trip_destination leg_direction trip_request_id requested_outbound_date requested_return_date "
@@ -19,7 +18,7 @@ _SIDE = ("fare_amount tax_amount aircraft booking_class load_factor_pct soldout
 @query("monitor_top_routes", "origin:s destination:s route_key:s row_count:i",
        sql("SELECT * FROM toproutes", needs="offers meta", ctes=_TOP))
 def _top(ctx):
-    return monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx), 8)
+    return monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx))
 
 
 _ASC = "ORDER BY price_total ASC NULLS LAST, seat_available DESC NULLS LAST, {x}"
@@ -60,7 +59,7 @@ def _captured(ctx):
 
 
 def cells(ctx, **options):
-    top = monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx), 8)
+    top = monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx))
     return monitor.monitor_cells(_captured(ctx), ctx.meta_with(_SIDE), top, capture="capture", **options)
 
 
@@ -103,13 +102,12 @@ _MATRIX = _CELLS + f""",
   matrix AS (SELECT *, capture_rank = 1 AS is_latest, dayname(departure_date) AS day_label,
     CASE WHEN soldout THEN 'sold_out' WHEN prev_cap IS NULL THEN 'new'
       WHEN min_total_price_bdt > prev_price THEN 'increase' WHEN min_total_price_bdt < prev_price THEN 'decrease'
-      ELSE 'unknown' END AS signal FROM prevd JOIN caps USING (route_key, departure_date, captured_at_utc)
-    WHERE capture_rank <= 5)"""
+      ELSE 'unknown' END AS signal FROM prevd JOIN caps USING (route_key, departure_date, captured_at_utc))"""
 
 
 def matrix(ctx):
     """Monitor matrix over stored cells."""
-    return monitor.monitor_matrix(stored(ctx, "monitor-cells", lambda: cells(ctx)), newest(ctx), 5)
+    return monitor.monitor_matrix(stored(ctx, "monitor-cells", lambda: cells(ctx)), newest(ctx))
 
 
 _M = ("route_key:s departure_date:D day_label:s captured_at_utc:t is_latest:b flight_group_id:s signal:s "

@@ -205,12 +205,12 @@ def _sections(ctx):
     return quality.airline_sections(risk(ctx), 15)
 
 
-@query("risk_route_airline_pivot", "route_label:s A0:i A1:i A2:i A3:i A4:i all_airlines_total:i", sql("""
+@query("risk_route_airline_pivot", "route_label:s A0:i A1:i A2:i all_airlines_total:i", sql("""
   SELECT route_label, """ + ", ".join(f"sum(CASE WHEN airline = 'A{i}' THEN total_change_events ELSE 0 END) AS A{i}"
-                                      for i in range(5)) + """, sum(total_change_events) AS all_airlines_total
-  FROM risk GROUP BY 1 ORDER BY all_airlines_total DESC, route_label LIMIT 100""", needs="changes", ctes=RISK_CTES))
+                                      for i in range(3)) + """, sum(total_change_events) AS all_airlines_total
+  FROM risk GROUP BY 1""", needs="changes", ctes=RISK_CTES))
 def _risk_pivot(ctx):
-    return quality.route_airline_pivot(risk(ctx), [f"A{i}" for i in range(5)], 100)
+    return quality.route_airline_pivot(risk(ctx), [f"A{i}" for i in range(3)])
 
 
 @query("risk_top_routes", _RISK, sql("""SELECT * FROM risk ORDER BY risk_score DESC, total_change_events DESC,
@@ -307,9 +307,9 @@ def _counts(ctx):
 
 
 @query("log_failure_hits", "file:s ts:t level:s message:s", sql(f"""SELECT * FROM logs WHERE
-  ts >= TIMESTAMP '2024-01-10' AND {_HIT} ORDER BY file, ts, logger, message LIMIT 25""", needs="", ctes=_LOGS))
+  ts >= TIMESTAMP '2024-01-10' AND {_HIT}""", needs="", ctes=_LOGS))
 def _hits(ctx):
-    return quality.failure_hits(logs(ctx), _SINCE, 25)
+    return quality.failure_hits(logs(ctx), _SINCE)
 
 
 @query("log_run_success", "total_runs:i success_runs:i success_pct:d2", sql("""SELECT count(*) AS total_runs,
@@ -360,7 +360,7 @@ def _volume(ctx):
   quantile_cont(n, 0.5) AS p50_row_bytes, quantile_cont(n, 0.9) AS p90_row_bytes FROM (
   SELECT length('{"meta_id":"' || meta_id || '","offer_id":"' || offer_id || '"' ||
     coalesce(',"currency":"' || currency || '"', '') || ',"stops":' || stops || '}') AS n
-  FROM meta ORDER BY meta_id DESC LIMIT 20000)""", needs="meta"))
+  FROM meta)""", needs="meta"))
 def _sizes(ctx):
     return quality.row_sizes(ctx.meta_with("currency stops"))
 

@@ -91,7 +91,7 @@ _SNAP = ("cycle_id:s captured_at_utc:t airline:s origin:s destination:s route_ke
   fare_basis, price_total AS total_price_bdt, fare_amount AS base_fare_amount, tax_amount, currency, seat_available,
   seat_capacity, load_factor_pct, booking_class, baggage, aircraft, duration_min, stops, soldout, penalty_source
   FROM offers o LEFT JOIN meta m USING (offer_id) WHERE cycle_id = {NEWEST} AND origin IN ('R0', 'R1')
-  ORDER BY origin, destination, departure, airline, flight_number, offer_id, meta_id LIMIT 250""",
+  """,
        needs="offers meta"))
 def _snapshot(ctx):
     return reporting.current_snapshot(ctx.offers, ctx.meta, newest(ctx), origins=["R0", "R1"])
@@ -166,11 +166,10 @@ def _penalty(ctx):
     return reporting.penalty_snapshot(ctx.offers, ctx.meta, datetime(1995, 1, 1), datetime(1996, 1, 1))
 
 
-@query("penalty_list", _PENALTY, sql(_PENALTY_SQL + f""" AND cycle_id = {NEWEST} AND airline IN ('A1', 'A2')
-  ORDER BY origin, destination, departure, airline, flight_number, offer_id, meta_id LIMIT 100""",
+@query("penalty_list", _PENALTY, sql(_PENALTY_SQL + f""" AND cycle_id = {NEWEST} AND airline IN ('A1', 'A2')""",
        needs="offers meta"))
 def _penalty_list(ctx):
-    return reporting.penalty_snapshot(ctx.offers, ctx.meta, cycle_id=newest(ctx), airlines=["A1", "A2"], limit=100)
+    return reporting.penalty_snapshot(ctx.offers, ctx.meta, cycle_id=newest(ctx), airlines=["A1", "A2"])
 
 
 TAX_SQL = f"""SELECT cycle_id, o.captured_at AS captured_at_utc, CAST(o.captured_at AS DATE) AS report_day, airline,
@@ -220,11 +219,10 @@ def _tax_airlines(ctx):
 
 
 @query("tax_monitor_details", _TAX_COLS + " " + CLASS_COLS, sql(f"""SELECT * FROM (SELECT *, {CLASS} FROM dt
-  WHERE cycle_id = {NEWEST}) WHERE route_type = 'INT' ORDER BY origin, destination, departure_utc, airline,
-  flight_number, cabin, fare_basis, captured_at_utc, tax_amount, currency NULLS FIRST LIMIT 300""",
+  WHERE cycle_id = {NEWEST}) WHERE route_type = 'INT'""",
        needs="offers meta", ctes=_DEDUP))
 def _tax_details(ctx):
-    return reporting.tax_details(tax(ctx), newest(ctx), ctx.airports, ["INT"], 300)
+    return reporting.tax_details(tax(ctx), newest(ctx), ctx.airports, ["INT"])
 
 
 _RECENT = """recent AS (SELECT cycle_id, max(captured_at) AS cycle_completed_at_utc FROM offers GROUP BY 1

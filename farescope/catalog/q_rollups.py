@@ -78,10 +78,10 @@ def _activity(ctx):
   {_n("direction = 'up'")} AS up_events, {_n("direction = 'down'")} AS down_events,
   min(detected_at) AS first_event_at_utc, max(detected_at) AS last_event_at_utc FROM changes
   WHERE report_day >= DATE '1995-01-01' AND report_day <= DATE '1996-12-31' AND airline IN ('A1', 'A2')
-  GROUP BY {_G} ORDER BY report_day DESC, origin, destination, airline, cabin LIMIT 500""", needs="changes"))
+  GROUP BY {_G}""", needs="changes"))
 def _route_summary(ctx):
     filters = rollups.change_filters(date(1995, 1, 1), date(1996, 12, 31), airlines=["a1", "A2"])
-    return rollups.route_summary(ctx.changes, filters, 500)
+    return rollups.route_summary(ctx.changes, filters)
 
 
 _EVENT = ("cycle_id:s previous_cycle_id:s detected_at:t airline:s origin:s destination:s route_key:s "
@@ -93,12 +93,11 @@ _ORDER = ("airline, origin, destination, flight_number, departure_day, departure
 
 @query("change_event_list", _EVENT, sql(f"""SELECT *, origin || '-' || destination AS route_key FROM changes
   WHERE report_day >= DATE '1994-01-01' AND origin IN ('R0', 'R1') AND destination IN ('R2', 'R3')
-    AND domain IN ('price', 'seat') AND change_type IN ('increase') AND direction IN ('up')
-  ORDER BY detected_at DESC, {_ORDER} LIMIT 250""", needs="changes"))
+    AND domain IN ('price', 'seat') AND change_type IN ('increase') AND direction IN ('up')""", needs="changes"))
 def _list(ctx):
     filters = rollups.change_filters(date(1994, 1, 1), origins=["r0", "R1"], destinations=["R2", "R3"],
                                      domains=["price", "seat"], change_types=["increase"], directions=["up"])
-    return rollups.change_events(ctx.changes, filters, 250)
+    return rollups.change_events(ctx.changes, filters)
 
 
 @query("change_totals", "event_count:i route_count:i airline_count:i latest_event_at_utc:t up_count:i down_count:i "
@@ -142,7 +141,7 @@ def _top_airlines(ctx):
 
 
 @query("change_domain_mix", "domain:s event_count:i", sql("""SELECT coalesce(nullif(domain, 'capacity'),
-  'unclassified') AS domain, count(*) AS event_count FROM changes GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10""",
+  'unclassified') AS domain, count(*) AS event_count FROM changes GROUP BY 1""",
        needs="changes"))
 def _domains(ctx):
     return rollups.domain_mix(ctx.changes.withColumn("domain", F.expr("nullif(domain, 'capacity')")))
@@ -152,17 +151,16 @@ def _domains(ctx):
   CASE field_name WHEN 'tax_amount' THEN 'Tax amount' WHEN 'seat_available' THEN 'Seat available'
     WHEN 'booking_class' THEN 'Booking class' WHEN 'price_total' THEN 'Price Total' WHEN 'arrival' THEN 'Arrival'
     WHEN 'soldout' THEN 'Soldout' WHEN 'aircraft' THEN 'Aircraft' WHEN '__row_presence__' THEN 'Row Presence' END
-    AS display_name FROM (SELECT field_name, count(*) AS event_count FROM changes GROUP BY 1
-  ORDER BY 2 DESC, 1 LIMIT 10)""", needs="changes"))
+    AS display_name FROM (SELECT field_name, count(*) AS event_count FROM changes GROUP BY 1)""", needs="changes"))
 def _fields(ctx):
-    return rollups.field_mix(ctx.changes, n=10)
+    return rollups.field_mix(ctx.changes)
 
 
 @query("change_largest_moves", "id:i " + _EVENT, sql(f"""SELECT *, origin || '-' || destination AS route_key,
   row_number() OVER (ORDER BY abs(magnitude) DESC NULLS LAST, detected_at DESC, {_ORDER}) AS id FROM changes
   WHERE domain = 'price' ORDER BY id LIMIT 25""", needs="changes"))
 def _moves(ctx):
-    return rollups.largest_moves(ctx.changes, rollups.change_filters(domains=["price"]), 25)
+    return rollups.largest_moves(ctx.changes, 25, rollups.change_filters(domains=["price"]))
 
 
 @query("visible_changes", "field_name:s events:i", sql("""SELECT field_name, count(*) AS events FROM changes

@@ -138,9 +138,14 @@ _SELECTORS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantit
 _PLANS: dict[tuple, DataFrame] = {}
 
 
+def session_key(spark: SparkSession) -> str:
+    """Names a session for good; its object's id would be used again after it is gone."""
+    return f"{spark.sparkContext.applicationId}/{spark._jsparkSession.sessionUUID()}"
+
+
 def _plan(spark: SparkSession, key: tuple, build) -> DataFrame:
     """Analysed (not computed) input tables, kept per session to save repeated analysis."""
-    full = (spark.sparkContext.applicationId, id(spark._jsparkSession), *key)
+    full = (session_key(spark), *key)
     if full not in _PLANS:
         _PLANS[full] = build()
     return _PLANS[full]

@@ -254,12 +254,17 @@ def field_display_name(name: Column) -> Column:
     text = F.trim(F.coalesce(name, F.lit("")))
     words = F.filter(F.split(text, "_"), lambda w: w != "")
     title = F.array_join(
-        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1000)))), " "
+        F.transform(words, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(w.substr(F.lit(2), F.length(w))))), " "
     )
     known = F.create_map(*[F.lit(x) for kv in FIELD_DISPLAY_NAMES.items() for x in kv])
     return F.when(text == "", F.lit("-")).otherwise(F.coalesce(F.try_element_at(known, text), title))
 
 
+def top(df: DataFrame, n: int | None, *order: Column | str) -> DataFrame:
+    """The first ``n`` rows in an order, or all rows, unordered, without ``n``."""
+    return df if n is None else df.orderBy(*order).limit(n)
+
+
 def first_rows(df: DataFrame, keys: Sequence[str | Column], order: Sequence[Column], n: int = 1,
                rank_name: str | None = None) -> DataFrame:
     """First ``n`` rows of every group in the given order.

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farescope.functions import (
-    COMPARE_KEY, PENALTY_FEES, ROUTE, any_of, bounded_broadcast, clip, clock, half_even, ratio, route_key,
+    COMPARE_KEY, PENALTY_FEES, ROUTE, any_of, bounded_broadcast, clip, clock,
+    half_even, ratio, route_key, top,
 )
 from farescope.operators.reporting import with_countries
 
@@ -261,14 +262,13 @@ def changes_by_airline(flights: DataFrame) -> DataFrame:
     ).orderBy(F.col("rows").desc(), F.col("fare_up").desc(), F.col("fare_down").desc(), "airline")
 
 
-def changes_by_route(flights: DataFrame, n: int = 30) -> DataFrame:
+def changes_by_route(flights: DataFrame, n: int | None = None) -> DataFrame:
     flags = _flags()
     kept = ["new", "sold_out", "fare_up", "fare_down", "seat_down", "load_up"]
     out = flights.groupBy("route", F.upper("airline").alias("airline")).agg(
         F.count("*").alias("rows"), *[F.count_if(flags[k]).alias(k) for k in kept])
     total = sum((F.col(k) for k in kept), F.lit(0))
-    return out.withColumn("total_events", total).orderBy(
-        F.col("total_events").desc(), F.col("rows").desc(), "route", "airline").limit(n)
+    return top(out.withColumn("total_events", total), n, F.col("total_events").desc(), F.col("rows").desc(), "route", "airline")
 
 
 def _first_text(name: str) -> Column:
@@ -305,13 +305,12 @@ def penalty_changes(flights: DataFrame) -> DataFrame:
             return F.when(F.col(f"{s}_{f}"), "Yes").when(~F.col(f"{s}_{f}"), "No").otherwise("--")
 
         note = F.col(f"{s}_penalty_rule_text")
-        short = F.when(F.length(note) > 80, F.concat(F.substring(note, 1, 77), F.lit("..."))).otherwise(note)
         currency = F.coalesce(F.nullif(F.upper(F.trim(F.col(f"{s}_penalty_currency"))), F.lit("")), F.lit("--"))
         return F.concat(
             currency, F.lit(" | Chg:"), F.concat_ws("/", *[fee(f) for f in PENALTY_FEES[:3]]),
             F.lit(" | Can:"), F.concat_ws("/", *[fee(f) for f in PENALTY_FEES[3:]]),
             F.lit(" | Refundable:"), flag("fare_refundable"), F.lit(" | Changeable:"), flag("fare_changeable"),
-            F.coalesce(F.concat(F.lit(" | Note:"), short), F.lit("")))
+            F.coalesce(F.concat(F.lit(" | Note:"), note), F.lit("")))
 
     change = (
         F.when(known("current") & ~known("previous"), "NEW").when(~known("current") & known("previous"), "REMOVED")
@@ -393,12 +392,6 @@ def peak_concurrent(flights: DataFrame) -> DataFrame:
     return net.withColumn("running", running).groupBy("airline").agg(F.max("running").alias("peak"))
 
 
-def _limited(values: Column, limit: int) -> Column:
-    more = F.concat(F.lit(" (+"), (F.size(values) - limit).cast("string"), F.lit(")"))
-    return F.concat(F.array_join(F.slice(values, 1, limit), ", "),
-                    F.when(F.size(values) > limit, more).otherwise(F.lit("")))
-
-
 def _frequency(rows: Column, days: Column) -> dict[str, Column]:
     daily = F.coalesce(half_even(ratio(rows, days), 2), F.lit(0.0))
     return {"daily_avg": daily, "weekly_est": half_even(daily * 7.0, 2)}
@@ -415,8 +408,8 @@ def ops_by_airline(flights: DataFrame, fleet: DataFrame) -> DataFrame:
         F.max("departure_time").alias("last_departure"))
     known = fleet.groupBy(F.upper("airline").alias("airline")).agg(
         F.sum("aircraft_count").alias("fleet_count"),
-        _limited(F.array_sort(F.collect_list("aircraft_type")), 8).alias("fleet_types"),
-        _limited(F.array_sort(F.collect_set(F.col("seats_per_aircraft").cast("string"))), 8).alias("seat_capacities"))
+        F.array_sort(F.collect_list("aircraft_type")).alias("fleet_types"),
+        F.array_sort(F.collect_set(F.col("seats_per_aircraft").cast("string"))).alias("seat_capacities"))
     out = seen.join(bounded_broadcast(known), "airline", "left").join(peak_concurrent(flights), "airline", "left")
     return out.select(
         "airline", "observed_rows", "observed_routes",
@@ -434,7 +427,7 @@ def ops_by_route(flights: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("aircraft")).alias("aircraft_types"))
     return out.select("airline", "route", "operating_days", "observed_flights",
                       *[c.alias(n) for n, c in _frequency(F.col("observed_flights"), F.col("operating_days")).items()],
-                      _limited(F.col("times"), 8).alias("timings"), "aircraft_types")
+                      F.col("times").alias("timings"), "aircraft_types")
 
 
 def ops_by_route_day(flights: DataFrame) -> DataFrame:
@@ -442,9 +435,8 @@ def ops_by_route_day(flights: DataFrame) -> DataFrame:
     per = flights.groupBy("route", F.date_format("flight_date", "EEEE").alias("day_name"),
                           F.upper("airline").alias("airline")).agg(
         F.count("flight_key").alias("flights"), F.array_sort(F.collect_set("departure_time")).alias("times"))
-    entry = F.concat("airline", F.lit(":"), F.col("flights").cast("string"), F.lit("["), _limited(F.col("times"), 4),
+    entry = F.concat("airline", F.lit(":"), F.col("flights").cast("string"), F.lit("["), F.array_join("times", ", "),
                      F.lit("]"))
     return per.groupBy("route", "day_name").agg(
         F.sum("flights").alias("total"),
-        _limited(F.transform(F.array_sort(F.collect_list(F.struct("airline", entry.alias("e")))), lambda s: s["e"]), 5)
-        .alias("details"))
+        F.transform(F.array_sort(F.collect_list(F.struct("airline", entry.alias("e")))), lambda s: s["e"]).alias("details"))

@@ -79,7 +79,7 @@ def last_n_by_id(offers: DataFrame, n: int) -> DataFrame:
     return ids.withColumn("position", F.row_number().over(Window.orderBy("cycle_id"))).orderBy("position")
 
 
-def latest_two_full(offers: DataFrame, lookback: int = 40, min_rows_floor: int = 100, min_full_ratio: float = 0.30,
+def latest_two_full(offers: DataFrame, lookback: int | None = None, min_rows_floor: int = 100, min_full_ratio: float = 0.30,
                     airlines: Sequence[str] | None = None) -> DataFrame:
     """The two newest complete cycles.
 
@@ -93,8 +93,7 @@ def latest_two_full(offers: DataFrame, lookback: int = 40, min_rows_floor: int =
         F.max("captured_at").alias("captured_at"), F.sum("rows").alias("total"),
         F.collect_list(F.struct("airline", "rows")).alias("per_airline"),
     )
-    # From here on there are at most max(lookback, 200) cycles, so windows over all of them are small.
-    recent = _by_capture(per_cycle).limit(max(lookback, 2, 200))
+    recent = per_cycle if lookback is None else _by_capture(per_cycle).limit(max(lookback, 2))
     wanted = [a.strip().upper() for a in airlines or []]
     used = F.array_contains(F.array(*[F.lit(a) for a in wanted]), F.col("airline")) if wanted else F.trim("airline") != ""
     flat = recent.select("cycle_id", "captured_at", "total", F.inline("per_airline")).where(F.col("airline").isNotNull())
@@ -136,17 +135,20 @@ def airline_stats(offers: DataFrame) -> DataFrame:
     )
 
 
-def partial_cycles(offers: DataFrame, selected: DataFrame, lookback: int = 200, min_rows_floor: int = 100,
+def partial_cycles(offers: DataFrame, selected: DataFrame, lookback: int | None = None, min_rows_floor: int = 100,
                    min_full_ratio: float = 0.30, airlines: Sequence[str] | None = None) -> DataFrame:
     """Selected cycles that look incomplete for an airline against its recent best.
 
     ``selected`` has ``label`` (such as current, previous) and ``cycle_id``.
     """
-    recent = _by_capture(cycle_times(offers)).limit(max(2, lookback)).select("cycle_id")
     if airlines:
         offers = offers.where(F.upper("airline").isin([a.upper() for a in airlines]))
     stats = airline_stats(offers)
-    best = stats.join(recent, "cycle_id", "left_semi").groupBy("airline").agg(
+    known = stats
+    if lookback is not None:
+        recent = _by_capture(cycle_times(offers)).limit(max(2, lookback)).select("cycle_id")
+        known = stats.join(recent, "cycle_id", "left_semi")
+    best = known.groupBy("airline").agg(
         F.max("row_count").alias("max_rows"), F.max("route_count").alias("max_routes")
     )
     best = best.withColumn(
@@ -168,8 +170,7 @@ def partial_cycles(offers: DataFrame, selected: DataFrame, lookback: int = 200,
     ).where((F.col("rows_now") < F.col("row_threshold")) | (F.col("routes_now") < F.col("route_threshold")))
 
 
-def cycle_health(offers: DataFrame, routes: DataFrame, as_of: datetime, stale_minutes: int = 180,
-                 max_missing: int = 60) -> DataFrame:
+def cycle_health(offers: DataFrame, routes: DataFrame, as_of: datetime, stale_minutes: int = 180) -> DataFrame:
     """Freshness of the newest comparable cycle and its coverage of the configured route pairs."""
     latest = latest_cycle(cycle_runs(offers))
     pair = F.concat(F.col("airline"), F.lit(":"), route_key())
@@ -177,7 +178,7 @@ def cycle_health(offers: DataFrame, routes: DataFrame, as_of: datetime, stale_mi
     in_cycle = offers.where(F.col("cycle_id") == latest.select("cycle_id").scalar())
     observed = in_cycle.select(pair.alias("pair")).where("pair is not null").distinct()
     gaps = configured.join(observed, "pair", "left_anti")
-    first_gaps = gaps.orderBy("pair").limit(max_missing).agg(F.array_sort(F.collect_list("pair")))
+    all_gaps = gaps.agg(F.array_sort(F.collect_list("pair")))
     age = (F.unix_timestamp(F.lit(as_of)) - F.unix_timestamp("cycle_completed_at_utc")) / 60.0
     n_configured = configured.agg(F.count("*")).scalar()
     n_observed = observed.agg(F.count("*")).scalar()
@@ -189,7 +190,7 @@ def cycle_health(offers: DataFrame, routes: DataFrame, as_of: datetime, stale_mi
         n_configured.alias("configured_route_pair_count"),
         n_observed.alias("observed_route_pair_count"),
         F.coalesce(pct(n_observed, n_configured, 2), F.lit(0.0)).alias("route_pair_coverage_pct"),
-        first_gaps.scalar().alias("missing_route_pairs"),
+        all_gaps.scalar().alias("missing_route_pairs"),
     )
 
 

@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, exact_medians, ratio
+from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, exact_medians, ratio, top
 from farescope.operators.rollups import DAILY_KEY
 from farescope.sources import latest_meta
 
@@ -510,28 +510,27 @@ def leaderboard(evals: DataFrame, metric: str = "mae", ascending: bool = True, n
     """Rows with the metric, best or worst first."""
     rows = evals.where(F.col(metric).isNotNull() & (F.coalesce("n", F.lit(0)) >= min_n))
     order = F.col(metric).asc() if ascending else F.col(metric).desc()
-    out = rows.orderBy(order, *ties)
-    return out.limit(n) if n else out
+    return top(rows, n, order, *ties)
 
 
-def winner_board(winners: DataFrame, n: int = 10, min_n: int = 5, ties: Sequence[str] = ("winner_model",)) -> DataFrame:
+def winner_board(winners: DataFrame, n: int | None = None, min_n: int = 5, ties: Sequence[str] = ("winner_model",)) -> DataFrame:
     """Winners with enough rows, lowest MAE first, unknown MAE last."""
     rows = winners.where(F.coalesce("winner_n", F.lit(0)) >= min_n)
-    return rows.orderBy(F.col("winner_mae").asc_nulls_last(), *ties).limit(n)
+    return top(rows, n, F.col("winner_mae").asc_nulls_last(), *ties)
 
 
-PREFERRED = ["pred_dl_mlp_q50", "pred_ml_catboost_q50", "pred_ml_lightgbm_q50", "pred_rolling_mean_3", "pred_last_value"]
+#: First the median of the quantile model, where there is one; names of other models' medians are accepted too.
+PREFERRED = ["pred_dl_mlp_q50", "pred_ml_catboost_q50", "pred_ml_lightgbm_q50", "pred_gbt_q50", "pred_rolling_mean_3", "pred_last_value"]
 
 
-def watchlist(next_days: DataFrame, n: int = 12, ties: Sequence[str] = ()) -> DataFrame:
+def watchlist(next_days: DataFrame, n: int | None = None, ties: Sequence[str] = ()) -> DataFrame:
     """Series whose preferred forecast is furthest from the last actual value."""
     have = [c for c in PREFERRED if c in next_days.columns]
     value = F.coalesce(*[F.col(c) for c in have])
     key = F.coalesce(*[F.when(F.col(c).isNotNull(), F.lit(c)) for c in have])
     rows = next_days.withColumns({"preferred_key": key, "preferred_value": value,
                                   "delta": value - F.col("latest_actual_value")})
-    return rows.where("preferred_value is not null").orderBy(
-        F.coalesce(F.abs("delta"), F.lit(-1.0)).desc(), *ties).limit(n)
+    return top(rows.where("preferred_value is not null"), n, F.coalesce(F.abs("delta"), F.lit(-1.0)).desc(), *ties)
 
 
 def confidence_label(mae: Column, accuracy: Column) -> Column:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import ROUTE, any_of, clock, first_rows, route_key
+from farescope.functions import ROUTE, any_of, clock, first_rows, route_key, top
 
 _GROUP_PARTS = ["route_key", "airline", "flight_number", "departure_time", "cabin", "aircraft", "search_trip_type",
                 "requested_return_date", "leg_direction"]
@@ -15,13 +15,13 @@ _TRIP = ["trip_request_id", "requested_outbound_date", "requested_return_date",
          "itinerary_leg_count"]
 
 
-def top_monitor_routes(offers: DataFrame, meta: DataFrame, cycle_id: str | Column, n: int = 20) -> DataFrame:
-    """Routes with the most offer and side-car rows in a cycle."""
+def top_monitor_routes(offers: DataFrame, meta: DataFrame, cycle_id: str | Column, n: int | None = None) -> DataFrame:
+    """Routes with their offer and side-car rows in a cycle; with ``n`` the busiest."""
     cycle = cycle_id if isinstance(cycle_id, Column) else F.lit(cycle_id)
     rows = offers.where(F.col("cycle_id") == cycle).select("offer_id", *ROUTE)
     rows = rows.join(meta.select("offer_id"), "offer_id", "left")
     counts = rows.groupBy(*ROUTE).agg(F.count("*").alias("row_count")).withColumn("route_key", route_key())
-    return counts.orderBy(F.col("row_count").desc(), "route_key").limit(n)
+    return top(counts, n, F.col("row_count").desc(), "route_key")
 
 
 def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None = None,
@@ -109,7 +109,7 @@ def cell_signal(previous_price: Column, has_previous: Column) -> Column:
     )
 
 
-def monitor_matrix(cells: DataFrame, cycle_id: str | Column, history_limit: int = 12) -> DataFrame:
+def monitor_matrix(cells: DataFrame, cycle_id: str | Column, history_limit: int | None = None) -> DataFrame:
     """Signals of the flights in a cycle over their latest captures.
 
     A cell is compared with the same flight's capture before. Which captures are shown is decided on
@@ -132,7 +132,7 @@ def monitor_matrix(cells: DataFrame, cycle_id: str | Column, history_limit: int
     recent = Window.partitionBy("route_key", "departure_date").orderBy(F.col("captured_at_utc").desc())
     captures = history.select("route_key", "departure_date", "captured_at_utc").distinct()
     captures = captures.withColumn("capture_rank", F.row_number().over(recent))
-    if history_limit > 0:
+    if history_limit is not None:
         captures = captures.where(F.col("capture_rank") <= history_limit)
     shown = history.join(captures, ["route_key", "departure_date", "captured_at_utc"])
     return shown.withColumns({

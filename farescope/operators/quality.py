@@ -8,7 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farescope.functions import any_of, clip, first_rows, half_even, numeric_round, pct, ratio, route_key
+from farescope.functions import any_of, clip, first_rows, half_even, numeric_round, pct, ratio, route_key, top
 from farescope.operators.rollups import DAILY_KEY
 from farescope.sources import latest_meta
 
@@ -207,10 +207,11 @@ def risk_from_rollups(rows: DataFrame) -> DataFrame:
 _TIES = ["route_label", "report_day"]
 
 
-def action_queue(risk: DataFrame, n: int = 40) -> DataFrame:
+def action_queue(risk: DataFrame, n: int | None = None) -> DataFrame:
     """The routes to look at first, with what to do."""
     order = [F.col(c).desc() for c in ("risk_score", "total_change_events", "availability_change_events",
                                        "price_change_events")]
+    # Fixed texts.
     action = (
         F.when(F.col("soldout_flag_changes") > 0, "Check inventory controls and soldout transitions immediately.")
         .when(F.col("availability_change_events") > F.col("price_change_events"),
@@ -218,7 +219,7 @@ def action_queue(risk: DataFrame, n: int = 40) -> DataFrame:
         .when(F.col("price_change_events") > 0, "Review fare ladder, competitor pressure, and pricing rules.")
         .otherwise("Monitor next scrape cycle for persistence.")
     )
-    return risk.orderBy(*order, *_TIES).limit(n).select(
+    return top(risk, n, *order, *_TIES).select(
         "report_day", "risk_level", "risk_score", "risk_flags", "route_label", "total_change_events",
         "availability_change_events", "price_change_events", "flights_affected", "soldout_flag_changes",
         action.alias("recommended_action"),
@@ -239,7 +240,7 @@ def airline_risk(risk: DataFrame) -> DataFrame:
     ).orderBy(F.col("total_change_events").desc(), F.col("max_risk_score").desc(), "airline")
 
 
-def airline_sections(risk: DataFrame, n: int = 15) -> DataFrame:
+def airline_sections(risk: DataFrame, n: int) -> DataFrame:
     """Top rows per carrier; the group limit is applied before the shuffle."""
     order = [F.col("risk_score").desc(), F.col("total_change_events").desc(), *[F.col(c) for c in _TIES]]
     return first_rows(risk, ["airline"], order, n, rank_name="rank_in_airline").select(
@@ -247,23 +248,23 @@ def airline_sections(risk: DataFrame, n: int = 15) -> DataFrame:
         "availability_change_events", "price_change_events", "flights_affected", "risk_flags")
 
 
-def route_airline_pivot(risk: DataFrame, airlines: Sequence[str], n: int = 100) -> DataFrame:
-    """Events per route label and carrier with a total, largest totals first."""
-    pivoted = risk.groupBy("route_label").pivot("airline", list(airlines)).agg(F.sum("total_change_events"))
-    filled = [F.coalesce(F.col(f"`{a}`"), F.lit(0)).alias(a) for a in airlines]
-    total = sum((F.coalesce(F.col(f"`{a}`"), F.lit(0)) for a in airlines), F.lit(0))
-    return pivoted.select("route_label", *filled, total.alias("all_airlines_total")).orderBy(
-        F.col("all_airlines_total").desc(), "route_label").limit(n)
+def route_airline_pivot(risk: DataFrame, airlines: Sequence[str], n: int | None = None) -> DataFrame:
+    """Events per route label and listed carrier, and the total over all carriers."""
+    events = F.col("total_change_events")
+    pivoted = risk.groupBy("route_label").agg(
+        *[F.coalesce(F.sum(F.when(F.col("airline") == a, events)), F.lit(0)).alias(a) for a in airlines],
+        F.coalesce(F.sum(events), F.lit(0)).alias("all_airlines_total"))
+    return top(pivoted, n, F.col("all_airlines_total").desc(), "route_label")
 
 
-def top_risk(risk: DataFrame, n: int = 25) -> DataFrame:
+def top_risk(risk: DataFrame, n: int) -> DataFrame:
     order = [F.col("risk_score").desc(), F.col("total_change_events").desc(), *[F.col(c) for c in _TIES]]
-    return risk.orderBy(*order).limit(n)
+    return top(risk, n, *order)
 
 
-def top_availability(risk: DataFrame, n: int = 25) -> DataFrame:
+def top_availability(risk: DataFrame, n: int) -> DataFrame:
     order = [F.col("availability_change_events").desc(), F.col("risk_score").desc(), *[F.col(c) for c in _TIES]]
-    return risk.orderBy(*order).limit(n)
+    return top(risk, n, *order)
 
 
 def executive_kpis(risk: DataFrame, summary: DataFrame, price: DataFrame, availability: DataFrame,
@@ -404,10 +405,10 @@ def log_counts(logs: DataFrame, since: datetime) -> DataFrame:
     return rows.groupBy("kind", "name").agg(F.count("*").alias("lines"))
 
 
-def failure_hits(logs: DataFrame, since: datetime, n: int = 25) -> DataFrame:
-    """First failure lines in file and time order."""
+def failure_hits(logs: DataFrame, since: datetime, n: int | None = None) -> DataFrame:
+    """Failure lines; with ``n`` the first in file and time order."""
     rows = logs.where((F.col("ts") >= F.lit(since)) & _failure_hit())
-    return rows.orderBy("file", "ts", "logger", "message").limit(n)
+    return top(rows, n, "file", "ts", "logger", "message")
 
 
 def timezone_audit(offers: DataFrame, meta: DataFrame, offsets: DataFrame) -> DataFrame:
@@ -432,11 +433,10 @@ def daily_volume(meta: DataFrame, since: datetime) -> DataFrame:
         F.count("*").alias("row_count")).orderBy(F.col("day").desc())
 
 
-def row_sizes(meta: DataFrame, sample_rows: int = 20_000) -> DataFrame:
-    """Mean and percentile row size over the newest rows (the sample size is part of the report)."""
-    newest = meta.orderBy(F.col("meta_id").desc()).limit(sample_rows)
+def row_sizes(meta: DataFrame, newest: int | None = None) -> DataFrame:
+    """Mean and percentile row size over all rows, or the newest. Spark counts equal sizes, so percentiles stay small."""
     size = F.length(F.to_json(F.struct(*meta.columns))).alias("bytes")
-    return newest.select(size).agg(
+    return top(meta, newest, F.col("meta_id").desc()).select(size).agg(
         F.avg("bytes").alias("avg_row_bytes"), F.percentile("bytes", 0.5).alias("p50_row_bytes"),
         F.percentile("bytes", 0.9).alias("p90_row_bytes"))
 
@@ -453,7 +453,7 @@ def runtime_by_airline(query_log: DataFrame) -> DataFrame:
         numeric_round(F.max("elapsed_sec"), 4).alias("max_sec"))
 
 
-def slowest_routes(query_log: DataFrame, n: int = 50) -> DataFrame:
+def slowest_routes(query_log: DataFrame, n: int) -> DataFrame:
     route = F.concat("airline", F.lit(":"), route_key(), F.lit(":"), "cabin")
     return query_log.groupBy(route.alias("route")).agg(
         F.count("*").alias("count"), numeric_round(F.avg("elapsed_sec"), 4).alias("avg_sec"),

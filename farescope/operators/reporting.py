@@ -8,9 +8,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import (
-    PENALTY_FEES, ROUTE, any_of, bounded_broadcast, classify_route, route_key,
-)
+from farescope.functions import PENALTY_FEES, ROUTE, any_of, bounded_broadcast, classify_route, route_key, top
 from farescope.sources import offers_with_meta
 
 
@@ -103,15 +101,13 @@ def route_scope(df: DataFrame, airports: DataFrame, market: str, scope: str = "a
 
 def current_snapshot(offers: DataFrame, meta: DataFrame, cycle_id: str | Column, airlines: Sequence[str] | None = None,
                      origins: Sequence[str] | None = None, destinations: Sequence[str] | None = None,
-                     cabins: Sequence[str] | None = None, limit: int = 250) -> DataFrame:
-    """Offers of one cycle with their side-car, ordered by route and departure."""
+                     cabins: Sequence[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Offers of one cycle with their side-car; with a limit the first by route and departure."""
     filters = (_in("airline", airlines) + _in("origin", origins) + _in("destination", destinations)
                + _in("cabin", cabins, upper=False))
     rows = offers_with_meta(_where(offers.where(_cycle(cycle_id)), filters), meta)
     money, load = "decimal(12,2)", "decimal(6,2)"
-    return rows.orderBy(
-        "origin", "destination", "departure", "airline", "flight_number", "offer_id", "meta_id"
-    ).limit(limit).select(
+    return top(rows, limit, "origin", "destination", "departure", "airline", "flight_number", "offer_id", "meta_id").select(
         "cycle_id", F.col("captured_at").alias("captured_at_utc"), "airline", "origin", "destination",
         route_key().alias("route_key"), "flight_number", F.col("departure").alias("departure_utc"), "cabin", "brand",
         "fare_basis", F.col("price_total").cast(money).alias("total_price_bdt"),
@@ -224,9 +220,7 @@ def penalty_snapshot(offers: DataFrame, meta: DataFrame, start: datetime | None
             "fare_refundable", "penalty_rule_text"]
     known = meta.select(*side).where(any_of([F.col(c).isNotNull() for c in ["penalty_rule_text", *PENALTY_FEES]]))
     rows = rows.join(known, "offer_id")
-    if limit is not None:
-        rows = rows.orderBy("origin", "destination", "departure", "airline", "flight_number", "offer_id",
-                            "meta_id").limit(limit)
+    rows = top(rows, limit, "origin", "destination", "departure", "airline", "flight_number", "offer_id", "meta_id")
     return rows.select(
         "cycle_id", F.col("captured_at").alias("captured_at_utc"), F.to_date("captured_at").alias("report_day"),
         "airline", "origin", "destination", route_key().alias("route_key"), "flight_number",
@@ -283,11 +277,11 @@ def tax_airlines(tax: DataFrame, cycle_id: str | Column, airlines: Sequence[str]
 
 
 def tax_details(tax: DataFrame, cycle_id: str | Column, airports: DataFrame, route_types: Sequence[str] | None = None,
-                limit: int = 500) -> DataFrame:
-    """Deduplicated tax rows of a cycle, classified and ordered."""
+                limit: int | None = None) -> DataFrame:
+    """Deduplicated tax rows of a cycle, classified; with a limit the first by route and departure."""
     rows = filter_route_types(annotate_routes(deduped_tax(tax.where(_cycle(cycle_id))), airports), route_types)
-    return rows.orderBy("origin", "destination", "departure_utc", "airline", "flight_number", "cabin", "fare_basis",
-                        "captured_at_utc", "tax_amount", "currency").limit(limit)
+    return top(rows, limit, "origin", "destination", "departure_utc", "airline", "flight_number", "cabin", "fare_basis",
+               "captured_at_utc", "tax_amount", "currency")
 
 
 def tax_trends(tax: DataFrame, cycles: DataFrame, by_airline: bool = False) -> DataFrame:

@@ -13,7 +13,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import HIDDEN_CHANGE_FIELDS, field_display_name, numeric_round, route_key
+from farescope.functions import HIDDEN_CHANGE_FIELDS, field_display_name, numeric_round, route_key, top
 
 DAILY_KEY = ["report_day", "airline", "origin", "destination", "cabin"]
 
@@ -157,7 +157,7 @@ def _filtered(events: DataFrame, filters: Sequence[Column]) -> DataFrame:
     return events
 
 
-def route_summary(events: DataFrame, filters: Sequence[Column] = (), limit: int = 500) -> DataFrame:
+def route_summary(events: DataFrame, filters: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
     out = _filtered(events, filters).groupBy(*DAILY_KEY).agg(
         *_affected(),
         _is("direction", "up").alias("up_events"),
@@ -165,17 +165,17 @@ def route_summary(events: DataFrame, filters: Sequence[Column] = (), limit: int
         *_event_span("_utc"),
     )
     order = [F.col("report_day").desc(), "origin", "destination", "airline", "cabin"]
-    return out.withColumn("route_key", route_key()).orderBy(*order).limit(limit)
+    return top(out.withColumn("route_key", route_key()), limit, *order)
 
 
 _EVENT_ORDER = ["airline", "origin", "destination", "flight_number", "departure_day", "departure_time", "cabin",
                 "fare_basis", "brand", "field_name"]
 
 
-def change_events(events: DataFrame, filters: Sequence[Column] = (), limit: int = 250) -> DataFrame:
-    """Newest events first; equal times are ordered by the offer identity and field."""
+def change_events(events: DataFrame, filters: Sequence[Column] = (), limit: int | None = None) -> DataFrame:
+    """The events; with a limit the newest, equal times ordered by the offer identity and field."""
     rows = _filtered(events, filters).withColumn("route_key", route_key())
-    return rows.orderBy(F.col("detected_at").desc(), *_EVENT_ORDER).limit(limit)
+    return top(rows, limit, F.col("detected_at").desc(), *_EVENT_ORDER)
 
 
 def change_totals(events: DataFrame, filters: Sequence[Column] = ()) -> DataFrame:
@@ -204,40 +204,40 @@ def change_daily(events: DataFrame, filters: Sequence[Column] = ()) -> DataFrame
     ).orderBy("report_day")
 
 
-def top_routes(events: DataFrame, filters: Sequence[Column] = (), n: int = 10) -> DataFrame:
+def top_routes(events: DataFrame, filters: Sequence[Column] = (), n: int | None = None) -> DataFrame:
     out = _filtered(events, filters).groupBy("origin", "destination").agg(
         F.count("*").alias("event_count"),
         F.countDistinct("airline").alias("airline_count"),
         F.max("detected_at").alias("latest_event_at_utc"),
     )
-    return out.withColumn("route_key", route_key()).orderBy(F.col("event_count").desc(), "route_key").limit(n)
+    return top(out.withColumn("route_key", route_key()), n, F.col("event_count").desc(), "route_key")
 
 
-def top_airlines(events: DataFrame, filters: Sequence[Column] = (), n: int = 10) -> DataFrame:
+def top_airlines(events: DataFrame, filters: Sequence[Column] = (), n: int | None = None) -> DataFrame:
     out = _filtered(events, filters).groupBy("airline").agg(
         F.count("*").alias("event_count"),
         F.countDistinct("origin", "destination").alias("route_count"),
         F.max("detected_at").alias("latest_event_at_utc"),
     )
-    return out.orderBy(F.col("event_count").desc(), "airline").limit(n)
+    return top(out, n, F.col("event_count").desc(), "airline")
 
 
-def domain_mix(events: DataFrame, filters: Sequence[Column] = (), n: int = 10) -> DataFrame:
+def domain_mix(events: DataFrame, filters: Sequence[Column] = (), n: int | None = None) -> DataFrame:
     out = _filtered(events, filters).groupBy(F.coalesce("domain", F.lit("unclassified")).alias("domain"))
-    return out.agg(F.count("*").alias("event_count")).orderBy(F.col("event_count").desc(), "domain").limit(n)
+    return top(out.agg(F.count("*").alias("event_count")), n, F.col("event_count").desc(), "domain")
 
 
-def field_mix(events: DataFrame, filters: Sequence[Column] = (), n: int = 10) -> DataFrame:
+def field_mix(events: DataFrame, filters: Sequence[Column] = (), n: int | None = None) -> DataFrame:
     out = _filtered(events, filters).groupBy("field_name").agg(F.count("*").alias("event_count"))
-    top = out.orderBy(F.col("event_count").desc(), "field_name").limit(n)
-    return top.withColumn("display_name", field_display_name(F.col("field_name")))
+    rows = top(out, n, F.col("event_count").desc(), "field_name")
+    return rows.withColumn("display_name", field_display_name(F.col("field_name")))
 
 
-def largest_moves(events: DataFrame, filters: Sequence[Column] = (), n: int = 10) -> DataFrame:
+def largest_moves(events: DataFrame, n: int, filters: Sequence[Column] = ()) -> DataFrame:
     """Events with the largest absolute move, numbered from 1 after the top-n cut."""
     order = [F.abs("magnitude").desc_nulls_last(), F.col("detected_at").desc(), *[F.col(c) for c in _EVENT_ORDER]]
-    top = _filtered(events, filters).withColumn("route_key", route_key()).orderBy(*order).limit(n)
-    return top.withColumn("id", F.row_number().over(Window.orderBy(*order)))
+    rows = top(_filtered(events, filters).withColumn("route_key", route_key()), n, *order)
+    return rows.withColumn("id", F.row_number().over(Window.orderBy(*order)))
 
 
 def visible_changes(events: DataFrame) -> DataFrame:
