@@ -253,7 +253,7 @@ def _split_via(ctx):
 
 @query("flatten_gds_offers", "order_key:i airline:s flight_number:s origin:s destination:s departure:t cabin:s brand:s "
        "fare_basis:s equipment_code:s stops:i seat_available:i fare_amount:d2 tax_amount:d2 total_amount:d2 currency:s "
-       "price_total:d2 soldout:b inventory_confidence:s fare_search_reference:s", sql("""SELECT *,
+       "price_total:d2 soldout:b inventory_confidence:s fare_search_reference:s baggage:s", sql("""SELECT *,
   CASE cur WHEN 'USD' THEN round(total_amount * 110, 2) WHEN 'BDT' THEN total_amount END AS price_total, cur AS currency FROM (
   SELECT *, coalesce(total0, fare_amount + coalesce(tax0, 0)) AS total_amount,
     coalesce(tax0, greatest(coalesce(total0, fare_amount) - fare_amount, 0)) AS tax_amount FROM (
@@ -265,8 +265,8 @@ def _split_via(ctx):
     CASE WHEN l_partkey % 3 <> 0 THEN CAST(l_linenumber * 10.50 AS DECIMAL(12,2)) END AS tax0,
     CASE WHEN l_partkey % 4 <> 0 THEN CAST(CAST(l_extendedprice AS DECIMAL(12,2)) + 500 AS DECIMAL(12,2)) END AS total0,
     CASE l_partkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'XXX' ELSE 'BDT' END AS cur, false AS soldout,
-    CASE WHEN l_quantity > 5 THEN 'reported' ELSE 'unknown' END AS inventory_confidence, 'ref' AS fare_search_reference
-    FROM lineitem WHERE l_partkey % 9 <> 0))""", needs=""))
+    CASE WHEN l_quantity > 5 THEN 'reported' ELSE 'unknown' END AS inventory_confidence, 'ref' AS fare_search_reference,
+    CASE l_returnflag WHEN 'A' THEN '30 KG' WHEN 'N' THEN '0 KG' END AS baggage FROM lineitem WHERE l_partkey % 9 <> 0))""", needs=""))
 def _gds(ctx):
     offer = F.expr("""named_struct('status', CASE WHEN l_partkey % 9 = 0 THEN 'UNAVAILABLE' ELSE 'available' END,
       'brandId', l_returnflag, 'seatsRemaining', named_struct('count', CASE WHEN l_quantity > 5 THEN CAST(l_quantity AS INT) END),
@@ -282,8 +282,10 @@ def _gds(ctx):
         'arrival', '2030-01-01T07:00:00', 'cabinClass', l_linestatus, 'bookingClass', 'Y', 'fareBasis', 'Y')))))""")
     line = _line(ctx).withColumn("cur", F.expr("CASE l_partkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'XXX' ELSE 'BDT' END"))
     grouped = line.groupBy(F.col("l_orderkey").alias("order_key")).agg(F.collect_list(offer).alias("o"))
-    bare = F.to_json(F.expr("named_struct('fareSearchReference', 'ref', 'unbundledOffers', array(o))"))
-    flat = F.to_json(F.expr("named_struct('originalResponse', named_struct('fareSearchReference', 'ref', 'bundledOffers', o))"))
+    families = """'fareFamilies', from_json('[{"brandId":"A","marketingTexts":[{"marketingText":"Bags &amp; more:"},{"marketingText":"30 kg"}]},
+      {"brandLabel":[{"brandId":"N","marketingText":"No checked baggage"}]},{"brandId":"R","marketingTexts":["Meal"]}]', 'array<variant>')"""
+    bare = F.to_json(F.expr(f"named_struct('fareSearchReference', 'ref', {families}, 'unbundledOffers', array(o))"))
+    flat = F.to_json(F.expr(f"named_struct('originalResponse', named_struct('fareSearchReference', 'ref', {families}, 'bundledOffers', o))"))
     payload = F.when(F.col("order_key") % 2 == 0, bare).otherwise(flat)
     return payloads.flatten_gds(grouped.select("order_key", payload.alias("payload")))
 
@@ -394,14 +396,17 @@ def _infer(ctx):
     return out.withColumn("penalty_rule_text", F.nullif(F.col("penalty_rule_text"), F.lit("")))
 
 
-@query("backfill_penalties", f"meta_id:s penalty_source:s penalty_currency:s {_FEE} fare_changeable:b fare_refundable:b", sql(f"""
+@query("backfill_penalties", f"meta_id:s penalty_source:s penalty_currency:s other_text:s {_FEE} fare_changeable:b fare_refundable:b", sql(f"""
   SELECT concat({_ID}, '#1') AS meta_id, CASE l_partkey % 4 WHEN 0 THEN 'BG_CATEGORY16' WHEN 1 THEN 'GOZAYAAN_POLICIES'
-    WHEN 2 THEN 'AMYBD_REFUND_FLAG' END AS penalty_source, CASE WHEN l_partkey % 4 < 2 THEN 'BDT' END AS penalty_currency,
+    WHEN 2 THEN 'AMYBD_REFUND_FLAG' ELSE CASE WHEN l_partkey % 8 = 7 THEN 'AMYBD_TRIP_HINT' END END AS penalty_source,
+  CASE WHEN l_partkey % 4 < 2 THEN 'BDT' WHEN l_partkey % 8 = 3 THEN 'EUR' END AS penalty_currency,
+  CASE l_partkey % 4 WHEN 2 THEN 'Partially Refundable' WHEN 3 THEN CASE WHEN l_partkey % 8 = 7
+    THEN '{{"notes": ["No-show fee ' || l_partkey || '"]}}' END END AS other_text,
   {', '.join(f"CASE l_partkey % 4 WHEN 0 THEN {t} WHEN 1 THEN {p} END AS {f}" for f, t, p in zip(PENALTY_FEES, (
       "1000 + l_partkey % 9", "1500 + l_partkey % 9", "1100 + l_partkey % 9", "2000 + l_partkey % 9", "2500 + l_partkey % 9",
       "NULL"), ("1100 + l_partkey % 9", "300 + l_partkey % 9", "NULL", "200 + l_partkey % 9", "NULL", "9")))},
-  CASE WHEN l_partkey % 4 = 1 THEN l_partkey % 2 = 0 END AS fare_changeable,
-  CASE WHEN l_partkey % 4 IN (1, 2) THEN true END AS fare_refundable FROM lineitem""", needs=""))
+  CASE WHEN l_partkey % 4 = 1 THEN l_partkey % 2 = 0 WHEN l_partkey % 8 = 3 THEN true END AS fare_changeable,
+  CASE WHEN l_partkey % 4 IN (1, 2) THEN true WHEN l_partkey % 8 = 3 THEN false END AS fare_refundable FROM lineitem""", needs=""))
 def _backfill_penalty(ctx):
     line = _line(ctx)
     payload = F.expr(f"""CASE l_partkey % 4
@@ -410,14 +415,18 @@ def _backfill_penalty(ctx):
           named_struct('fareBasisRules', named_struct('fareBasis', 'OTHER', 'fareRules', array(named_struct('category', '16', 'ruleText', 'WITHIN 24 HRS 7 PER')))),
           named_struct('fareBasisRules', named_struct('fareBasis', 'y1', 'fareRules', array(named_struct('category', '16', 'ruleText', {_RULE}))))))))))
       WHEN 1 THEN concat('{{"a":{{"b":[{{"policies":', {_POLICY}, '}}]}}}}')
-      WHEN 2 THEN '{{"trip":{{"fRefund":"Partially Refundable"}}}}' END""")
+      WHEN 2 THEN '{{"trip":{{"fRefund":"Partially Refundable"}}}}'
+      ELSE CASE WHEN l_partkey % 8 = 3 THEN '{{"x":[{{"leg_wise_fare_rules":{{"L1":{{"ADT":{{"changeable":1,"refundable":false,"currency":"EUR"}}}}}}}}]}}'
+        ELSE concat('{{"trip":{{"notes":["No-show fee ', l_partkey, '"]}}}}') END END""")
     from farescope.schemas import OFFER_META
 
     bare = line.select(F.concat("id", F.lit("#1")).alias("meta_id"), F.col("id").alias("offer_id"), payload.alias("raw_offer"))
     meta = ingest.normalize_meta(bare)
     stored, store = ingest.externalize_payloads(meta, _store(ctx), _AT, "externalize_all")
-    offers = line.select(F.col("id").alias("offer_id"), F.lit("BG").alias("airline"), F.lit("Y1").alias("fare_basis"))
-    return payloads.backfill_penalties(stored.select(*OFFER_META.fieldNames()), store, offers)
+    # A line may occur twice; an offer is one row.
+    offers = line.select(F.col("id").alias("offer_id"), F.lit("BG").alias("airline"), F.lit("Y1").alias("fare_basis")).distinct()
+    filled = payloads.backfill_penalties(stored.select(*OFFER_META.fieldNames()), store, offers)
+    return filled.withColumn("other_text", F.when(F.col("penalty_source").startswith("AMYBD"), F.col("penalty_rule_text")))
 
 
 # ---------------------------------------------------------------- lookups
