@@ -16,12 +16,6 @@ def labelled(ctx):
     return models.feature_matrix(rows, "drop_route_engineered", "R1-R2")
 
 
-def _fast(features):
-    """Feature lists without the texts that have one value per flight."""
-    features.categorical = [c for c in features.categorical if c in ("airline", "cabin", "route_key", "dep_tod_bin", "dtd_bucket")]
-    return features
-
-
 @query("feature_matrix_columns", "kind:s columns:i")
 def _matrix(ctx):
     _, features = labelled(ctx)
@@ -33,20 +27,20 @@ def _matrix(ctx):
 @query("move_classifier", "model:s rows:i accuracy:d balanced_accuracy:d macro_f1:d")
 def _classifier(ctx):
     rows, features = labelled(ctx)
-    return models.move_classifier(rows, _fast(features))["metrics"]
+    return models.move_classifier(rows, features)["metrics"]
 
 
 @query("delta_regressor", "model:s rows:i mae:d2 rmse:d2 median_ae:d2 r2:d")
 def _regressor(ctx):
     rows, features = labelled(ctx)
-    return models.delta_regressor(rows, _fast(features))["metrics"]
+    return models.delta_regressor(rows, features)["metrics"]
 
 
 @query("two_stage", "model:s rows:i mae:d2 rmse:d2 median_ae:d2 r2:d")
 def _two_stage(ctx):
     rows, features = labelled(ctx)
     params = models.TwoStageParams(min_move_delta=5000.0, trees=10, max_depth=4, calibration="sigmoid")
-    return models.two_stage(rows, _fast(features), params)["combined"]
+    return models.two_stage(rows, features, params)["combined"]
 
 
 _SWEEP = """sc AS (SELECT least(1.0::DOUBLE, l_discount * 5 + l_tax * 6) AS p_move, l_quantity - 20 AS pred_delta,
@@ -99,7 +93,7 @@ _ROUTES = ["R1-R2", "R2-R3"]
 def _reports(ctx):
     rows, features = labelled(ctx)
     params = models.TwoStageParams(min_move_delta=5000.0, trees=5, max_depth=3)
-    reports = models.route_reports(rows, _fast(features), _ROUTES, 0, params)
+    reports = models.route_reports(rows, features, _ROUTES, 0, params)
     return models.route_priority(models.report_frame(ctx.spark, reports))
 
 

@@ -316,6 +316,43 @@ def exact_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column])
     return ranks.groupBy(*keys).agg(*[((at(low, n) + at(high, n)) / 2).alias(n) for n in values])
 
 
+def near_share(values: DataFrame, name: str, share: float, keys: Sequence[str] = (), accuracy: int = 1000) -> DataFrame:
+    """Per key two values ``lo`` and ``hi`` around a share of the sorted values, and ``n``, the number of values.
+
+    Quantile sketches are small and merge, so no task sees a whole key. The rank of the share lies between them, with
+    a few thousandths of the rows, or all rows of a small key.
+    """
+    shares = [max(0.0, share - 4 / accuracy), min(1.0, share + 4 / accuracy)]
+    sketch = F.percentile_approx(name, shares, accuracy)
+    few = F.col("n") <= accuracy
+    return values.groupBy(*keys).agg(
+        sketch.alias("e"), F.count(name).alias("n"), F.min(name).alias("first"), F.max(name).alias("last")).select(
+        *keys, F.when(few, F.col("first")).otherwise(F.col("e")[0]).alias("lo"), F.when(few, F.col("last")).otherwise(F.col("e")[1]).alias("hi"), "n")
+
+
+def split_medians(df: DataFrame, keys: Sequence[str], values: dict[str, Column]) -> DataFrame:
+    """Exact medians for keys of which one may hold all rows; keys must not be NULL.
+
+    A sketch brackets the median. Values below the bracket are only counted, so the running count passes the few
+    distinct values inside it.
+    """
+    group = [*keys, "__m"]
+    items = F.array(*[F.struct(F.lit(n).alias("__m"), c.cast("double").alias("__v")) for n, c in values.items()])
+    rows = df.select(*keys, F.inline(items)).where("__v is not null")
+    marked = rows.join(near_share(rows, "__v", 0.5, group), group)
+    below = marked.groupBy(*group, "n").agg(F.count_if(F.col("__v") < F.col("lo")).alias("__below"))
+    inside = marked.where("__v >= lo AND __v <= hi").groupBy(*group, "__v").agg(F.count("*").alias("__n"))
+    upto = F.sum("__n").over(Window.partitionBy(*group).orderBy("__v").rowsBetween(Window.unboundedPreceding, 0))
+    ranks = inside.join(below, group).withColumn("__upto", F.col("__below") + upto)
+
+    def at(rank: Column, name: str) -> Column:
+        here = (F.col("__m") == name) & (F.col("__upto") - F.col("__n") <= rank) & (rank < F.col("__upto"))
+        return F.max(F.when(here, F.col("__v")))
+
+    low, high = F.floor((F.col("n") - 1) / 2), F.floor(F.col("n") / 2)
+    return ranks.groupBy(*keys).agg(*[((at(low, n) + at(high, n)) / 2).alias(n) for n in values])
+
+
 def bounded_broadcast(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Broadcast a reference table after checking its size; beyond the bound Spark picks the join."""
     if df.limit(max_rows + 1).count() <= max_rows:

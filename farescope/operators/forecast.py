@@ -12,7 +12,7 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, exact_medians, ratio, top
+from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, ratio, split_medians, top
 from farescope.operators.rollups import DAILY_KEY
 from farescope.sources import latest_meta
 
@@ -384,7 +384,7 @@ def ml_features(df: DataFrame, target: str, keys: Sequence[str] = SERIES_KEY) ->
 def medians(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Exact median per column. One row."""
     values = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
-    return exact_medians(df.withColumn("__one", F.lit(1)), ["__one"], values).drop("__one")
+    return split_medians(df, [], values)
 
 
 def fill_features(train: DataFrame, frames: Sequence[DataFrame], columns: Sequence[str]) -> list[DataFrame]:

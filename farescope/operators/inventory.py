@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import blank_to_null, clip, exact_medians, first_rows, half_even, ratio, route_key
+from farescope.functions import blank_to_null, clip, exact_medians, first_rows, half_even, near_share, ratio, route_key
 
 STATE_KEY = ["cycle_id", "probe_group_id", "captured_at", "airline", "origin", "destination", "route_key", "flight_number",
              "departure", "departure_date", "cabin", "adt_count", "chd_count", "inf_count"]
@@ -236,13 +236,14 @@ def _bins(value: Column, edges: Sequence[float], labels: Sequence[str]) -> Colum
     return F.when(value.isNull() | (value < -1), "unknown").otherwise(out)
 
 
+# Fixed edges of the bins.
 _TIME_EDGES = [299, 419, 599, 719, 899, 1079, 1439, 10_000]
 _TIME_LABELS = ["late_night", "early_morning", "morning_peak", "late_morning", "afternoon", "evening", "night", "unknown"]
 _DTD_EDGES = [0, 1, 2, 3, 7, 14, 30, 10_000]
 _DTD_LABELS = ["D0", "D1", "D2", "D3", "D4_7", "D8_14", "D15_30", "D31p"]
 
 
-def engineered(states: DataFrame, route: str = "DAC-SPD") -> DataFrame:
+def engineered(states: DataFrame, route: str) -> DataFrame:
     """Time and ladder features, and variants that are set only on one route."""
     tag = route.lower().replace("-", "_")
     other = f"non_{tag}"
@@ -351,15 +352,20 @@ def time_split(df: DataFrame, test_fraction: float = 0.2, time_col: str = "obser
     total = slots.agg(F.sum("c")).scalar()
     train = F.greatest(F.lit(1), total - F.greatest(F.lit(1), F.floor(total * test_fraction)))
 
-    def border(counts: DataFrame, key: str, want: Column) -> Column:
+    def border(counts: DataFrame, key: str, want: Column, passed: Column) -> Column:
         """The first key at which the running count passes ``want``, and how many rows it still gives."""
         before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-        running = counts.withColumns({"want": want, "start": F.coalesce(F.sum("c").over(before), F.lit(0))})
+        running = counts.withColumns({"want": want, "start": passed + F.coalesce(F.sum("c").over(before), F.lit(0))})
         hit = running.where("start <= want AND want < start + c")
         return hit.agg(F.max(F.struct(F.col(key).alias("at"), (F.col("want") - F.col("start")).alias("left")))).scalar()
 
-    cut = border(slots.groupBy(time_col).agg(F.sum("c").alias("c")), time_col, train)
-    slot = border(slots.where(F.col(time_col) == cut["at"]).groupBy("__slot").agg(F.sum("c").alias("c")), "__slot", cut["left"])
+    # Times outside a bracket of the border, found by a sketch, are only counted.
+    at = F.unix_micros(F.col(time_col).cast("timestamp"))
+    edge = near_share(rows.select(at.alias("v")), "v", 1.0 - test_fraction).select(F.struct("lo", "hi")).scalar()
+    passed = F.coalesce(slots.where(at < edge["lo"]).agg(F.sum("c")).scalar(), F.lit(0))
+    near = slots.where((at >= edge["lo"]) & (at <= edge["hi"]))
+    cut = border(near.groupBy(time_col).agg(F.sum("c").alias("c")), time_col, train, passed)
+    slot = border(slots.where(F.col(time_col) == cut["at"]).groupBy("__slot").agg(F.sum("c").alias("c")), "__slot", cut["left"], F.lit(0))
     divided = F.coalesce((F.col(time_col) == cut["at"]) & (F.col("__slot") == slot["at"]), F.lit(False))
     place = F.row_number().over(Window.partitionBy(time_col, "__slot").orderBy("__h"))
     ranked = rows.where(divided).withColumn("is_test", place > slot["left"])

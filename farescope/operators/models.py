@@ -6,6 +6,7 @@ The driver runs the list of fits and reads back one row of figures per model; ro
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -17,7 +18,7 @@ from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegres
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, exact_medians, ratio
+from farescope.functions import SERIES_KEY, ratio, split_medians
 from farescope.operators.forecast import clip_predictions, recency_weight, robust_bounds
 from farescope.operators.inventory import time_split
 from farescope.session import work_dir
@@ -39,15 +40,16 @@ class FeatureSet:
     dropped: list[str] = field(default_factory=list)
 
 
-def feature_matrix(states: DataFrame, ablation: str = "none", route: str = "DAC-SPD") -> tuple[DataFrame, FeatureSet]:
+def feature_matrix(states: DataFrame, ablation: str = "none", route: str | None = None) -> tuple[DataFrame, FeatureSet]:
     """States with numeric features as double and the rest as text, and the lists of both.
 
     One aggregate finds all-null columns and numbers that only take 0 and 1.
     """
-    tag = route.lower().replace("-", "_")
     names = [c for c in states.columns if c not in _EXCLUDED and not c.startswith("y_")]
     if ablation == "drop_route_engineered":
-        names = [c for c in names if tag not in c]
+        if not route:
+            raise ValueError("name the route whose features are left out")
+        names = [c for c in names if route.lower().replace("-", "_") not in c]
     types = dict(states.dtypes)
     figures = states.agg(*[F.count(c).alias(f"n_{c}") for c in names], *[
         F.count_if(~F.col(c).isin(0, 1)).alias(f"o_{c}") for c in names if types[c].startswith(_NUMERIC)]).first()
@@ -110,7 +112,7 @@ def regression_metrics(scored: DataFrame, keys: Sequence[str] = ("model",)) -> D
     base = scored.groupBy(*keys).agg(
         F.count("*").alias("rows"), F.avg(F.abs(err)).alias("mae"), F.sqrt(F.avg(err * err)).alias("rmse"),
         (1 - F.try_divide(F.sum(err * err), F.nullif(F.var_pop("y") * F.count("*"), F.lit(0.0)))).alias("r2"))
-    return base.join(exact_medians(scored, keys, {"median_ae": F.abs(err)}), list(keys))
+    return base.join(split_medians(scored, keys, {"median_ae": F.abs(err)}), list(keys))
 
 
 def _split(states: DataFrame, fraction: float, keep: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -122,7 +124,7 @@ def _split(states: DataFrame, fraction: float, keep: Sequence[str]) -> tuple[Dat
     return stored.where(~F.col("is_test")), stored.where("is_test")
 
 
-def top_features(model: PipelineModel, weights: Sequence[float], frame: DataFrame, n: int = 20) -> list[tuple[str, float]]:
+def top_features(model: PipelineModel, weights: Sequence[float], frame: DataFrame, n: int | None = None) -> list[tuple[str, float]]:
     """Names of the largest weights by size."""
     attrs = frame.schema["features"].metadata.get("ml_attr", {}).get("attrs", {})
     names = {a["idx"]: a["name"] for group in attrs.values() for a in group}
@@ -144,7 +146,8 @@ def move_classifier(states: DataFrame, features: FeatureSet, test_fraction: floa
     test = _fill_modes(train, test, features.categorical)
     prep = preprocessor(features).fit(train)
     ready = prep.transform(train)
-    model = LogisticRegression(family="multinomial", maxIter=100).fit(ready)
+    # A penalty of one on the sum over rows; the objective here is their mean.
+    model = LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / max(ready.count(), 1), standardization=False).fit(ready)
     text = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
     scored = model.transform(prep.transform(test)).select(F.col("label_text").alias("label"), text.alias("predicted"))
     majority = train.agg(F.mode("label_text", True)).scalar()
@@ -168,7 +171,7 @@ def delta_regressor(states: DataFrame, features: FeatureSet, test_fraction: floa
     model = _ridge(ready, "y", alpha, ready.count())
     scored = model.transform(prep.transform(_fill_modes(train, test, features.categorical))).select(
         F.lit("ridge").alias("model"), "y", F.col("prediction").alias("predicted"))
-    middle = exact_medians(train.withColumn("k", F.lit(1)), ["k"], {"y": F.col("y")}).select("y").scalar()
+    middle = split_medians(train, [], {"y": F.col("y")}).select("y").scalar()
     base = test.select(F.lit("median").alias("model"), "y", middle.alias("predicted"))
     return {"skipped": False, "metrics": regression_metrics(scored.unionByName(base)),
             "top_features": top_features(prep, model.coefficients.toArray(), ready)}
@@ -251,7 +254,7 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
     size_model.transform(scored).withColumnRenamed("prediction", "pred_delta").select(
         "p_move", "pred_delta", "y", "moved").write.parquet(path)
     scored = states.sparkSession.read.parquet(path)
-    medians = {n: exact_medians(d.withColumn("k", F.lit(1)), ["k"], {"y": F.col("y")}).select("y").scalar()
+    medians = {n: split_medians(d, [], {"y": F.col("y")}).select("y").scalar()
                for n, d in (("all", train), ("moved", train.where("moved = 1")))}
     guess = F.when(F.col("p_move") >= 0.5, F.col("pred_delta")).otherwise(0.0)
     variants = {"two_stage": guess, "zero": F.lit(0.0), "median_all": medians["all"],
@@ -298,17 +301,20 @@ def threshold_sweep(scored: DataFrame, low: int = 50, high: int = 99) -> DataFra
         F.struct(F.lit(low).alias("a"), F.col("slot").alias("b"), F.abs(y - pred).alias("e")),
         F.struct((F.col("slot") + 1).alias("a"), F.lit(high).alias("b"), F.abs(y).alias("e"))))).where("a <= b")
     spans = spans.groupBy("a", "b", "e").agg(F.count("*").alias("n"))
-    errors = spans.select("e", "n", F.explode(F.sequence("a", "b")).alias("gate")).groupBy("gate", "e").agg(F.sum("n").alias("n"))
+    # A histogram first, one row per gate and cell; then only the errors of the cells that hold the middle ranks.
+    spans = spans.withColumn("cell", F.floor(F.log1p("e") * 512))
+    opened = spans.groupBy("a", "b", "cell").agg(F.sum("n").alias("n")).select("cell", "n", F.explode(F.sequence("a", "b")).alias("gate"))
     w = Window.partitionBy("gate")
-    ranks = errors.withColumns({"upto": F.sum("n").over(w.orderBy("e").rowsBetween(Window.unboundedPreceding, 0)),
-                                "all": F.sum("n").over(w)})
-    start = F.col("upto") - F.col("n")
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((start <= rank) & (rank < F.col("upto")), F.col("e")))
-
-    middle = ranks.groupBy("gate").agg(
-        ((at(F.floor((F.col("all") - 1) / 2)) + at(F.floor(F.col("all") / 2))) / 2).alias("median_ae"))
+    upto = {"upto": F.sum("n").over(w.orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("n").over(w)}
+    cells = opened.groupBy("gate", "cell").agg(F.sum("n").alias("n")).withColumns(upto).withColumn(
+        "rank", F.explode(F.array_distinct(F.array(F.floor((F.col("all") - 1) / 2), F.floor(F.col("all") / 2)))))
+    wanted = cells.where("upto - n <= rank AND rank < upto").select("gate", "rank", "cell", (F.col("rank") - F.col("upto") + F.col("n")).alias("left"))
+    # At most two rows per gate.
+    inside = spans.join(F.broadcast(wanted), (spans["cell"] == wanted["cell"]) & wanted["gate"].between(F.col("a"), F.col("b")))
+    inside = inside.groupBy("gate", "rank", "left", "e").agg(F.sum("n").alias("n"))
+    place = F.sum("n").over(Window.partitionBy("gate", "rank").orderBy("e").rowsBetween(Window.unboundedPreceding, 0))
+    hits = inside.withColumn("upto", place).where("upto - n <= left AND left < upto")
+    middle = hits.groupBy("gate").agg(F.avg("e").alias("median_ae"))
     n, moves, spread = total["n"], total["moves"], total["spread"]
     fp, fn = F.col("predicted_move_count") - F.col("tp"), moves - F.col("tp")
     tn = n - F.col("tp") - fp - fn
@@ -435,35 +441,38 @@ def route_priority(reports: DataFrame) -> DataFrame:
 
 
 def quantile_forecast(frame: DataFrame, target: str, features: Sequence[str], cutoffs: Sequence[date],
-                      quantiles: Sequence[float] = (0.1, 0.5, 0.9), keys: Sequence[str] = SERIES_KEY, trees: int = 20,
+                      quantiles: Sequence[float] = (0.1, 0.5, 0.9), keys: Sequence[str] = SERIES_KEY, trees: int = 20, min_history: int = 1,
                       prefix: str = "pred_gbt_q") -> DataFrame:
     """Boosted-tree forecasts with residual quantiles, fitted once per cutoff over all series.
 
-    Rows from a cutoff up to the next one are predicted by the model of the rows before it. Newer rows
-    weigh more. The quantiles add those of the training residuals, and every value is kept within the
+    Rows from a cutoff up to the next one are predicted by the model of the rows before it; a cutoff with
+    fewer than ``min_history`` rows before it makes none. Newer rows weigh more. The quantiles add those of the training residuals, and every value is kept within the
     robust range of its series.
     """
     parts = []
     days = [*sorted(cutoffs), None]
     for start, end in zip(days, days[1:]):
         past = frame.where((F.col("report_day") < F.lit(start)) & F.col(target).isNotNull())
+        if min_history > 1 and past.limit(min_history).count() < min_history:
+            continue
         ahead = frame.where(F.col("report_day") >= F.lit(start))
         if end is not None:
             ahead = ahead.where(F.col("report_day") < F.lit(end))
         weighted = recency_weight(past.withColumn("y", F.col(target).cast("double")), keys)
         stages = [Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}__f" for c in features]),
-                  VectorAssembler(inputCols=[f"{c}__f" for c in features], outputCol="features", handleInvalid="skip"),
+                  VectorAssembler(inputCols=[f"{c}__f" for c in features], outputCol="features", handleInvalid="keep"),
                   GBTRegressor(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=4, seed=42)]
         doubles = {c: F.col(c).cast("double") for c in features}
         model = Pipeline(stages=stages).fit(weighted.withColumns(doubles))
         residual = model.transform(weighted.withColumns(doubles)).select((F.col("y") - F.col("prediction")).alias("r"))
-        spread = residual.agg(F.percentile_approx("r", [float(q) for q in quantiles], 100_000)).scalar()
+        spread = residual.agg(F.percentile("r", [float(q) for q in quantiles])).scalar()
         bounds = robust_bounds(past, target, keys)
         out = model.transform(ahead.withColumns(doubles)).join(bounds, list(keys), "left")
         named = {f"{prefix}{round(q * 100)}": F.col("prediction") + spread[i] for i, q in enumerate(quantiles)}
         held = {n: F.least(F.greatest(c, F.coalesce("lower", c)), F.coalesce("upper", c)) for n, c in named.items()}
         parts.append(out.select(*frame.columns, F.lit(start).alias("trained_before"), *[c.alias(n) for n, c in held.items()]))
-    result = parts[0]
-    for p in parts[1:]:
-        result = result.unionByName(p)
+    if not parts:
+        nothing = frame.where(F.lit(False)).withColumn("trained_before", F.lit(None).cast("date"))
+        return nothing.withColumns({f"{prefix}{round(q * 100)}": F.lit(None).cast("double") for q in quantiles})
+    result = reduce(DataFrame.unionByName, parts)
     return clip_predictions(result, target, [c for c in result.columns if c.startswith(prefix)])
