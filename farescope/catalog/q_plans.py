@@ -125,24 +125,26 @@ def _resolve(ctx):
 _SEL, _EN = ["A0", "A1", "A2", "A3"], ["A0", "A1", "A2", "A3", "A4", "A5"]
 
 
-@query("audit_routes", "issue:s airline:s origin:s destination:s detail:s", sql("""
+_AUDIT = """
   SELECT 'duplicate' AS issue, airline, origin, destination, array_to_string(cabins, '|') AS detail FROM rts
     GROUP BY airline, origin, destination, cabins HAVING count(*) > 1
   UNION ALL SELECT 'unknown_airline', airline, origin, destination, CAST(position AS VARCHAR) FROM rts WHERE airline = 'A6'
   UNION ALL SELECT 'not_selected_airline', airline, origin, destination, CAST(position AS VARCHAR) FROM rts WHERE airline IN ('A4', 'A5')
   UNION ALL SELECT 'unknown_airport', airline, origin, destination, 'origin:' || origin FROM rts WHERE origin = 'R4'
   UNION ALL SELECT 'missing_reverse', airline, origin, destination, NULL FROM (SELECT DISTINCT airline, origin, destination FROM rts) r
-    WHERE NOT EXISTS (SELECT 1 FROM rts b WHERE b.airline = r.airline AND b.origin = r.destination AND b.destination = r.origin)""",
-       needs="", ctes=_ROUTES))
+    WHERE NOT EXISTS (SELECT 1 FROM rts b WHERE b.airline = r.airline AND b.origin = r.destination AND b.destination = r.origin)"""
+
+
+@query("audit_routes", "issue:s airline:s origin:s destination:s detail:s", sql(_AUDIT, needs="", ctes=_ROUTES))
 def _audit(ctx):
     return search.audit_routes(_routes(ctx), _SEL, _EN, ctx.airports)
 
 
 @query("audit_route_counts", "issue:s rows:i", sql("""SELECT 'routes:' || airline AS issue, count(*) AS rows FROM rts
-  WHERE airline IN ('A0', 'A1', 'A2', 'A3') GROUP BY 1 UNION ALL SELECT 'unknown_airline', count(*) FROM rts WHERE airline = 'A6'""",
+  WHERE airline IN ('A0', 'A1', 'A2', 'A3') GROUP BY 1 UNION ALL SELECT issue, count(*) FROM (""" + _AUDIT + ") GROUP BY 1",
        needs="", ctes=_ROUTES))
 def _audit_counts(ctx):
-    return search.audit_counts(_routes(ctx), _SEL, _EN, ctx.airports).where("issue LIKE 'routes:%' OR issue = 'unknown_airline'")
+    return search.audit_counts(_routes(ctx), _SEL, _EN, ctx.airports)
 
 
 @query("stale_targets", "position:i airline:s origin:s destination:s cabin:s latest_captured_at:t", sql("""SELECT * FROM (

@@ -236,16 +236,21 @@ def test_expanding_folds_grow(spark):
     assert sizes == [(10, 10), (20, 10), (30, 10)]
 
 
-def test_stream_keeps_last_known_state(spark, tmp_path):
+def test_stream_waits_for_whole_cycles_and_keeps_known_state(spark, tmp_path):
     from farescope.streaming import live
 
-    feed = str(tmp_path / "feed")
-    days = [[offer("1", "C1", "1")], [offer("2", "C2", "9", brand="OTHER")], [offer("3", "C3", "3")]]
+    feed, markers = str(tmp_path / "feed"), str(tmp_path / "markers")
+    schema = spark.createDataFrame([], OFFER).schema
+    days = [[offer("1", "C1", "1"), offer("4", "C1", "1", brand="NEXT")], [offer("2", "C2", "9", brand="OTHER")],
+            [offer("3", "C3", "3"), offer("5", "C3", "1", brand="NEXT")]]
     state = live.DiffState(str(tmp_path / "state"))
-    for n, made in enumerate(days):
-        spark.createDataFrame(made, OFFER).coalesce(1).write.mode("append").parquet(feed)
-        stream = live.stream_files(spark, feed, spark.createDataFrame([], OFFER).schema)
-        live.stream_diff(stream, state, str(tmp_path / "checkpoint"), keep_known=True)
+    for made in days:
+        for part in made:  # a file for each offer
+            spark.createDataFrame([part], OFFER).coalesce(1).write.mode("append").partitionBy("cycle_id").parquet(feed)
+        live.mark_complete(spark.createDataFrame(made, OFFER), markers)
+        live.stream_diff(live.stream_files(spark, markers, live.MARKER),
+                         lambda s, cycle: s.read.schema(schema).parquet(feed).where(F.col("cycle_id") == cycle),
+                         state, str(tmp_path / "checkpoint"), keep_known=True)
     price = state.events(spark).where("field_name = 'price_total'")
-    # The first offer is compared with its last known row, two cycles back.
+    # The offers are compared with their last known rows, two cycles back; one has not changed.
     assert rows(price, "old_value", "new_value", "magnitude") == [("1.0", "3.0", 2.0)]
