@@ -303,14 +303,19 @@ def bundles(ctx):
         base = f"{root}/run_{target}"
         small.write.option("header", True).csv(f"{base}/prediction_eval_{target}_{stamp}.csv")
         by_route.write.option("header", True).csv(f"{base}/prediction_eval_by_route_{target}_{stamp}.csv")
-    small.write.option("header", True).csv(f"{root}/run_price_events/prediction_backtest_eval_price_events_20240102_000000.csv")
+    name = "price_events_20240102_000000.csv"
+    small.write.option("header", True).csv(f"{root}/run_price_events/prediction_backtest_eval_{name}")
+    by_route.write.option("header", True).csv(f"{root}/run_price_events/prediction_backtest_eval_by_route_{name}")
+    ahead = forecast.next_day(ctx.daily, T, (3, 7), 3, 7, 0.3, K).select(
+        *K, F.col("airline").alias("destination"), "predicted_for_day", "latest_actual_value", "pred_rolling_mean_3")
+    ahead.write.option("header", True).csv(f"{root}/run_price_events/prediction_next_day_{name}")
     return root
 
 
 @query("scan_bundles", "bundle_id:s bundle_name:s target:s stamp:s has_overall_eval:b has_route_eval:b has_backtest_eval:b "
        "has_next_day:b", sql("""SELECT * FROM (VALUES
   ('run_total_change_events|total_change_events|20240101_000000', 'run_total_change_events', 'total_change_events', '20240101_000000', true, true, false, false),
-  ('run_price_events|price_events|20240102_000000', 'run_price_events', 'price_events', '20240102_000000', true, true, true, false))
+  ('run_price_events|price_events|20240102_000000', 'run_price_events', 'price_events', '20240102_000000', true, true, true, true))
   v(bundle_id, bundle_name, target, stamp, has_overall_eval, has_route_eval, has_backtest_eval, has_next_day)""", needs=""))
 def _bundles(ctx):
     return files.scan_bundles(ctx.spark, bundles(ctx))
@@ -336,6 +341,59 @@ def _latest_bundle(ctx):
     return latest_bundle(files.scan_bundles(ctx.spark, root), facts, "has_backtest_eval")
 
 
+_NEWEST = "'run_price_events|price_events|20240102_000000' AS bundle_id, origin || '-' || airline AS route_key"
+_ROUTE_EVAL = "airline string, origin string, destination string, model string, n int, mae double, rmse double"
+
+
+def _newest(ctx, kind, schema, needs=None, declared=()):
+    from farescope.operators.forecast import latest_bundle
+
+    root = bundles(ctx)
+    return latest_bundle(files.scan_bundles(ctx.spark, root), files.load_bundle_fact(ctx.spark, root, kind, schema, declared), needs)
+
+
+@query("latest_bundle_routes", "bundle_id:s route_key:s airline:s model:s n:i mae:d rmse:d", sql(
+    f"SELECT {_NEWEST}, * FROM ({_metrics_sql('airline, origin')})", needs="daily", ctes=_LONG))
+def _newest_routes(ctx):
+    return _newest(ctx, "eval_by_route", _ROUTE_EVAL)
+
+
+_WINNERS = f"""SELECT {_NEWEST}, model AS winner_model, n AS winner_n, mae AS winner_mae FROM (SELECT *, max(n) OVER (
+  PARTITION BY airline, origin) AS mx FROM ({_metrics_sql('airline, origin')}) WHERE n > 0 AND mae IS NOT NULL) WHERE n >= floor(mx * 0.8)
+  QUALIFY row_number() OVER (PARTITION BY airline, origin ORDER BY mae, rmse, model) = 1"""
+
+
+def _winners(ctx, kind, needs=None):
+    from farescope.operators.forecast import winner_table
+
+    return winner_table(_newest(ctx, kind, _ROUTE_EVAL, needs, ["directional_accuracy_pct", "f1_macro"]), ["bundle_id", "route_key"])
+
+
+@query("latest_bundle_route_winners", "bundle_id:s route_key:s winner_model:s winner_n:i winner_mae:d", sql(_WINNERS, needs="daily", ctes=_LONG))
+def _newest_winners(ctx):
+    return _winners(ctx, "eval_by_route")
+
+
+@query("latest_backtest_route_winners", "bundle_id:s route_key:s winner_model:s winner_n:i winner_mae:d", sql(_WINNERS, needs="daily", ctes=_LONG))
+def _newest_backtest_winners(ctx):
+    return _winners(ctx, "backtest_eval_by_route", "has_backtest_route_eval")
+
+
+@query("latest_backtest_eval", "bundle_id:s model:s n:i mae:d rmse:d", sql(f"""SELECT 'run_price_events|price_events|20240102_000000' AS bundle_id, *
+  FROM ({_metrics_sql('')})""", needs="daily", ctes=_LONG))
+def _newest_backtest(ctx):
+    return _newest(ctx, "backtest_eval", _EVAL_SCHEMA, "has_backtest_eval")
+
+
+@query("latest_bundle_next_day", "bundle_id:s route_key:s predicted_for_day:D latest_actual_value:d pred_rolling_mean_3:d", sql(f"""SELECT {_NEWEST},
+  max(report_day) + 1 AS predicted_for_day, max(y) FILTER (WHERE back = 1) AS latest_actual_value, avg(y) FILTER (WHERE back <= 3) AS pred_rolling_mean_3
+  FROM (SELECT *, CAST(total_change_events AS DOUBLE) AS y, row_number() OVER (PARTITION BY airline, origin ORDER BY report_day DESC) AS back
+  FROM daily) GROUP BY airline, origin HAVING count(*) >= 3""", needs="daily"))
+def _newest_next_day(ctx):
+    return _newest(ctx, "next_day", "airline string, origin string, destination string, predicted_for_day date, latest_actual_value double, "
+                   "pred_rolling_mean_3 double", "has_next_day")
+
+
 @query("best_models", "target:s best_model_by_mae:s n:i mae:d", sql(f"""SELECT target, model AS best_model_by_mae, n, mae FROM (
   {_metrics_sql('')} ORDER BY mae, model LIMIT 1), (VALUES ('total_change_events'), ('price_events')) t(target)""", needs="daily",
        ctes=_LONG))
