@@ -17,7 +17,7 @@ from farescope.session import work_dir
 #: ASCII white space, as `bytes.split` and `bytes.isspace` see it: 0x20 and 0x09 to 0x0D.
 SPACES = r"[\x20\x09-\x0D]+"
 #: Distinct words a task remembers before it starts anew.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 200_000
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ A fingerprint holds the minima of COORDINATES universal hash functions (a * x +
 shingles of a text, 16 bits of each, as hexadecimal text. The share of equal coordinates estimates the Jaccard likeness
 of two texts' shingle sets.
 
-* `signatures`: the vectorised hashing of a table, with the bands of each signature.
+* `signatures`: the vectorised hashing of a table.
 * `peers`: documents that share a band are joined with the smallest id of the band, a star for each band instead of all
   pairs, and the likeness of what was joined is verified on whole signatures.
 * `near_pairs`: the same stars, verified by the exact Jaccard likeness of the full shingle sets.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farescope.llm.common import (
@@ -72,28 +72,27 @@ def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> floa
     return float((a == b).mean())
 
 
-def bands(sign: np.ndarray) -> list[int]:
-    width = COORDINATES // BANDS
-    return [int.from_bytes(hashlib.blake2b(bytes([k]) + sign[k * width : (k + 1) * width].tobytes(), digest_size=8).digest(), "little", signed=True)
-            for k in range(BANDS)]
+def bands(sign: str = "sign") -> Column:
+    """A 64-bit name for each band of a signature."""
+    width = 2 * COORDINATES // BANDS
+    return F.array(*[F.xxhash64(F.substring(sign, k * width + 1, width), F.lit(k)) for k in range(BANDS)])
 
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
     for batch in batches:
         signs = [signature(text, cache) if text.strip() else None for text in text_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sign": pa.array([s if s is None else s.tobytes() for s in signs], pa.binary()),
-                                          "bands": pa.array([s if s is None else bands(s) for s in signs], pa.list_(pa.int64()))})
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sign": pa.array([s if s is None else s.tobytes() for s in signs], pa.binary())})
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, sign, bands; the latter null without words."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, sign binary, bands array<long>")
+    """Per row: doc_id, sign (COORDINATES 16-bit values, null without words)."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, sign binary")
 
 
 def stars(signs: DataFrame) -> DataFrame:
     """Pairs (doc_id, peer_id): every document that shares a band with smaller ids, and the smallest of these."""
-    posted = signs.where("doc_id IS NOT NULL AND sign IS NOT NULL").select("doc_id", F.explode("bands").alias("band"))
+    posted = signs.where("doc_id IS NOT NULL AND sign IS NOT NULL").select("doc_id", F.explode(bands()).alias("band"))
     total = signs.count() * BANDS
     least = posted.groupBy("band").agg(F.min("doc_id").alias("peer_id"), F.count("*").alias("n")).where("n > 1")
     found = join_groups(posted, least, ["band"], "n", total)

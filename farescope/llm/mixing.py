@@ -40,10 +40,14 @@ SCALES = (0.2, 0.4, 0.6, 0.8, 1.0, 1.5)
 LEAD = 10.0
 #: Largest relative error of a domain's tokens that ends the steps, and the number of steps at most.
 CLOSE, STEPS = 1e-4, 60
+#: Steps after which rates are stored.
+STORE = 4
 
 
 def words(text: str = "text") -> Column:
-    return F.filter(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), SPACES), lambda w: w != "")
+    """Lower-cased words in order."""
+    bare = F.btrim(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" \t\n\x0b\f\r"))
+    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACES))
 
 
 def features(w: Column) -> list[Column]:
@@ -58,7 +62,7 @@ def _array(values: list[float]) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
-    """Labelled rows: words, domain number."""
+    """Labelled rows: row number, words, domain number."""
     domain = F.when(F.max("toxic") > 0, 2).when(F.min("quality") > 0, 0).otherwise(1)
     marks = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL AND quality IS NOT NULL").groupBy(
         F.col("doc_id").cast("bigint").alias("doc_id")).agg(domain.alias("domain"))
@@ -66,11 +70,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     if total > sample:
         marks = marks.where(F.pmod(F.xxhash64("doc_id", F.lit(13)), F.lit(1_000_000)) < int(1_000_000 * sample / total))
     # At most `sample` narrow rows of fixed width.
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.array_distinct(words()).alias("words")).join(F.broadcast(marks), "doc_id").select("words", "domain")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words().alias("words")).join(F.broadcast(marks), "doc_id").select(
+        F.monotonically_increasing_id().alias("row"), "words", "domain")
 
 
 class Classifier:
-    """Log weights of all features, priors, and the scale of the evidence, from rows of distinct words and domain."""
+    """Log weights of all features, priors, and the scale of the evidence, from rows of words and domain."""
 
     def __init__(self, rows: DataFrame):
         k, n = range(len(DOMAINS)), WORDS + STEMS + ENDS
@@ -91,25 +96,26 @@ class Classifier:
         self.prior = [math.log((docs.get(d, 0) + 1) / (sum(docs.values()) + len(k))) for d in k]
         self.scale = 1.0
         if docs:
-            known = rows.select("domain", self.evidence(F.col("words")).alias("e"))
-            losses = known.agg(*[F.avg(-F.log(F.greatest(F.get(self.posterior(F.col("e"), x), F.col("domain")), F.lit(1e-9)))).alias(f"l{i}")
+            known = self.evidence(rows, ["row", "domain"])
+            losses = known.agg(*[F.avg(-F.log(F.greatest(F.get(self.posterior(x), F.col("domain")), F.lit(1e-9)))).alias(f"l{i}")
                                  for i, x in enumerate(SCALES)]).first()
             self.scale = min(zip(losses, SCALES))[1]
         rows.unpersist()
 
-    def evidence(self, found: Column) -> Column:
-        """Summed weights of a list of distinct words, by domain but the first."""
-        tables = {name: _array(w) for name, w in zip(DOMAINS[1:], self.weights)}
+    def evidence(self, rows: DataFrame, keys: list[str]) -> DataFrame:
+        """Per row the keys, n_tokens, and the summed weights of its words by domain but the first (e_low, e_toxic).
 
-        def add(total: Column, w: Column) -> Column:
-            parts = features(w)
-            return F.struct(*[sum((F.get(t, f) for f in parts), total[name]).alias(name) for name, t in tables.items()])
+        Words are spread out and summed again in their own task, in generated code; what is shuffled is one line a row.
+        """
+        spread = rows.select(*keys, F.explode_outer("words").alias("w"))
+        parts = features(F.col("w"))
+        sums = [F.coalesce(F.sum(sum((F.get(_array(t), f) for f in parts[1:]), F.get(_array(t), parts[0]))), F.lit(0.0)).alias(f"e_{name}")
+                for name, t in zip(DOMAINS[1:], self.weights)]
+        return spread.groupBy(*keys).agg(F.count("w").alias("n_tokens"), *sums)
 
-        return F.aggregate(found, F.struct(*[F.lit(0.0).alias(name) for name in tables]), add)
-
-    def posterior(self, evidence: Column, scale: float | None = None) -> Column:
+    def posterior(self, scale: float | None = None) -> Column:
         """Chances of the domains. A domain falls behind the best one by LEAD at most, so no text is all too certain."""
-        sums = [F.lit(0.0), *[evidence[name] for name in DOMAINS[1:]]]
+        sums = [F.lit(0.0), *[F.col(f"e_{name}") for name in DOMAINS[1:]]]
         best = F.greatest(*sums)
         behind = [(best - x) / (1 + (best - x) / LEAD) for x in sums]
         shares = [F.exp(F.lit(p) - (scale or self.scale) * x) for p, x in zip(self.prior, behind)]
@@ -120,31 +126,30 @@ class Classifier:
 def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Per row: doc_id, n_tokens, p (posterior of each domain)."""
     classifier = Classifier(training_rows(docs, labels, sample))
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), words().alias("w"))
-    return rows.select("doc_id", F.size("w").cast("bigint").alias("n_tokens"), classifier.evidence(F.array_distinct("w")).alias("e")).select(
-        "doc_id", "n_tokens", classifier.posterior(F.col("e")).alias("p"))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), words().alias("words"))
+    return classifier.evidence(rows, ["row", "doc_id"]).select("doc_id", "n_tokens", classifier.posterior().alias("p"))
 
 
-def rate(start: float, gradients: list[list[float]]) -> tuple[Column, Column]:
-    """Rate of a row with posterior p after projected steps with momentum, and the point ahead of it where the next slope counts."""
-    if not gradients:
-        return F.lit(start), F.lit(start)
-    numbers = F.array(*[F.array(F.lit(t / (t + 3.0)), *map(F.lit, g)) for t, g in enumerate(gradients)])
+def stepped(soft: DataFrame, steps: list[list[float]]) -> DataFrame:
+    """Rates r and points ahead y after more projected steps, each with its momentum and gradient."""
+    if not steps:
+        return soft
+    numbers = F.array(*[F.array(*map(F.lit, s)) for s in steps])
     p = [F.get("p", F.lit(k)) for k in range(len(DOMAINS))]
 
-    def step(now: Column, g: Column) -> Column:
-        slope = sum((p[k] * g[k + 1] for k in range(1, len(DOMAINS))), p[0] * g[1])
+    def step(now: Column, s: Column) -> Column:
+        slope = sum((p[k] * s[k + 1] for k in range(1, len(DOMAINS))), p[0] * s[1])
         new = F.greatest(now["y"] - slope, F.lit(0.0))
-        return F.struct(new.alias("r"), (new + g[0] * (new - now["r"])).alias("y"))
+        return F.struct(new.alias("r"), (new + s[0] * (new - now["r"])).alias("y"))
 
-    last = F.aggregate(numbers, F.struct(F.lit(start).alias("r"), F.lit(start).alias("y")), step)
-    return last["r"], last["y"]
+    return soft.withColumn("__s", F.aggregate(numbers, F.struct("r", "y"), step)).withColumns({"r": F.col("__s.r"), "y": F.col("__s.y")}).drop("__s")
 
 
-def fitted(soft: DataFrame, targets: dict[str, float], tokens: float | None = None) -> tuple[Column, dict[str, float]]:
-    """Expression of the rates over a stored table of memberships, and the expected share of each domain.
+def fitted(soft: DataFrame, targets: dict[str, float], tokens: float | None = None) -> tuple[DataFrame, dict[str, float]]:
+    """A stored table of memberships with its rates r, and the expected share of each domain.
 
-    `targets` are weights of domains; a domain without one goes along as it falls out. `tokens` the wanted total (by default as many as there are).
+    `targets` are weights of domains; a domain without one goes along as it falls out. `tokens` is the wanted total (by
+    default as many as there are). Rates are stored anew every STORE steps, so that a step has few steps to repeat.
     """
     k = range(len(DOMAINS))
     mass = [F.col("n_tokens") * F.get("p", F.lit(d)) for d in k]
@@ -153,18 +158,21 @@ def fitted(soft: DataFrame, targets: dict[str, float], tokens: float | None = No
     met = [d for d in k if DOMAINS[d] in targets and now[d] > 1e-9 * total and total > 0]
     weight = sum(targets[DOMAINS[d]] for d in met)
     if not met or weight <= 0:
-        return F.lit(1.0), dict.fromkeys(DOMAINS, 0.0)
+        return soft.withColumn("r", F.lit(1.0)), dict.fromkeys(DOMAINS, 0.0)
     wanted = {d: (tokens or total) * targets[DOMAINS[d]] / weight for d in met}
-    start = (tokens or total) / total
-    gradients: list[list[float]] = []
+    start = F.lit((tokens or total) / total)
+    base, steps, done = soft.withColumns({"r": start, "y": start}), [], 0
     while True:
-        r, ahead = rate(start, gradients)
-        sums = soft.agg(*[F.sum(m * r).alias(f"r{d}") for d, m in zip(k, mass)], *[F.sum(m * ahead).alias(f"y{d}") for d, m in zip(k, mass)]).first()
+        rated = stepped(base, steps)
+        sums = rated.agg(*[F.sum(m * F.col(x)).alias(f"{x}{d}") for x in ("r", "y") for d, m in zip(k, mass)]).first()
         off = max(abs(sums[f"r{d}"] - wanted[d]) / max(wanted[d], 1e-3 * total) for d in met)
-        if off < CLOSE or len(gradients) >= STEPS:
+        if off < CLOSE or done >= STEPS:
             share = sum(sums[f"r{d}"] for d in k)
-            return r, {DOMAINS[d]: sums[f"r{d}"] / share if share else 0.0 for d in k}
-        gradients.append([(sums[f"y{d}"] - wanted[d]) / now[d] if d in met else 0.0 for d in k])
+            return rated.drop("y"), {DOMAINS[d]: sums[f"r{d}"] / share if share else 0.0 for d in k}
+        if len(steps) == STORE:
+            base, steps = saved(rated, "rates"), []
+        steps.append([done / (done + 3.0), *[(sums[f"y{d}"] - wanted[d]) / now[d] if d in met else 0.0 for d in k]])
+        done += 1
 
 
 def copies(value: Column, doc_id: str = "doc_id") -> Column:
@@ -175,9 +183,8 @@ def copies(value: Column, doc_id: str = "doc_id") -> Column:
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, n_tokens, p_high, p_low, p_toxic, rate, copies."""
-    soft = saved(memberships(docs, labels, sample), "memberships")
-    value, _ = fitted(soft, targets or TARGETS)
-    return soft.select("doc_id", "n_tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], value.alias("rate")).withColumn(
+    rated, _ = fitted(saved(memberships(docs, labels, sample), "memberships"), targets or TARGETS)
+    return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], F.col("r").alias("rate")).withColumn(
         "copies", copies(F.col("rate")))
 
 

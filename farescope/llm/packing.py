@@ -30,7 +30,7 @@ END_ID = 2
 #: Rows of one length that one window task numbers.
 CHUNK_ROWS = 20_000
 #: Bytes of text that are encoded at once.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 

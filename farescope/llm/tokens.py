@@ -9,10 +9,10 @@ from itertools import chain
 import numpy as np
 from tokenizers import Tokenizer
 
-#: Distinct pieces a task remembers before it starts anew.
-CACHE_PIECES = 1_500_000
+#: Distinct pieces a worker remembers; later ones are forgotten after the texts that hold them.
+CACHE_PIECES = 600_000
 #: Slots of the table of pieces.
-SLOTS = 1 << 22
+SLOTS = 1 << 21
 #: Pieces up to this length are looked up by their bytes in vectors, longer ones in a dict.
 SHORT = 24
 
@@ -57,6 +57,16 @@ class Encoder:
         self.slots = np.full(SLOTS, -1, np.int32)
         self.long: dict[str, int] = {}
 
+    def forget(self) -> None:
+        """Go back to the first CACHE_PIECES pieces."""
+        if self.n <= CACHE_PIECES:
+            return
+        # Later pieces only took slots that were free before, so earlier ones are still found.
+        self.slots[self.slots >= CACHE_PIECES] = -1
+        self.long = {k: n for k, n in self.long.items() if n < CACHE_PIECES}
+        self.n = CACHE_PIECES
+        self.used = int(self.starts[CACHE_PIECES - 1] + self.lengths[CACHE_PIECES - 1])
+
     def learn(self, pieces: list[str]) -> int:
         """Encode and remember distinct pieces; the number of the first."""
         first = self.n
@@ -152,8 +162,7 @@ class Encoder:
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after another, and the number of ids of each text."""
-        if self.n >= CACHE_PIECES:
-            self.reset()
+        self.forget()
         even = [x.translate(_EVEN) for x in texts]
         odd = {k for k, x in enumerate(texts) if self._uneven(x, even[k])} if self.spaced else set()
         plain = [b"" if k in odd else x for k, x in enumerate(texts)] if self.spaced else even

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from farescope.llm.common import id_crc, text_bytes
+from farescope.llm.common import CACHE_WORDS, id_crc, text_bytes
 
 THRESHOLD = 0.3
 #: Labelled rows that train at most.
@@ -96,7 +96,7 @@ class Lexicon:
         for word in text.lower().split():
             found = known.get(word)
             if found is None:
-                if len(known) > 500_000:
+                if len(known) > CACHE_WORDS:
                     known.clear()
                 found = known[word] = tuple(self.number[k] for k in features(word) if k in self.number)
             if found:

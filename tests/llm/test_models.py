@@ -95,8 +95,8 @@ def test_rates_follow_plain_projected_gradient(spark):
     n = r.integers(1, 500, 200)
     rows = [(k, int(n[k]), [float(x) for x in p[k]]) for k in range(200)]
     soft = saved(spark.createDataFrame(rows, "doc_id long, n_tokens long, p array<double>"), "soft")
-    value, shares = mixing.fitted(soft, {"high": 0.2, "low": 0.2, "toxic": 0.6})
-    got = np.array([x.r for x in soft.select("doc_id", value.alias("r")).orderBy("doc_id").collect()])
+    rated, shares = mixing.fitted(soft, {"high": 0.2, "low": 0.2, "toxic": 0.6})
+    got = np.array([x.r for x in rated.orderBy("doc_id").collect()])
     want = np.array([0.2, 0.2, 0.6]) * n.sum()
     now, x, y = n @ p, np.ones(200), np.ones(200)
     for t in range(mixing.STEPS):
