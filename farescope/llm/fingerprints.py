@@ -7,7 +7,7 @@ of two texts' shingle sets.
 * `signatures`: the vectorised hashing of a table.
 * `peers`: documents that share a band are joined with the smallest id of the band, a star for each band instead of all
   pairs, and the likeness of what was joined is verified on whole signatures.
-* `near_pairs`: the same stars, verified by the exact Jaccard likeness of the full shingle sets.
+* `near_pairs`: all documents that bands connect, verified by the exact Jaccard likeness of the full shingle sets.
 * `fingerprints`: one row per document, with its likeness to an edited text and to the next document.
 
 The next document may be anywhere. Documents are dealt to ranges of ids, as many as the cluster's shuffle partitions need,
@@ -29,8 +29,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farescope.llm.common import (
-    WordHashes, bucket_of, by_key, grouped, id_ranges, join_groups, mixed, parts, saved, shingles, text_bytes, word_hashes,
+    WordHashes, bucket_of, by_key, components, grouped, id_ranges, join_groups, mixed, parts, saved, shingles, text_bytes, word_hashes,
 )
+from farescope.llm.near_dedup import block_pairs
 
 WIDTH = 5
 COORDINATES = 128
@@ -38,6 +39,8 @@ COORDINATES = 128
 BANDS = 16
 #: Likeness of peers and near pairs at least.
 LIKENESS = 0.8
+#: Shingles in one block of a group of candidates.
+GROUP_BLOCK = 400_000
 #: Ranges of ids for each shuffle partition.
 SPREAD = 4
 
@@ -59,7 +62,10 @@ def runs(hashes: np.ndarray, width: int = WIDTH) -> np.ndarray:
 
 def signature(text: bytes, cache: WordHashes) -> np.ndarray:
     """COORDINATES 16-bit values; all ones for a text without words."""
-    found = runs(word_hashes(text, cache))
+    return least_values(runs(word_hashes(text, cache)))
+
+
+def least_values(found: np.ndarray) -> np.ndarray:
     least = np.full(COORDINATES, np.iinfo(np.uint64).max, np.uint64)
     for at in range(0, len(found), 512):
         np.minimum(least, (found[at : at + 512, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
@@ -117,37 +123,98 @@ def peers(signs: DataFrame) -> DataFrame:
         "doc_id").agg(F.min("peer_id").alias("peer_id"), F.max("near_peer").alias("near_peer"))
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def node_of(found: np.ndarray) -> int:
+    """A 64-bit name of a set of shingles."""
+    return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
+
+
+def _shapes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     cache = WordHashes()
-    for table in grouped(batches, ["peer_id", "salt"]):
-        base = None
-        out = []
-        for doc_id, own, text in zip(table.column("doc_id").to_pylist(), table.column("own").to_pylist(), text_bytes(table.column("text"))):
+    places = np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    for batch in batches:
+        nodes, sizes, names = [], [], []
+        for text in text_bytes(batch.column("text")):
             found = shingles(word_hashes(text, cache), WIDTH)
-            if own:
-                base = found
+            sizes.append(len(found))
+            nodes.append(node_of(found) if len(found) else None)
+            name = places
+            for part in least_values(found).reshape(BANDS, -1).view("<u8").T:
+                name = mixed(name + part)
+            names.append(name.view(np.int64) if len(found) else None)
+        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "node": pa.array(nodes, pa.int64()), "n_shingles": pa.array(sizes, pa.int64()),
+                                          "bands": pa.array(names, pa.list_(pa.int64()))})
+
+
+def shapes(docs: DataFrame) -> DataFrame:
+    """Per row: doc_id, node (a name of the shingle set, null without words), n_shingles, bands (a 64-bit name of each)."""
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
+        _shapes, "doc_id long, node long, n_shingles long, bands array<long>")
+
+
+def _smallest(least: float):
+    """Per set of a group that has one: the smallest id whose set it is like, by counts over an index of the shingles."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = WordHashes()
+        for table in grouped(batches, ["root", "left", "right"]):
+            held = {}
+            for doc_id, node, text in zip(table.column("doc_id").to_pylist(), table.column("node").to_pylist(), text_bytes(table.column("text"))):
+                found = shingles(word_hashes(text, cache), WIDTH)
+                # Other texts under the same id, and rows that repeat, stay out.
+                if node not in held and node_of(found) == node:
+                    held[node] = (doc_id, found)
+            order = sorted(held, key=lambda node: (held[node][0], node))
+            if len(order) < 2:
                 continue
-            both = len(np.intersect1d(found, base, assume_unique=True))
-            out.append((doc_id, both / (len(found) + len(base) - both)))
-        if out:
-            ids, values = zip(*out)
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "peer_id": pa.array([table.column("peer_id")[0].as_py()] * len(ids), pa.int64()),
-                                              "jaccard": pa.array(values, pa.float64())})
+            ids = np.array([held[node][0] for node in order])
+            sizes = np.array([len(held[node][1]) for node in order])
+            owner = np.repeat(np.arange(len(order), dtype=np.int32), sizes)
+            _, code = np.unique(np.concatenate([held[node][1] for node in order]), return_inverse=True)
+            owners = owner[np.argsort(code, kind="stable")]
+            starts = np.concatenate(([0], np.cumsum(np.bincount(code))))
+            at = np.concatenate(([0], np.cumsum(sizes)))
+            out = []
+            for i in range(1, len(order)):
+                codes = code[at[i] : at[i + 1]]
+                begin, length = starts[codes], starts[codes + 1] - starts[codes]
+                places = np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum())
+                both = np.bincount(owners[places], minlength=len(order))[:i]
+                value = both / (sizes[:i] + sizes[i] - both)
+                good = np.flatnonzero((value >= least) & (ids[:i] < ids[i]))
+                if len(good):
+                    out.append((order[i], int(ids[good[0]]), float(value[good[0]])))
+            if out:
+                nodes, peers_, values = zip(*out)
+                yield pa.RecordBatch.from_pydict({"node": pa.array(nodes, pa.int64()), "peer_id": pa.array(peers_, pa.int64()), "jaccard": pa.array(values, pa.float64())})
+
+    return work
 
 
 def near_pairs(docs: DataFrame, least: float = LIKENESS, salt_rows: int = 1000) -> DataFrame:
-    """Pairs of the band join with exact Jaccard likeness of `least` or more: doc_id, peer_id, jaccard.
+    """Per document that has one: the smallest id before its own among the documents that bands connect with it, directly or
+    through others, at an exact Jaccard likeness of `least` or more: doc_id, peer_id, jaccard.
 
-    A peer with many documents meets them in several tasks, each with `salt_rows` of them or so. Ids must be unique.
+    Rows with equal shingle sets form a class, represented by its smallest id; only classes go on. The classes of a band are
+    linked with its smallest one, and the texts of each component of links meet, all with all, in one task or in pairs of
+    blocks of `salt_rows` texts or GROUP_BLOCK shingles or so.
     """
-    pairs = saved(stars(saved(signatures(docs), "signatures")), "stars")
-    salts = pairs.groupBy("peer_id").agg(F.ceil(F.count("*") / salt_rows).cast("bigint").alias("salts"))
-    rows = pairs.join(salts, "peer_id").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.col("salts"))).select("doc_id", "peer_id", "salt")
-    own = salts.select(F.col("peer_id").alias("doc_id"), "peer_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("salts") - 1)).alias("salt"))
-    wanted = rows.withColumn("own", F.lit(False)).unionByName(own.withColumn("own", F.lit(True)))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(wanted, "doc_id")
-    sorted_ = by_key(texts.withColumn("later", ~F.col("own")), ["peer_id", "salt"], ["later"])
-    return sorted_.mapInArrow(_verify, "doc_id long, peer_id long, jaccard double").where(F.col("jaccard") >= least)
+    rows = saved(shapes(docs), "shapes")
+    classes = saved(rows.where("doc_id IS NOT NULL AND node IS NOT NULL").groupBy("node").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.count("*").alias("members"), F.first("bands").alias("bands")), "classes")
+    posts = classes.select("node", F.explode("bands").alias("band"))
+    lists = posts.groupBy("band").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1")
+    links = join_groups(posts, lists, ["band"], "n", BANDS * classes.count()).where("node <> first")
+    found = components(links.select(F.col("node").alias("a"), F.col("first").alias("b")), "candidates")
+    load = classes.select(F.col("rep").alias("doc_id"), "node", "n_shingles", "members").join(found.withColumnRenamed("id", "node"), "node")
+    blocks = load.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_shingles") / GROUP_BLOCK), F.ceil(F.count("*") / salt_rows)).cast("bigint").alias("blocks"))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(load.select("doc_id", "node", "root").join(blocks, "root"), "doc_id")
+    met = by_key(block_pairs(texts, "blocks", "node"), ["root", "left", "right"])
+    best = met.mapInArrow(_smallest(least), "node long, peer_id long, jaccard double").groupBy("node").agg(
+        F.min(F.struct("peer_id", "jaccard")).alias("best"))
+    known = classes.select("node", "rep", "members").join(best, "node", "left").where("members > 1 OR best IS NOT NULL")
+    own = F.when(F.col("rep") < F.col("doc_id"), F.struct(F.col("rep").alias("peer_id"), F.lit(1.0).alias("jaccard")))
+    pairs = join_groups(rows.where("doc_id IS NOT NULL AND node IS NOT NULL").select("doc_id", "node"), known, ["node"], "members", rows.count())
+    return pairs.select("doc_id", F.coalesce("best", own).alias("best")).where("best IS NOT NULL").groupBy("doc_id").agg(F.min("best").alias("best")).select(
+        "doc_id", "best.peer_id", "best.jaccard")
 
 
 def edited(text: str, following: str) -> str:

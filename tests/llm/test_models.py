@@ -155,6 +155,32 @@ def test_near_pairs_are_verified(make_docs):
     assert all(v == pytest.approx(jaccard(dict(rows)[a], dict(rows)[b])) for (a, b), v in got.items())
 
 
+def shared_passages():
+    """Two unlike documents that share much with an old one, each with a copy, and one whose nearest peers fail."""
+    base = words(31, 200).split()
+    one, two = (" ".join(base[:175] + words(n, 50).split()) for n in (32, 33))
+    return [(1, " ".join(base)), (5, one), (6, two), (7, one + " end"), (8, two + " end"), (9, one + " end"), (20, None), (21, words(34, 60)), (None, one)]
+
+
+def plain_peers(rows):
+    sets = [(i, set(shingles(word_hashes((t or "").encode(), WordHashes())).tolist())) for i, t in rows if i is not None]
+    out = {}
+    for i, x in sets:
+        near = [(j, len(x & y) / len(x | y)) for j, y in sets if j < i and x and len(x & y) / len(x | y) >= 0.8]
+        if near:
+            out[i] = min(near)
+    return out
+
+
+@pytest.mark.parametrize("block", [1000, 2], ids=["whole", "blocks"])
+def test_near_pairs_look_past_the_smallest_id(make_docs, block):
+    rows = shared_passages()
+    assert 0.6 < jaccard(rows[0][1], rows[1][1]) < 0.8
+    got = {r.doc_id: (r.peer_id, r.jaccard) for r in fingerprints.near_pairs(make_docs(rows), salt_rows=block).collect()}
+    assert got == plain_peers(rows)
+    assert {i: p for i, (p, _) in got.items()} == {7: 5, 8: 6, 9: 5}
+
+
 SPEECH = {"aa": "tak ror mun sil dak", "bb": "olu iva eso ami ude"}
 
 
