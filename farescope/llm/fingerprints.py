@@ -4,11 +4,10 @@ A fingerprint holds the minima of COORDINATES universal hash functions (a * x +
 shingles of a text, 16 bits of each, as hexadecimal text. The share of equal coordinates estimates the Jaccard likeness
 of two texts' shingle sets.
 
-* `signatures`: the vectorised hashing of a table.
-* `peers`: documents that share a band are joined with the smallest id of the band, a star for each band instead of all
-  pairs, and the likeness of what was joined is verified on whole signatures.
+* `shapes`: the vectorised hashing of a table, with a name for each shingle set and for each band of its signature.
 * `near_pairs`: all documents that bands connect, verified by the exact Jaccard likeness of the full shingle sets.
-* `fingerprints`: one row per document, with its likeness to an edited text and to the next document.
+* `fingerprints`: one row per document, with its estimated likeness to an edited text and to the next document, and its peer
+  of `near_pairs`.
 
 The next document may be anywhere. Documents are dealt to ranges of ids, as many as the cluster's shuffle partitions need,
 and the first document of a range also visits the range before, so that texts move once and no task sees all of them.
@@ -22,10 +21,11 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farescope.llm.common import (
@@ -41,6 +41,8 @@ BANDS = 16
 LIKENESS = 0.8
 #: Shingles in one block of a group of candidates.
 GROUP_BLOCK = 400_000
+#: Rows of a table of wanted documents that are broadcast at once.
+BROADCAST = 200_000
 #: Ranges of ids for each shuffle partition.
 SPREAD = 4
 
@@ -78,51 +80,6 @@ def likeness(a: np.ndarray, b: np.ndarray, a_empty: bool, b_empty: bool) -> floa
     return float((a == b).mean())
 
 
-def bands(sign: str = "sign") -> Column:
-    """A 64-bit name for each band of a signature."""
-    width = 2 * COORDINATES // BANDS
-    return F.array(*[F.xxhash64(F.substring(sign, k * width + 1, width), F.lit(k)) for k in range(BANDS)])
-
-
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    cache = WordHashes()
-    for batch in batches:
-        signs = [signature(text, cache) if text.strip() else None for text in text_bytes(batch.column("text"))]
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "sign": pa.array([s if s is None else s.tobytes() for s in signs], pa.binary())})
-
-
-def signatures(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, sign (COORDINATES 16-bit values, null without words)."""
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(_signatures, "doc_id long, sign binary")
-
-
-def stars(signs: DataFrame) -> DataFrame:
-    """Pairs (doc_id, peer_id): every document that shares a band with smaller ids, and the smallest of these."""
-    posted = signs.where("doc_id IS NOT NULL AND sign IS NOT NULL").select("doc_id", F.explode(bands()).alias("band"))
-    total = signs.count() * BANDS
-    least = posted.groupBy("band").agg(F.min("doc_id").alias("peer_id"), F.count("*").alias("n")).where("n > 1")
-    found = join_groups(posted, least, ["band"], "n", total)
-    return found.groupBy("doc_id").agg(F.min("peer_id").alias("peer_id")).where("peer_id < doc_id")
-
-
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, COORDINATES) for c in ("sign", "peer_sign"))
-        yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "peer_id": batch.column("peer_id"), "near_peer": (a == b).mean(axis=1)})
-
-
-def peers(signs: DataFrame) -> DataFrame:
-    """Verified peers from a stored table of signatures: doc_id, peer_id, near_peer (LIKENESS or more)."""
-    pairs = saved(stars(signs), "stars")
-    known = signs.where("sign IS NOT NULL").select("doc_id", "sign")
-    left = pairs.join(known, "doc_id")
-    of = pairs.groupBy("peer_id").agg(F.count("*").alias("n")).join(
-        known.select(F.col("doc_id").alias("peer_id"), F.col("sign").alias("peer_sign")), "peer_id")
-    both = join_groups(left, of, ["peer_id"], "n", pairs.count()).select("doc_id", "peer_id", "sign", "peer_sign")
-    return both.mapInArrow(_compare, "doc_id long, peer_id long, near_peer double").where(F.col("near_peer") >= LIKENESS).groupBy(
-        "doc_id").agg(F.min("peer_id").alias("peer_id"), F.max("near_peer").alias("near_peer"))
-
-
 def node_of(found: np.ndarray) -> int:
     """A 64-bit name of a set of shingles."""
     return int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True)
@@ -189,6 +146,15 @@ def _smallest(least: float):
     return work
 
 
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """A stored table of wanted documents with their texts. It is broadcast in rounds of at most BROADCAST rows or so, so that
+    only the texts in it move; more rounds read the documents more often."""
+    rounds = max(1, -(-wanted.count() // BROADCAST))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    found = [texts.join(F.broadcast(wanted.where(F.pmod(F.xxhash64("node"), F.lit(rounds)) == k)), "doc_id") for k in range(rounds)]
+    return reduce(DataFrame.unionByName, found)
+
+
 def near_pairs(docs: DataFrame, least: float = LIKENESS, salt_rows: int = 1000) -> DataFrame:
     """Per document that has one: the smallest id before its own among the documents that bands connect with it, directly or
     through others, at an exact Jaccard likeness of `least` or more: doc_id, peer_id, jaccard.
@@ -206,7 +172,7 @@ def near_pairs(docs: DataFrame, least: float = LIKENESS, salt_rows: int = 1000)
     found = components(links.select(F.col("node").alias("a"), F.col("first").alias("b")), "candidates")
     load = classes.select(F.col("rep").alias("doc_id"), "node", "n_shingles", "members").join(found.withColumnRenamed("id", "node"), "node")
     blocks = load.groupBy("root").agg(F.greatest(F.ceil(F.sum("n_shingles") / GROUP_BLOCK), F.ceil(F.count("*") / salt_rows)).cast("bigint").alias("blocks"))
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(load.select("doc_id", "node", "root").join(blocks, "root"), "doc_id")
+    texts = texts_of(docs, saved(load.select("doc_id", "node", "root").join(blocks, "root"), "wanted"))
     met = by_key(block_pairs(texts, "blocks", "node"), ["root", "left", "right"])
     best = met.mapInArrow(_smallest(least), "node long, peer_id long, jaccard double").groupBy("node").agg(
         F.min(F.struct("peer_id", "jaccard")).alias("best"))
@@ -258,8 +224,8 @@ def _hex(sign: np.ndarray) -> str:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; and the
-    smallest id that shares a band with it at LIKENESS or more, with that likeness: peer_id, near_peer."""
+    """One row per document: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; and
+    its peer of `near_pairs` with the exact likeness of their shingle sets: peer_id, near_peer."""
     n = parts(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     cuts = id_ranges(docs, SPREAD * n)
@@ -284,5 +250,5 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     visit = F.struct(marks.alias("at"), F.lit(True).alias("guest"))
     dealt = rows.select("doc_id", "text", F.explode(F.when(marks.isNull(), F.array(stay)).otherwise(F.array(stay, visit))).alias("d")).select(
         "doc_id", "text", "d.at", "d.guest")
-    found = peers(saved(signatures(docs), "signatures")).withColumn("at", bucket_of("doc_id", cuts))
+    found = near_pairs(docs).withColumnRenamed("jaccard", "near_peer").withColumn("at", bucket_of("doc_id", cuts))
     return dealt.groupBy("at").cogroup(found.groupBy("at")).applyInArrow(_edit, RESULT)

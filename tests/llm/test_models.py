@@ -173,7 +173,8 @@ def plain_peers(rows):
 
 
 @pytest.mark.parametrize("block", [1000, 2], ids=["whole", "blocks"])
-def test_near_pairs_look_past_the_smallest_id(make_docs, block):
+def test_near_pairs_look_past_the_smallest_id(make_docs, monkeypatch, block):
+    monkeypatch.setattr(fingerprints, "BROADCAST", 200_000 if block > 2 else 3)
     rows = shared_passages()
     assert 0.6 < jaccard(rows[0][1], rows[1][1]) < 0.8
     got = {r.doc_id: (r.peer_id, r.jaccard) for r in fingerprints.near_pairs(make_docs(rows), salt_rows=block).collect()}
@@ -181,6 +182,16 @@ def test_near_pairs_look_past_the_smallest_id(make_docs, block):
     assert {i: p for i, (p, _) in got.items()} == {7: 5, 8: 6, 9: 5}
 
 
+def test_peers_of_the_query_are_exact(make_docs):
+    """Pairs around the border, where an estimate over 128 coordinates often errs; chains of edits connect them."""
+    rows = shared_passages()
+    for n in range(30):
+        own = words(1000 + n, 150).split()
+        rows += [(1000 + 10 * n + k, " ".join(own[: 150 - 5 * k] + words(5000 + 10 * n + k, 5 * k).split())) for k in range(6)]
+    got = {r.doc_id: (r.peer_id, r.near_peer) for r in fingerprints.fingerprints(make_docs(rows)).collect() if r.peer_id is not None}
+    assert got == plain_peers(rows)
+
+
 SPEECH = {"aa": "tak ror mun sil dak", "bb": "olu iva eso ami ude"}
 
 
