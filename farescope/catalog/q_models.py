@@ -84,8 +84,8 @@ def _best(ctx):
     return models.best_thresholds(models.threshold_sweep(scored), zero)
 
 
-# Route group of the report, as a user would name it.
-_ROUTES = ["R1-R2", "R2-R3"]
+# Folds of the rolling evaluation, for routes with rows enough.
+_FOLDS = 3
 
 
 @query("route_model_reports", "route_key:s two_stage_skipped:b beats_zero_rmse:b beats_zero_mae:b route_model_priority:s "
@@ -93,7 +93,9 @@ _ROUTES = ["R1-R2", "R2-R3"]
 def _reports(ctx):
     rows, features = labelled(ctx)
     params = models.TwoStageParams(min_move_delta=5000.0, trees=5, max_depth=3)
-    reports = models.route_reports(rows, features, _ROUTES, 0, params)
+    # One row per route.
+    routes = sorted(r[0] for r in rows.where("route_key IS NOT NULL").select("route_key").distinct().collect())
+    reports = models.route_reports(rows, features, routes, _FOLDS, params)
     return models.route_priority(models.report_frame(ctx.spark, reports))
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -223,6 +223,9 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
     if sizes["train_moves"] < params.min_stage_b_moves:
         return {"skipped": True, "reason": "Insufficient moved rows for Stage B training", "sparse_stage_b": True}
 
+    # A number that no training row has, as in a short fold of one route, has no median and tells nothing.
+    given = train.agg(F.lit(0), *[F.count(c).alias(c) for c in features.numeric]).first()
+    features = replace(features, numeric=[c for c in features.numeric if given[c]])
     filled, tested = (_fill_modes(train, d, features.categorical) for d in (train, test))
     share = sizes["train"] / 2.0
     weight = F.when(F.col("moved") == 1, share / sizes["train_moves"]).otherwise(share / (sizes["train"] - sizes["train_moves"]))
@@ -361,7 +364,10 @@ def expanding_folds(states: DataFrame, folds: int, time_col: str = "observed_at_
 
 def route_reports(states: DataFrame, features: FeatureSet, routes: Sequence[str], folds: int = 0,
                   params: TwoStageParams | None = None, rule: str = "beats_zero_folds", min_beat: int = 2) -> list[dict]:
-    """Two-stage figures per route, on one time split or on expanding folds, with a priority."""
+    """Two-stage figures per route, on one time split and on expanding folds, with a priority.
+
+    Fewer than two folds, or fewer than 20 rows for each part of a route's folds, give no rolling figures.
+    """
     reports = []
     for route in routes:
         mine = states.where(F.col("route_key") == route)
@@ -370,7 +376,8 @@ def route_reports(states: DataFrame, features: FeatureSet, routes: Sequence[str]
                "sparse_stage_b": result.get("sparse_stage_b", False), "folds_total": None}
         if not result["skipped"]:
             row.update(_beats(result))
-        if folds:
+        needed = (folds + 1) * 20
+        if folds >= 2 and mine.limit(needed).count() >= needed:
             runs = [two_stage(fold, features, params) for fold in expanding_folds(mine, folds)]
             row.update(_fold_figures(runs, rule, min_beat))
         reports.append(row)

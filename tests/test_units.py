@@ -208,6 +208,36 @@ def test_two_stage_skips_with_reasons(spark):
     assert report["two_stage_skipped"] and "Insufficient" in report["reason"]
 
 
+def test_route_reports_roll_where_rows_suffice(spark):
+    schema = "route_key string, flight_key string, probe_join_id string, adt_count int, observed_at_utc timestamp_ntz, x double, y_next_search_lowest_fare_delta double"
+    made = [(route, str(i), "p", 1, datetime(2024, 1, 1 + i // 24, i % 24), float(i), 0.0) for route, n in (("A", 79), ("B", 80)) for i in range(n)]
+    few = spark.createDataFrame(made, schema)
+    features = models.FeatureSet(numeric=["x"])
+    assert [r["folds_total"] for r in models.route_reports(few, features, ["A", "B"], 3)] == [None, 3]
+    assert models.route_reports(few, features, ["B"], 1)[0]["folds_total"] is None
+
+
+def test_two_stage_leaves_out_numbers_without_values(spark):
+    schema = """flight_key string, probe_join_id string, adt_count int, observed_at_utc timestamp_ntz, x double, z double,
+        y_next_search_lowest_fare_delta double"""
+    made = [(str(i), "p", 1, datetime(2024, 1, 1 + i // 24, i % 24), float(i % 7), None if i < 100 else 1.0, float(i % 2)) for i in range(120)]
+    result = models.two_stage(spark.createDataFrame(made, schema), models.FeatureSet(numeric=["x", "z"]), models.TwoStageParams(trees=2, max_depth=2))
+    assert not result["skipped"] and result["scored"].count() == 24
+
+
+def test_route_reports_query_covers_all_routes(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from farescope.catalog import q_models
+
+    states = spark.createDataFrame([("R1-R2",), ("R3-R4",), ("R3-R4",), (None,), ("R0-R9",)], "route_key string")
+    monkeypatch.setattr(q_models, "labelled", lambda ctx: (states, None))
+    asked = []
+    monkeypatch.setattr(models, "route_reports", lambda rows, features, routes, folds, params: asked.append((routes, folds)) or [])
+    assert q_models._reports(SimpleNamespace(spark=spark)).count() == 0
+    assert asked == [(["R0-R9", "R1-R2", "R3-R4"], 3)]
+
+
 def test_unknown_airport_gives_no_utc(spark):
     df = spark.createDataFrame([("AAA", datetime(2024, 1, 1, 12)), ("ZZZ", datetime(2024, 1, 1, 12))], "origin string, departure timestamp_ntz")
     offsets = spark.createDataFrame([("AAA", -90)], "airport string, offset_minutes int")
