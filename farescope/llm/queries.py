@@ -7,7 +7,8 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
-from farescope.llm import bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, token_counts, token_frames, toxicity
+from farescope.llm import (bloom_lm, exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, resampling, token_counts,
+                           token_frames, toxicity, vector_codes)
 from farescope.llm.common import documents, labels
 
 
@@ -51,6 +52,18 @@ def op10_token_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_frames.round_trip(documents(spark, sf_dir))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.draw(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scores(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -66,9 +79,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_language_id": op9_language_id,
     "op10_token_frames": op10_token_frames,
+    "op11_importance_resampling": op11_importance_resampling,
+    "op12_quality": op12_quality,
+    "op13_vector_codes": op13_vector_codes,
     "pipeline": pipeline,
 }
 
 ORACLES: dict[str, str] = {
     "op4_exact_dedup": exact_dedup.ORACLE,
+    "op11_importance_resampling": resampling.ORACLE,
+    "op13_vector_codes": vector_codes.ORACLE,
 } | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
