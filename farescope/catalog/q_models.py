@@ -1,13 +1,11 @@
 """Queries over models. Fitted figures have no SQL twin; the sweep and the priority rules do."""
 
-from datetime import date
-
 from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql, stored
 from farescope.catalog.q_forecast import K, T, ml_frame
 from farescope.catalog.q_inventory import states
-from farescope.operators import inventory, models
+from farescope.operators import inventory, models, quantiles, route_models
 
 
 def labelled(ctx):
@@ -99,6 +97,33 @@ def _reports(ctx):
     return models.route_priority(models.report_frame(ctx.spark, reports))
 
 
+def _route_models(ctx):
+    """Gates and scored test rows of all routes and folds, with forests and ridge, fitted once per session."""
+    rows, features = labelled(ctx)
+    params = route_models.RouteParams(folds=_FOLDS, min_move_delta=5000.0, trees=20, max_depth=4, calibration="isotonic")
+    made = []
+
+    def build(which):
+        if not made:
+            made.extend(route_models.route_scores(rows, features, params))
+        return made[which]
+
+    return stored(ctx, "route-gates", lambda: build(0)), stored(ctx, "route-test-scores", lambda: build(1))
+
+
+@query("route_rolling_report", "route_key:s fold:i train:i test:i train_moves:i test_moves:i reason:s best_threshold_rmse:d2 best_rmse:d2 zero_rmse:d2 "
+       "beats_zero_rmse:b best_threshold_mae:d2 best_mae:d2 zero_mae:d2 beats_zero_mae:b")
+def _rolling(ctx):
+    gate, scores = _route_models(ctx)
+    keys = ["route_key", "fold"]
+    return gate.join(route_models.beaten(route_models.swept(scores, keys), keys), keys, "left")
+
+
+@query("route_threshold_report", "route_key:s threshold:d2 predicted_move_count:i actual_move_count:i rmse:d2 mae:d2 zero_rmse:d2 zero_mae:d2")
+def _route_thresholds(ctx):
+    return route_models.swept(_route_models(ctx)[1].where("fold = 0"), ["route_key"])
+
+
 _FLAGS = """rep AS (SELECT o_orderkey AS id, o_orderkey % 11 = 0 AS two_stage_skipped, o_orderkey % 2 = 0 AS sparse_stage_b,
   CASE WHEN o_orderkey % 3 <> 0 THEN 4 END AS folds_total, o_orderkey % 5 AS folds_evaluated, o_orderkey % 7 = 1 AS viable_rmse,
   o_orderkey % 4 = 1 AS viable_mae, o_orderkey % 6 < 2 AS any_fold_rmse, o_orderkey % 9 = 2 AS any_fold_mae,
@@ -128,7 +153,9 @@ def _priority(ctx):
     return models.route_priority(rows)
 
 
+_ML_FEATURES = ["lag1", "lag2", "lag7", "roll3", "roll7", "roll7_std", "ewm03", "dow", "dom"]
+
+
 @query("quantile_forecast", "airline:s origin:s report_day:D trained_before:D pred_gbt_q10:d pred_gbt_q50:d pred_gbt_q90:d")
 def _quantile(ctx):
-    features = ["lag1", "lag2", "lag7", "roll3", "roll7", "roll7_std", "ewm03", "dow", "dom"]
-    return models.quantile_forecast(ml_frame(ctx), T, features, [date(2024, 1, 16), date(2024, 1, 24)], keys=K, trees=5)
+    return quantiles.quantile_forecast(ml_frame(ctx), T, _ML_FEATURES, keys=K)

@@ -1,4 +1,4 @@
-"""Models on inventory states and on daily series, fitted with MLlib on the executors.
+"""Models on inventory states, fitted with MLlib on the executors; those of single routes are in ``route_models``.
 
 The driver runs the list of fits and reads back one row of figures per model; rows stay in Spark.
 """
@@ -6,20 +6,18 @@ The driver runs the list of fits and reads back one row of figures per model; ro
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 from dataclasses import dataclass, field, replace
-from datetime import date
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import SERIES_KEY, ratio, split_medians
-from farescope.operators.forecast import clip_predictions, recency_weight, robust_bounds
+from farescope.functions import ratio, split_medians
+from farescope.operators import route_models
 from farescope.operators.inventory import time_split
 from farescope.session import work_dir
 
@@ -364,24 +362,20 @@ def expanding_folds(states: DataFrame, folds: int, time_col: str = "observed_at_
 
 def route_reports(states: DataFrame, features: FeatureSet, routes: Sequence[str], folds: int = 0,
                   params: TwoStageParams | None = None, rule: str = "beats_zero_folds", min_beat: int = 2) -> list[dict]:
-    """Two-stage figures per route, on one time split and on expanding folds, with a priority.
+    """Two-stage figures per route, on one time split and on expanding folds, with what ``route_priority`` needs.
 
-    Fewer than two folds, or fewer than 20 rows for each part of a route's folds, give no rolling figures.
+    All routes and folds are fitted together (``route_models``). Fewer than two folds, or fewer than 20 rows for each part of
+    a route's folds, give no rolling figures.
     """
-    reports = []
-    for route in routes:
-        mine = states.where(F.col("route_key") == route)
-        result = two_stage(mine, features, params)
-        row = {"route_key": route, "two_stage_skipped": result["skipped"], "reason": result.get("reason"),
-               "sparse_stage_b": result.get("sparse_stage_b", False), "folds_total": None}
-        if not result["skipped"]:
-            row.update(_beats(result))
-        needed = (folds + 1) * 20
-        if folds >= 2 and mine.limit(needed).count() >= needed:
-            runs = [two_stage(fold, features, params) for fold in expanding_folds(mine, folds)]
-            row.update(_fold_figures(runs, rule, min_beat))
-        reports.append(row)
-    return reports
+    params = params or TwoStageParams()
+    sizes = route_models.RouteParams(
+        folds=folds if folds >= 2 else 0, test_fraction=params.test_fraction, min_move_delta=params.min_move_delta, min_test_moves=params.min_test_moves,
+        min_stage_b_moves=params.min_stage_b_moves, trees=params.trees, trees_b=params.trees_b, max_depth=params.max_depth, stage_b=params.stage_b,
+        calibration=params.calibration, seed=params.seed)
+    found = route_models.route_reports(states.where(F.col("route_key").isin(list(routes))), features, sizes, rule, min_beat)
+    # One row per route.
+    by_route = {r["route_key"]: r.asDict() for r in found.collect()}
+    return [by_route[r] for r in routes if r in by_route]
 
 
 _REPORT = """route_key string, two_stage_skipped boolean, reason string, sparse_stage_b boolean, folds_total int,
@@ -396,26 +390,6 @@ def report_frame(spark: SparkSession, reports: list[dict]) -> DataFrame:
     return spark.createDataFrame([tuple(r.get(n) for n in names) for r in reports], _REPORT)
 
 
-def _beats(result: dict) -> dict:
-    zero = result["combined"].where("model = 'zero'")
-    best = {r["metric"]: r for r in best_thresholds(threshold_sweep(result["scored"]), zero).collect()}
-    return {f"{n}_{m}": best[m][c] for m in ("rmse", "mae") for n, c in (
-        ("best", "best_value"), ("zero", "zero_value"), ("beats_zero", "any_beats_zero"))}
-
-
-def _fold_figures(runs: list[dict], rule: str, min_beat: int) -> dict:
-    done = [_beats(r) for r in runs if not r["skipped"]]
-    out = {"folds_total": len(runs), "folds_evaluated": len(done),
-           "sparse_stage_b_folds": sum(bool(r.get("sparse_stage_b")) for r in runs),
-           "sparse_test_folds": sum(bool(r.get("sparse_test_moves")) for r in runs)}
-    for m in ("rmse", "mae"):
-        wins = sum(bool(d[f"beats_zero_{m}"]) for d in done)
-        means = [sum(d[f"{k}_{m}"] for d in done) / len(done) for k in ("best", "zero")] if done else [None, None]
-        out[f"any_fold_{m}"] = wins > 0
-        out[f"viable_{m}"] = bool(done) and (means[0] < means[1] if rule == "mean_rmse" else wins >= min_beat)
-    return out
-
-
 def route_priority(reports: DataFrame) -> DataFrame:
     """Readiness label and reason per route from its report columns."""
     def yes(name: str) -> Column:
@@ -442,44 +416,3 @@ def route_priority(reports: DataFrame) -> DataFrame:
     for condition, name, why in reversed(rules):
         label, reason = F.when(condition, name).otherwise(label), F.when(condition, why).otherwise(reason)
     return reports.withColumns({"route_model_priority": label, "route_model_priority_reason": reason})
-
-
-# ---------------------------------------------------------------- quantile forecast
-
-
-def quantile_forecast(frame: DataFrame, target: str, features: Sequence[str], cutoffs: Sequence[date],
-                      quantiles: Sequence[float] = (0.1, 0.5, 0.9), keys: Sequence[str] = SERIES_KEY, trees: int = 20, min_history: int = 1,
-                      prefix: str = "pred_gbt_q") -> DataFrame:
-    """Boosted-tree forecasts with residual quantiles, fitted once per cutoff over all series.
-
-    Rows from a cutoff up to the next one are predicted by the model of the rows before it; a cutoff with
-    fewer than ``min_history`` rows before it makes none. Newer rows weigh more. The quantiles add those of the training residuals, and every value is kept within the
-    robust range of its series.
-    """
-    parts = []
-    days = [*sorted(cutoffs), None]
-    for start, end in zip(days, days[1:]):
-        past = frame.where((F.col("report_day") < F.lit(start)) & F.col(target).isNotNull())
-        if min_history > 1 and past.limit(min_history).count() < min_history:
-            continue
-        ahead = frame.where(F.col("report_day") >= F.lit(start))
-        if end is not None:
-            ahead = ahead.where(F.col("report_day") < F.lit(end))
-        weighted = recency_weight(past.withColumn("y", F.col(target).cast("double")), keys)
-        stages = [Imputer(strategy="median", inputCols=list(features), outputCols=[f"{c}__f" for c in features]),
-                  VectorAssembler(inputCols=[f"{c}__f" for c in features], outputCol="features", handleInvalid="keep"),
-                  GBTRegressor(labelCol="y", weightCol="weight", maxIter=trees, maxDepth=4, seed=42)]
-        doubles = {c: F.col(c).cast("double") for c in features}
-        model = Pipeline(stages=stages).fit(weighted.withColumns(doubles))
-        residual = model.transform(weighted.withColumns(doubles)).select((F.col("y") - F.col("prediction")).alias("r"))
-        spread = residual.agg(F.percentile("r", [float(q) for q in quantiles])).scalar()
-        bounds = robust_bounds(past, target, keys)
-        out = model.transform(ahead.withColumns(doubles)).join(bounds, list(keys), "left")
-        named = {f"{prefix}{round(q * 100)}": F.col("prediction") + spread[i] for i, q in enumerate(quantiles)}
-        held = {n: F.least(F.greatest(c, F.coalesce("lower", c)), F.coalesce("upper", c)) for n, c in named.items()}
-        parts.append(out.select(*frame.columns, F.lit(start).alias("trained_before"), *[c.alias(n) for n, c in held.items()]))
-    if not parts:
-        nothing = frame.where(F.lit(False)).withColumn("trained_before", F.lit(None).cast("date"))
-        return nothing.withColumns({f"{prefix}{round(q * 100)}": F.lit(None).cast("double") for q in quantiles})
-    result = reduce(DataFrame.unionByName, parts)
-    return clip_predictions(result, target, [c for c in result.columns if c.startswith(prefix)])

@@ -3,7 +3,8 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
+ROOT = str(Path(__file__).resolve().parent.parent)
+sys.path.insert(0, ROOT)
 
 from farescope.session import build_session, use_local_work_dir  # noqa: E402
 
@@ -14,5 +15,7 @@ def spark():
         "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g", "spark.ui.enabled": "false",
         "spark.log.level": "ERROR", "spark.ui.showConsoleProgress": "false"})
     use_local_work_dir(session)
+    # Python workers import the library from here, wherever the tests were started.
+    session.sparkContext.environment.setdefault("PYTHONPATH", ROOT)
     yield session
     session.stop()
