@@ -21,7 +21,8 @@ def normal(rows, names):
     def cell(v):
         if isinstance(v, float):
             return "nan" if math.isnan(v) else repr(v)
-        return "" if v is None else str(v)
+        # Nothing in a text equals this, so a missing value differs from an empty one.
+        return "\0null" if v is None else str(v)
 
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 

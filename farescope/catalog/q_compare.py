@@ -14,13 +14,12 @@ _SIDE = ["penalty_source", "penalty_currency", "penalty_rule_text", *PENALTY_FEE
 
 
 def _collapsed(name: str, rank: int) -> str:
-    return (f"{name} AS (SELECT {_K}, min(offer_id) AS id, min(price_total) AS price, max(seat_capacity) AS cap, "
-            f"max(seat_available) AS seats FROM offers WHERE cycle_id = (SELECT cycle_id FROM two WHERE n = {rank}) "
-            f"GROUP BY {_K})")
+    return (f"{name} AS MATERIALIZED (SELECT {_K}, min(offer_id) AS id, min(price_total) AS price, max(seat_capacity) AS cap, "
+            f"max(seat_available) AS seats FROM offers JOIN two USING (cycle_id) WHERE n = {rank} GROUP BY {_K})")
 
 
 _SAME = " AND ".join(f"c.{k} = p.{k}" for k in COMPARE_KEY)
-CMP = f"""two AS (SELECT cycle_id, row_number() OVER (ORDER BY min(captured_at) DESC) AS n FROM offers GROUP BY 1),
+CMP = f"""two AS MATERIALIZED (SELECT cycle_id, row_number() OVER (ORDER BY min(captured_at) DESC) AS n FROM offers GROUP BY 1),
   {_collapsed('cur', 1)}, {_collapsed('prev', 2)},
   ranked AS (SELECT *, min(price) OVER (PARTITION BY origin, destination) AS route_min FROM cur),
   cmp AS (SELECT *, origin || '-' || destination AS route, strftime(departure, '%H:%M') AS departure_time,
@@ -61,8 +60,8 @@ FIN = CMP + f""",
     sum(seats) FILTER (WHERE rbd IS NOT NULL) AS min_seats,
     sum(prev_seats) FILTER (WHERE rbd IS NOT NULL) AS previous_min_seats, sum(prev_rows) = 0 AS is_new_flight
     FROM cls GROUP BY 1, 2),
-  lab AS (SELECT flight_key, array_to_string(list_sort(list_distinct(list(aircraft) FILTER (WHERE aircraft IS NOT NULL))),
-    ' / ') AS aircraft_label FROM filled GROUP BY 1),
+  lab AS (SELECT flight_key, coalesce(array_to_string(list_sort(list_distinct(list(aircraft) FILTER (WHERE aircraft IS NOT NULL))),
+    ' / '), '') AS aircraft_label FROM filled GROUP BY 1),
   base AS (SELECT f.*, lev.* EXCLUDE (flight_key, flight_date), min_rbd, min_rbd_seats, max_rbd, max_rbd_seats,
     aircraft_label, seat_capacity AS max_seats,
     CASE WHEN is_new_flight AND min_seats > 0 THEN 'NEW' WHEN min_seats = 0 THEN 'SOLD OUT' ELSE 'NORMAL' END AS status,
