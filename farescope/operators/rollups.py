@@ -7,7 +7,7 @@ planned by Spark as two shuffles (value first, group second) for the same reason
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
@@ -60,12 +60,17 @@ def availability_changes_daily(events: DataFrame) -> DataFrame:
     )
 
 
-def _affected() -> list[Column]:
+def distinct_in_set(name: str) -> Column:
+    """Exact distinct count as the size of a set, which a stream can keep and merge; for names of which a group has few."""
+    return F.size(F.collect_set(name)).cast("bigint")
+
+
+def _affected(distinct: Callable[[str], Column] = F.countDistinct) -> list[Column]:
     return [
         F.count("*").alias("total_change_events"),
-        F.countDistinct("flight_number").alias("flights_affected"),
-        F.countDistinct("fare_basis").alias("fare_bases_affected"),
-        F.countDistinct("field_name").alias("unique_fields_changed"),
+        distinct("flight_number").alias("flights_affected"),
+        distinct("fare_basis").alias("fare_bases_affected"),
+        distinct("field_name").alias("unique_fields_changed"),
         _is("domain", "price").alias("price_events"),
         _is("domain", "availability").alias("availability_events"),
         _is("domain", "metadata").alias("metadata_events"),
@@ -93,14 +98,19 @@ def daily_rollups(events: DataFrame) -> DataFrame:
     Price and availability measures are conditional, so a report that needs all of them scans the
     events once and joins nothing.
     """
+    return events.groupBy(*DAILY_KEY).agg(*daily_measures())
+
+
+def daily_measures(distinct: Callable[[str], Column] = F.countDistinct) -> list[Column]:
+    """Aggregates of a day's events, shared by the batch and the streaming form."""
     price, availability = F.col("domain") == "price", F.col("domain") == "availability"
     presence = availability & (F.col("field_name") == "__row_presence__")
 
     def mean(condition: Column, name: str) -> Column:
         return numeric_round(F.avg(F.when(condition, F.abs(name))), 4)
 
-    return events.groupBy(*DAILY_KEY).agg(
-        *_affected(),
+    return [
+        *_affected(distinct),
         _is("change_type", "added").alias("added_events"),
         _is("change_type", "removed").alias("removed_events"),
         _is("change_type", "changed").alias("changed_events"),
@@ -113,7 +123,7 @@ def daily_rollups(events: DataFrame) -> DataFrame:
         F.count_if(presence & (F.col("change_type") == "removed")).alias("row_removed_events"),
         mean(availability, "magnitude").alias("av_magnitude"),
         *_event_span(),
-    )
+    ]
 
 
 def change_activity_daily(events: DataFrame) -> DataFrame:
