@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from farescope.session import work_dir
@@ -119,44 +120,91 @@ def by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> Dat
     return df.repartition(parts(df.sparkSession), *keys).sortWithinPartitions(*keys, *order)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that a table does not have yet."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def join_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str], size: str, total: int) -> DataFrame:
     """Left join of rows with one row per group, where a few groups may hold most rows.
 
     Groups with more than a thousandth of all rows, of which there are fewer than a thousand, are broadcast, so their
-    rows stay where they are; only the rest is shuffled.
+    rows stay where they are; only the rest is shuffled. Rows with a missing key belong to no group and are not moved either.
     """
     hot = F.broadcast(groups.where(F.col(size) * 1000 > total).withColumn("__hot", F.lit(True)))
-    marked = rows.join(hot.select(*keys, "__hot"), list(keys), "left")
+    keyed = reduce(lambda x, y: x & y, [F.col(k).isNotNull() for k in keys])
+    marked = rows.where(keyed).join(hot.select(*keys, "__hot"), list(keys), "left")
     near = marked.where(F.col("__hot").isNotNull()).drop("__hot").join(hot.drop("__hot"), list(keys), "inner")
     far = marked.where(F.col("__hot").isNull()).drop("__hot").join(groups.where(F.col(size) * 1000 <= total), list(keys), "left")
-    return near.unionByName(far)
+    bare = rows.where(~keyed).withColumns({f.name: F.lit(None).cast(f.dataType) for f in groups.schema.fields if f.name not in keys})
+    return near.unionByName(far).unionByName(bare)
+
+
+def _contracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of a partition as stars: every id with the smallest one that the partition's links connect it with."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        top = x
+        while root.get(top, top) != top:
+            top = root[top]
+        while root.get(x, x) != x:
+            root[x], x = top, root[x]
+        return top
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist()):
+            x, y = find(a), find(b)
+            root.setdefault(a, a)
+            root.setdefault(b, b)
+            if x != y:
+                root[max(x, y)] = min(x, y)
+    pairs = [(x, find(x)) for x in root]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    for at in range(0, len(pairs), 50_000):
+        a, b = zip(*pairs[at : at + 50_000])
+        yield pa.RecordBatch.from_pydict({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
     """Connected components by alternating large and small star steps: (id, root), root the smallest id reachable.
 
-    `edges` has long columns a and b. Only ids that occur in an edge with another id are returned. Each round is
-    written to the shared folder; the number of rounds grows with the logarithm of the longest chain.
+    `edges` has long columns a and b. Only ids that occur in an edge with another id are returned. The links of a partition are
+    first contracted to stars where they lie. Each round is written to the shared folder, and tells by figures of what it
+    writes whether it changed anything; the number of rounds grows with the logarithm of the longest chain.
     """
-    def low(pairs: DataFrame) -> DataFrame:
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        return pairs.join(least.select("u", F.least("u", "m").alias("m")), "u")
+    def low(pairs: DataFrame, total: int) -> DataFrame:
+        # Centers with more than a thousandth of all rows, fewer than a thousand, are broadcast; rows of those go by their other end.
+        least = pairs.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hot = F.broadcast(least.where(F.col("n") * 1000 > total).select(F.col("u").alias("hu"), F.col("m").alias("hm")))
+        far = least.where(F.col("n") * 1000 <= total).select(F.col("u").alias("k"), "m", F.lit(0).cast("bigint").alias("s"))
+        keyed = pairs.join(hot, F.col("u") == F.col("hu"), "left").withColumns(
+            {"k": F.col("u"), "s": F.when(F.col("hm").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64("v"), F.lit(4096)))})
+        return keyed.join(far, ["k", "s"], "left").select("u", F.least("u", F.coalesce("hm", "m")).alias("m"), "v")
+
+    def store(df: DataFrame) -> tuple[DataFrame, tuple]:
+        seen = Observation()
+        told = df.observe(seen, F.count("*").alias("n"), F.bit_xor(F.xxhash64("a", "b")).alias("x"), F.sum(F.xxhash64("b", "a") % 1_000_003).alias("y"))
+        kept = saved(told, name)
+        return kept, tuple(seen.get[c] for c in ("n", "x", "y"))
 
     both = lambda e: e.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(
         e.select(F.col("b").alias("u"), F.col("a").alias("v")))
-    now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    state = None
-    while True:
-        large = low(both(now)).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        small = low(large.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    now, state = store(edges.where("a <> b").mapInArrow(_contracted, "a long, b long").distinct())
+    while state[0]:
+        large = low(both(now), 2 * state[0]).where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        small = low(large.select(F.col("a").alias("u"), F.col("b").alias("v")), state[0])
         step = small.where("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(
             small.select(F.col("u").alias("a"), F.col("m").alias("b"))).where("a <> b").distinct()
-        now = saved(step, name)
-        seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64("b", "a") % 1_000_003)).first()
-        if seen == state:
-            return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
-                now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
-        state = seen
+        now, after = store(step)
+        if after == state:
+            break
+        state = after
+    return now.select(F.col("a").alias("id"), F.col("b").alias("root")).unionByName(
+        now.select(F.col("b").alias("id"), F.col("b").alias("root"))).distinct()
 
 
 def id_ranges(docs: DataFrame, n: int) -> list[int]:

@@ -41,7 +41,7 @@ def test_merge_verifies_equal_digests():
     assert [(x["digest"], x["check"], x["least"], x["n"]) for x in out] == [(b"a" * 32, 1, 2, 3), (b"a" * 32, 2, 4, 1), (b"b" * 32, 1, 3, 1)]
 
 
-def plain_near(rows):
+def plain_near(rows, percent=85):
     sets = {}
     for i, t in rows:
         w = (t or "").encode().lower().split()
@@ -56,7 +56,7 @@ def plain_near(rows):
     ids = sorted(sets)
     for n, a in enumerate(ids):
         for b in ids[:n]:
-            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {(i, len(sets[i]), find(i)) for i in ids}
@@ -102,3 +102,52 @@ def test_components_of_a_chain(spark):
         spark.sql("SELECT 901L AS a, 900L AS b"))
     got = {(r.id, r.root) for r in components(edges, "test").collect()}
     assert got == {(k, 0) for k in range(200)} | {(900, 900), (901, 900)}
+
+
+def test_near_threshold_is_a_parameter(make_docs):
+    rows = [(k, t) for k, t in enumerate(variants(7, 60))]
+    found = {p: {(r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(make_docs(rows), p).collect()} for p in (80, 85, 95)}
+    assert all(found[p] == plain_near(rows, p) for p in found)
+    assert len({c for _, _, c in found[80]}) < len({c for _, _, c in found[95]})
+    assert [near_dedup.matches(p) for p in (80, 85, 100)] == [36, 40, 64]
+
+
+def test_each_text_of_an_id_is_linked_by_itself(make_docs):
+    one, two = words(1, 80), words(2, 80)
+    rows = [(1, one), (2, two), (5, one + " x"), (5, two + " y"), (5, words(3, 80)), (5, one + " x"), (9, two), (None, one + " x"), (None, None)]
+    got = sorted((str(r.doc_id), str(r.component_id), r.kept) for r in near_dedup.near_duplicates(make_docs(rows)).collect())
+    assert got == sorted([("1", "1", True), ("2", "2", True), ("5", "1", False), ("5", "1", False), ("5", "2", False), ("5", "5", True), ("9", "2", False),
+                          ("None", "1", False), ("None", "None", True)])
+    left = near_dedup.without_near_copies(make_docs(rows).withColumnRenamed("kept", "gone_id").withColumnRenamed("score", "gone_key"))
+    assert {(r.doc_id, r.text) for r in left.collect()} >= {(1, one), (2, two), (5, words(3, 80))}
+    assert not {(r.doc_id, r.text) for r in left.collect()} & {(5, one + " x"), (5, two + " y"), (9, two)}
+
+
+def test_copies_cost_rows_in_proportion(spark):
+    """Blocks get the leader, not each other's rows; what lies open goes to the other blocks."""
+    from pyspark.sql import functions as F
+
+    rows = spark.range(1000).select(F.col("id").alias("node"), F.lit(0).cast("long").alias("leader"), F.lit(10).cast("long").alias("blocks"))
+    assert near_dedup.in_blocks(rows, "leader").count() == 1009
+    left = near_dedup.open_blocks(rows.withColumn("rest", F.col("node") < 3))
+    assert left.count() == 1000 + 3 * 9 and left.where("own").count() == 1000
+
+
+@pytest.mark.parametrize("parts", [1, 8])
+def test_components_of_random_links(spark, parts):
+    r = random.Random(parts)
+    links = [(r.randrange(400), r.randrange(400)) for _ in range(260)] + [(1000, 1000 + k) for k in range(1, 3000)] + [(3999, 7), (5000, -4)]
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    want = {(x, find(x)) for a, b in links if a != b for x in (a, b)}
+    got = {(x.id, x.root) for x in components(spark.createDataFrame(links, "a long, b long").repartition(parts), "random").collect()}
+    assert got == want
+    assert components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
