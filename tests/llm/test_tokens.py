@@ -179,6 +179,22 @@ def test_language_model(make_docs, size, most):
     assert bloom_lm.scores(make_docs([])).count() == 0
 
 
+def test_language_model_in_slices(make_docs, monkeypatch):
+    rows = [(k, words(k % 20, 10 + k)) for k in range(60)] + [(100, None), (101, words(3, 400))]
+    docs = make_docs(rows)
+    shown = lambda: sorted(tuple(round(v, 9) if isinstance(v, float) else v for v in r) for r in bloom_lm.scores(docs).collect())
+    whole = shown()
+    monkeypatch.setattr(bloom_lm, "SLICE", 7)
+    from pyspark import cloudpickle
+
+    # Workers get the function with the small slice.
+    cloudpickle.register_pickle_by_value(bloom_lm)
+    try:
+        assert shown() == whole
+    finally:
+        cloudpickle.unregister_pickle_by_value(bloom_lm)
+
+
 def test_bloom_filter_never_forgets():
     keys = np.unique(np.random.default_rng(0).integers(0, 2**63, 20_000, dtype=np.uint64))
     level = np.random.default_rng(1).integers(1, 9, len(keys))
