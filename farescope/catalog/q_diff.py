@@ -6,6 +6,8 @@ from farescope.catalog.base import query, sql
 from farescope.catalog.change_source import STATE_FIELDS, change_events, pairs, state_rows
 from farescope.functions import DIFF_KEY
 from farescope.operators import cycles, diff
+from farescope.session import work_dir
+from farescope.sources.tables import LatestState
 
 _EVENT = ("cycle_id:s previous_cycle_id:s detected_at:t airline:s origin:s destination:s flight_number:s "
           "departure_day:D departure_time:s cabin:s fare_basis:s brand:s domain:s change_type:s direction:s "
@@ -160,6 +162,46 @@ def _known(ctx):
         F.count("*").alias("events"), F.sum("magnitude").alias("magnitude"))
 
 
+def _state_before(ctx):
+    """Bucketed state before the newest cycle: all older cycles at once, then the last two one by one."""
+    # A few narrow rows, one per cycle.
+    order = [r[0] for r in ctx.cycle_order.orderBy("cycle_no").select("cycle_id").collect()]
+    path = work_dir(ctx.spark, "cycle-offers")
+    ctx.offers.write.partitionBy("cycle_id").parquet(path)
+    offers = ctx.spark.read.schema(ctx.offers.schema).parquet(path)
+    state = LatestState(ctx.spark, work_dir(ctx.spark, "latest-state"), ctx.offers.schema, 16)
+    early = [c for c in order[:-3]]
+    for cycles in ([early] if early else []) + [[c] for c in order[-3:-1] if c not in early]:
+        state.update(offers.where(F.col("cycle_id").isin(cycles)))
+    return state, offers.where(F.col("cycle_id") == order[-1])
+
+
+@query("latest_state", "offer_id:s cycle_id:s captured_at:t " + _KEYS + " price_total:d2",
+       sql(_STATE_SQL.format(keys=", ".join(DIFF_KEY), where=f"WHERE cycle_id <> {_LAST}")))
+def _latest_state(ctx):
+    return _state_before(ctx)[0].table()
+
+
+@query("latest_state_diff", "domain:s change_type:s field_name:s events:i magnitude:d2", sql(f"""
+  SELECT domain, change_type, field_name, count(*) AS events, sum(magnitude) AS magnitude FROM (
+    SELECT 'availability' AS domain, CASE WHEN p.offer_id IS NULL THEN 'added' ELSE 'removed' END AS change_type,
+      '__row_presence__' AS field_name, NULL AS magnitude FROM p FULL JOIN c USING ({', '.join(DIFF_KEY)})
+      WHERE p.offer_id IS NULL OR c.offer_id IS NULL
+    UNION ALL SELECT 'price', CASE WHEN c.price_total > p.price_total THEN 'increase' ELSE 'decrease' END,
+      'price_total', abs(CAST(c.price_total AS DOUBLE) - CAST(p.price_total AS DOUBLE))
+      FROM p JOIN c USING ({', '.join(DIFF_KEY)}) WHERE c.price_total <> p.price_total
+    UNION ALL SELECT 'seat', CASE WHEN c.seat_available > p.seat_available THEN 'increase' ELSE 'decrease' END,
+      'seat_available', abs(CAST(c.seat_available AS DOUBLE) - p.seat_available)
+      FROM p JOIN c USING ({', '.join(DIFF_KEY)}) WHERE c.seat_available <> p.seat_available) GROUP BY ALL""",
+    ctes=f"""p AS ({_STATE_SQL.format(keys=', '.join(DIFF_KEY), where=f'WHERE cycle_id <> {_LAST}')}),
+    c AS ({_STATE_SQL.format(keys=', '.join(DIFF_KEY), where=f'WHERE cycle_id = {_LAST}')})"""))
+def _state_diff(ctx):
+    state, newest = _state_before(ctx)
+    events = diff.diff_columns(state.pairs(newest, keep_known=False))
+    return events.groupBy("domain", "change_type", "field_name").agg(
+        F.count("*").alias("events"), F.sum("magnitude").alias("magnitude"))
+
+
 @query("diff_columns_legacy_union", "field_name:s change_type:s events:i", sql("""
   SELECT f.field_name, 'added' AS change_type, count(*) AS events FROM matched,
     (VALUES ('booking_class', 1), ('aircraft', 2)) f(field_name, k)

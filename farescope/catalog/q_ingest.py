@@ -8,6 +8,8 @@ from farescope import fixtures
 from farescope.catalog.base import query, sql
 from farescope.functions import DIFF_KEY, PENALTY_FEES, STORAGE_KEY, split_via
 from farescope.operators import ingest, payloads
+from farescope.session import work_dir
+from farescope.sources.tables import BucketTable
 
 _DK = ", ".join(DIFF_KEY)
 _FIRST = f"QUALIFY row_number() OVER (PARTITION BY cycle_id, {_DK} ORDER BY offer_id) = 1"
@@ -141,6 +143,34 @@ def _merge(ctx):
     return ingest.externalize_payloads(ctx.meta_with("raw_offer"), _store(ctx), _AT, "externalize_all")[1]
 
 
+def _stored_table(ctx):
+    """The payload table with the repeats of the side-car, which were seen first."""
+    old = _store(ctx)
+    table = BucketTable(ctx.spark, work_dir(ctx.spark, "payload-table"), old.schema, ["fingerprint"], 16)
+    table.upsert(old, ingest.merge_payloads)
+    return table
+
+
+@query("payload_table_upsert", _STORE_COLS, sql("""SELECT sha256(canon) AS fingerprint, canon AS payload_json,
+  length(canon) AS payload_size_bytes, c.n + coalesce(o.n, 0) AS seen_count, CASE WHEN o.n IS NOT NULL
+  THEN TIMESTAMP '2023-01-01' ELSE TIMESTAMP '2024-01-01' END AS first_seen_at, TIMESTAMP '2024-01-01' AS last_seen_at
+  FROM cnt c LEFT JOIN old o USING (canon)""", needs="meta", ctes=_PAY))
+def _table_upsert(ctx):
+    table = _stored_table(ctx)
+    ingest.store_payloads(ctx.meta_with("raw_offer"), table, _AT, "externalize_all")
+    return table.read()
+
+
+@query("payload_table_rows", "payload_storage:s rows:i inline_rows:i fingerprints:i", sql("""SELECT CASE WHEN canon IS NULL
+  THEN NULL WHEN o.n IS NOT NULL OR c.n > 1 THEN 'external_ref' ELSE 'inline+ref' END AS payload_storage,
+  count(*) AS rows, count(*) FILTER (WHERE o.n IS NULL AND c.n = 1) AS inline_rows, count(DISTINCT canon) AS fingerprints
+  FROM pay LEFT JOIN cnt c USING (canon) LEFT JOIN old o USING (canon) GROUP BY 1""", needs="meta", ctes=_PAY))
+def _table_rows(ctx):
+    rows = ingest.store_payloads(ctx.meta_with("raw_offer"), _stored_table(ctx), _AT)
+    return rows.groupBy("payload_storage").agg(F.count("*").alias("rows"), F.count("raw_offer").alias("inline_rows"),
+                                               F.countDistinct("payload_fingerprint").alias("fingerprints"))
+
+
 @query("resolve_payload", "meta_id:s payload:s", sql("SELECT meta_id, canon AS payload FROM pay", needs="meta", ctes=_PAY))
 def _resolve(ctx):
     rows, store = ingest.externalize_payloads(ctx.meta_with("raw_offer"), _store(ctx), _AT, "externalize_all")

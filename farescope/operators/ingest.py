@@ -12,6 +12,7 @@ from farescope import schemas
 from farescope.functions import (
     DIFF_KEY, STORAGE_KEY, all_of, bounded_broadcast, first_rows, half_even, identity_columns, ratio, salted_left_join,
 )
+from farescope.session import work_dir
 
 REQUIRED = ["airline", "flight_number", "origin", "destination", "departure", "cabin", "brand"]
 
@@ -162,11 +163,33 @@ def externalize_payloads(meta: DataFrame, store: DataFrame, seen_at: datetime,
     rows = rows.withColumn("payload_storage", F.when(F.col("payload_fingerprint").isNotNull(), storage)).drop("__repeated")
     rows = rows.withColumn("raw_offer", F.when(F.coalesce(F.col("payload_storage") != "external_ref", F.lit(True)),
                                                F.col("raw_offer")))
-    merged = store.unionByName(batch).groupBy("fingerprint").agg(
+    return rows, merge_payloads(store.unionByName(batch))
+
+
+def merge_payloads(rows: DataFrame) -> DataFrame:
+    """One store row per fingerprint: counts added up, first and last time seen."""
+    return rows.groupBy("fingerprint").agg(
         F.min("payload_json").alias("payload_json"), F.max("payload_size_bytes").alias("payload_size_bytes"),
         F.sum("seen_count").alias("seen_count"), F.min("first_seen_at").alias("first_seen_at"),
         F.max("last_seen_at").alias("last_seen_at"))
-    return rows, merged
+
+
+def store_payloads(meta: DataFrame, table, seen_at: datetime, mode: str = "externalize_duplicates") -> DataFrame:
+    """The side-car with its payloads moved to a stored table (``sources.tables.BucketTable`` keyed by fingerprint).
+
+    Whether a payload is known is asked, and counts are added, in the buckets of the batch only; other buckets are neither
+    read nor written. The rows that come back no longer depend on the table, so they are stored before it changes.
+    """
+    spark = meta.sparkSession
+    prints = meta.select(F.sha2(canonical_json(F.col("raw_offer")), 256).alias("fingerprint")).where("fingerprint IS NOT NULL")
+    before = table.read(table.touched(prints))
+    rows, _ = externalize_payloads(meta, before, seen_at, mode)
+    path = work_dir(spark, "payload-rows")
+    rows.write.parquet(path)
+    if mode.strip().lower() not in ("", "0", "false", "off", "disabled", "none"):
+        # Counted against an empty store, a batch is what it adds.
+        table.upsert(externalize_payloads(meta, before.limit(0), seen_at, mode)[1], merge_payloads)
+    return spark.read.schema(rows.schema).parquet(path)
 
 
 def resolve_payload(meta: DataFrame, store: DataFrame, name: str = "payload") -> DataFrame:

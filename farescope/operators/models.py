@@ -166,7 +166,7 @@ def delta_regressor(states: DataFrame, features: FeatureSet, test_fraction: floa
     filled = _fill_modes(train, train, features.categorical)
     prep = preprocessor(features).fit(filled)
     ready = prep.transform(filled)
-    model = _ridge(ready, "y", alpha, ready.count())
+    model = _ridge(ready, "y", alpha)
     scored = model.transform(prep.transform(_fill_modes(train, test, features.categorical))).select(
         F.lit("ridge").alias("model"), "y", F.col("prediction").alias("predicted"))
     middle = split_medians(train, [], {"y": F.col("y")}).select("y").scalar()
@@ -175,9 +175,11 @@ def delta_regressor(states: DataFrame, features: FeatureSet, test_fraction: floa
             "top_features": top_features(prep, model.coefficients.toArray(), ready)}
 
 
-def _ridge(ready: DataFrame, label: str, alpha: float, n: int):
-    """Ridge with the penalty on the sum of squares: MLlib's objective is divided by the rows."""
-    return LinearRegression(labelCol=label, regParam=alpha / max(n, 1), elasticNetParam=0.0, standardization=False).fit(ready)
+def _ridge(ready: DataFrame, label: str, alpha: float):
+    """Ridge with the penalty on the sum of squares. MLlib divides that by the rows, and the penalty by the label's spread."""
+    seen = ready.agg(F.count(label).alias("n"), F.stddev_pop(label).alias("spread")).first()
+    weight = alpha * (seen["spread"] or 1.0) / max(seen["n"], 1)
+    return LinearRegression(labelCol=label, regParam=weight, elasticNetParam=0.0, standardization=False).fit(ready)
 
 
 @dataclass
@@ -250,7 +252,7 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
         size_model = RandomForestRegressor(labelCol="y", numTrees=params.trees_b, minInstancesPerNode=2, seed=params.seed,
                                            maxDepth=params.max_depth).fit(moves)
     else:
-        size_model = _ridge(moves, "y", 1.0, sizes["train_moves"])
+        size_model = _ridge(moves, "y", 1.0)
     path = work_dir(states.sparkSession, "scored")
     size_model.transform(scored).withColumnRenamed("prediction", "pred_delta").select(
         "p_move", "pred_delta", "y", "moved").write.parquet(path)
