@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.llm.common import SPACES, join_groups, parts, saved
+from farescope.llm.common import SPACES, free_name, join_groups, parts, saved
 
 #: Runs that one task merges at most.
 FAN = 8
@@ -50,26 +50,52 @@ def _padded(values: pa.Array) -> np.ndarray:
     return flat.reshape(-1, 32).copy().view("S32").ravel()
 
 
-def folded(run: np.ndarray) -> np.ndarray:
-    """One entry for each verified text of sorted, concatenated runs: smallest id, sum of rows."""
+def keys(run: np.ndarray) -> np.ndarray:
+    """What runs are sorted by, as one value of fixed width: digest, check and size, the numbers with their highest byte first."""
+    out = np.empty((len(run), 48), np.uint8)
+    out[:, :32] = np.ascontiguousarray(run["digest"]).view(np.uint8).reshape(-1, 32)
+    for at, name in ((32, "check"), (40, "size")):
+        # The sign bit turned, so that bytes are in the order of the numbers.
+        out[:, at : at + 8] = (np.ascontiguousarray(run[name]).view(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+    return out.view("S48").ravel()
+
+
+def folded(run: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One entry for each verified text of a sorted run, with its key: smallest id, sum of rows."""
     if not len(run):
-        return run
-    run = run[np.lexsort((run["size"], run["check"], run["digest"]))]
-    fresh = np.ones(len(run), bool)
-    same = np.ones(len(run) - 1, bool)
-    for part in ("digest", "check", "size"):
-        same &= run[part][1:] == run[part][:-1]
-    fresh[1:] = ~same
-    at = np.flatnonzero(fresh)
+        return run, key
+    at = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     out = run[at].copy()
     out["least"] = np.minimum.reduceat(run["least"], at)
     out["n"] = np.add.reduceat(run["n"], at)
-    return out
+    return out, key[at]
+
+
+def sorted_run(rows: np.ndarray) -> np.ndarray:
+    """A run of rows in any order."""
+    key = keys(rows)
+    order = np.argsort(key, kind="stable")
+    return folded(rows[order], key[order])[0]
 
 
 def merged(runs: list[np.ndarray]) -> np.ndarray:
-    """Multiway merge of sorted runs (numpy's stable sort merges ordered stretches), verified and folded."""
-    return folded(np.concatenate(runs)) if runs else np.empty(0, ENTRY)
+    """Multiway merge of sorted runs, verified and folded: runs meet in pairs, each entry of one is put at its rank in the other."""
+    waiting = [(run, keys(run)) for run in runs if len(run)]
+    while len(waiting) > 1:
+        waiting = [_pair(*waiting[i : i + 2]) for i in range(0, len(waiting), 2)]
+    return folded(*waiting[0])[0] if waiting else np.empty(0, ENTRY)
+
+
+def _pair(one: tuple[np.ndarray, np.ndarray], two: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if two is None:
+        return one
+    (a, ka), (b, kb) = one, two
+    behind = np.searchsorted(ka, kb, side="right") + np.arange(len(kb))
+    ahead = np.ones(len(ka) + len(kb), bool)
+    ahead[behind] = False
+    run, key = np.empty(len(ahead), ENTRY), np.empty(len(ahead), "S48")
+    run[ahead], run[behind], key[ahead], key[behind] = a, b, ka, kb
+    return folded(run, key)
 
 
 def _first_runs(ranges: int):
@@ -84,8 +110,8 @@ def _first_runs(ranges: int):
             new["n"] = 1
             waiting.append(new)
             if sum(map(len, waiting)) > 500_000:
-                run, waiting = merged([run, *waiting]), []
-        run = merged([run, *waiting])
+                run, waiting = merged([run, sorted_run(np.concatenate(waiting))]), []
+        run = merged([run, sorted_run(np.concatenate(waiting))]) if waiting else run
         if len(run):
             high = run["digest"].astype("S32").view(np.uint8).reshape(-1, 32)[:, :4].copy().view(">u4").ravel()
             at = (high.astype(np.uint64) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
@@ -140,12 +166,12 @@ def exact_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of a table that stay, with all their columns. Column names that begin with two underscores are taken."""
-    keys = ["__id", "__sha"]
+    """The rows of a table that stay, with all their columns."""
+    names = [free_name(docs, "copy_id"), free_name(docs, "copy_sha")]
     number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(LAST_ID))
-    kept = exact_duplicates(docs).where("kept").select(number.alias("__id"), F.col("text_sha256").alias("__sha"))
-    rows = docs.withColumn("__id", number).withColumn("__sha", F.sha2(normal("text").cast("binary"), 256))
-    return rows.join(kept, keys, "left_semi").dropDuplicates(keys).drop(*keys)
+    kept = exact_duplicates(docs).where("kept").select(number.alias(names[0]), F.col("text_sha256").alias(names[1]))
+    rows = docs.withColumn(names[0], number).withColumn(names[1], F.sha2(normal("text").cast("binary"), 256))
+    return rows.join(kept, names, "left_semi").dropDuplicates(names).drop(*names)
 
 
 ORACLE = r"""

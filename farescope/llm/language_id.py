@@ -10,7 +10,7 @@ Chances of declarations and shares of hosts come from grouped sums of the texts'
 Records may be pages (url, html) or plain texts, which have text evidence only.
 
 Rules for odd input: null or empty text gives no text evidence; a page without usable url or declaration goes without
-that evidence. Languages with fewer than SHARE of the labelled documents are left out, so there are fewer than 1/SHARE.
+that evidence. Every language that a document is labelled with takes part; a language costs FEATURES numbers on each worker.
 Rows that repeat count each. Other columns are ignored. An empty table gives an empty result; without labelled documents
 the language is null.
 """
@@ -32,7 +32,6 @@ from farescope.llm.common import join_groups, saved, text_bytes
 
 #: Hashed trigrams.
 FEATURES = 1 << 14
-SHARE = 0.001
 #: Trigrams that a very long text is worth.
 WORTH = 60.0
 #: Pages that the next wider share counts for, at hosts, domains, suffixes.
@@ -100,12 +99,10 @@ def _add(group: pa.Table) -> pa.Table:
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and the log chances of the trigrams in each (FEATURES x languages), from all labelled documents."""
     rows = docs.where("lang IS NOT NULL AND lang <> ''").select("lang", "text")
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
-    total = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # Fewer than 1 / SHARE rows.
-    langs = sorted(r["lang"] for r in sizes.where(F.col("n") >= SHARE * total).collect())
+    # One row per language.
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
     kind = "lang string, part long, counts binary"
-    counted = rows.where(F.col("lang").isin(langs)).mapInArrow(_count, kind) if langs else None
+    counted = rows.mapInArrow(_count, kind) if langs else None
     found = counted.groupBy("lang", "part").applyInArrow(_add, kind).groupBy("lang").applyInArrow(_add, kind).collect() if langs else []
     table = {r["lang"]: np.frombuffer(r["counts"], np.int64) + 0.5 for r in found}
     return langs, np.stack([np.log(table[k] / table[k].sum()) for k in langs], axis=1) if langs else np.zeros((FEATURES, 0))

@@ -13,7 +13,7 @@ sums and rates cover all rows.
 Rules for odd input: a null text is empty, has no tokens, and its posterior is the prior. Label rows with a null id or
 label are ignored; of repeated labels toxic and low quality count. Rows that repeat have equal rates. A domain without
 expected tokens cannot be met and is left out, the others keep their proportions. Without labels all posteriors are
-even. Other columns are ignored by `rates` and kept by `mixed`. An empty table gives an empty result.
+even. Texts under one id go with the larger number of their copies. Other columns are ignored by `rates` and kept by `mixed`. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farescope.llm.common import SPACES, saved
+from farescope.llm.common import SPACES, free_name, saved
 
 DOMAINS = ("high", "low", "toxic")
 TARGETS = {"high": 0.80, "low": 0.15, "toxic": 0.05}
@@ -38,7 +38,7 @@ ERRORS = 4.0
 #: Candidate scales of the evidence, chosen by log loss over the training rows, and the lead it approaches at most.
 SCALES = (0.2, 0.4, 0.6, 0.8, 1.0, 1.5)
 LEAD = 10.0
-#: Largest relative error of a domain's tokens that ends the steps, and the number of steps at most.
+#: Largest relative error of a domain's tokens that ends the steps, and steps without a smaller error that end them too.
 CLOSE, STEPS = 1e-4, 60
 #: Steps after which rates are stored.
 STORE = 4
@@ -161,12 +161,14 @@ def fitted(soft: DataFrame, targets: dict[str, float], tokens: float | None = No
         return soft.withColumn("r", F.lit(1.0)), dict.fromkeys(DOMAINS, 0.0)
     wanted = {d: (tokens or total) * targets[DOMAINS[d]] / weight for d in met}
     start = F.lit((tokens or total) / total)
-    base, steps, done = soft.withColumns({"r": start, "y": start}), [], 0
+    base, steps, done, best, since = soft.withColumns({"r": start, "y": start}), [], 0, math.inf, 0
     while True:
         rated = stepped(base, steps)
         sums = rated.agg(*[F.sum(m * F.col(x)).alias(f"{x}{d}") for x in ("r", "y") for d, m in zip(k, mass)]).first()
         off = max(abs(sums[f"r{d}"] - wanted[d]) / max(wanted[d], 1e-3 * total) for d in met)
-        if off < CLOSE or done >= STEPS:
+        # Targets may be out of reach; then the error stops falling, by a hundredth at least, at what can be reached.
+        best, since = (off, 0) if off < 0.99 * best else (best, since + 1)
+        if off < CLOSE or since >= STEPS:
             share = sum(sums[f"r{d}"] for d in k)
             return rated.drop("y"), {DOMAINS[d]: sums[f"r{d}"] / share if share else 0.0 for d in k}
         if len(steps) == STORE:
@@ -182,14 +184,19 @@ def copies(value: Column, doc_id: str = "doc_id") -> Column:
 
 
 def rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
-    """One row per document: doc_id, n_tokens, p_high, p_low, p_toxic, rate, copies."""
-    rated, _ = fitted(saved(memberships(docs, labels, sample), "memberships"), targets or TARGETS)
+    """One row per document: doc_id, n_tokens, p_high, p_low, p_toxic, rate, copies, and the same in all rows: the reached share
+    of the expected tokens of each domain and its target, as reached_high, target_high and so on."""
+    wanted = targets or TARGETS
+    rated, reached = fitted(saved(memberships(docs, labels, sample), "memberships"), wanted)
+    total = sum(wanted.values()) or 1.0
+    shown = {f"{kind}_{name}": F.lit(float(value)) for name in DOMAINS for kind, value in (("reached", reached[name]), ("target", wanted.get(name, 0.0) / total))}
     return rated.select("doc_id", "n_tokens", *[F.get("p", F.lit(d)).alias(f"p_{name}") for d, name in enumerate(DOMAINS)], F.col("r").alias("rate")).withColumn(
-        "copies", copies(F.col("rate")))
+        "copies", copies(F.col("rate"))).withColumns(shown)
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None, sample: int = SAMPLE) -> DataFrame:
     """The rows of a table, each as often as its copies say, with all their columns."""
-    found = rates(docs, labels, targets, sample).select(F.col("doc_id").alias("__id"), "copies").groupBy("__id").agg(F.max("copies").alias("__copies"))
-    rows = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found["__id"]), "inner")
-    return rows.withColumn("__copy", F.explode(F.array_repeat(F.lit(1), F.col("__copies").cast("int")))).drop("__id", "__copies", "__copy")
+    key, number, one = (free_name(docs, n) for n in ("mix_id", "mix_copies", "mix_copy"))
+    found = rates(docs, labels, targets, sample).select(F.col("doc_id").alias(key), "copies").groupBy(key).agg(F.max("copies").alias(number))
+    rows = docs.join(found, docs["doc_id"].cast("bigint").eqNullSafe(found[key]), "inner")
+    return rows.withColumn(one, F.explode(F.array_repeat(F.lit(1), F.col(number).cast("int")))).drop(key, number, one)

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from farescope.llm.common import CACHE_WORDS, id_crc, text_bytes
+from farescope.llm.common import CACHE_WORDS, free_name, id_crc, text_bytes
 
 THRESHOLD = 0.3
 #: Labelled rows that train at most.
@@ -126,6 +126,21 @@ def _hits(lexicon: Lexicon):
     return work
 
 
+class Hits:
+    """Lists of feature numbers, kept as flat numbers; a list is made when it is looked at."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.chunks = column.chunks
+
+    def __len__(self) -> int:
+        return sum(map(len, self.chunks))
+
+    def __iter__(self) -> Iterator[list[int]]:
+        for chunk in self.chunks:
+            for item in chunk:
+                yield item.values.to_numpy().tolist()
+
+
 def vote(hits: list[list[int]], lexicon: Lexicon) -> np.ndarray:
     """Votes of all voters, 1 toxic, 0 none, -1 clean; `hits` has the feature numbers word by word, each word ended by -1."""
     n = len(lexicon.names)
@@ -222,17 +237,17 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
             share = (toxic + 0.5) / (toxic + clean + 1)
             return Model(Lexicon([], np.empty(0), {}), np.array([0.0, 0.0, np.log(share / (1 - share))]))
         lexicon = mined(rows, toxic, clean)
-        found = rows.mapInArrow(_hits(lexicon), "toxic int, hits array<int>").collect()
+        found = rows.mapInArrow(_hits(lexicon), "toxic int, hits array<int>").toArrow()
     finally:
         rows.unpersist()
-    hits = [r["hits"] for r in found]
-    start = np.array([r["toxic"] for r in found], float)
+    hits = Hits(found.column("hits"))
+    start = found.column("toxic").to_numpy().astype(float)
     posterior = label_model(vote(hits, lexicon), start)
     return Model(lexicon, linear(hits, posterior, len(lexicon.names)))
 
 
-def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """All columns of a table and a column __score."""
+def scored(docs: DataFrame, model: Model, name: str = "score_of_text") -> DataFrame:
+    """All columns of a table and the score as a column with a name that the table lacks."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -240,18 +255,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
         mine = shared.value
         for batch in batches:
             score = [mine.score(mine.lexicon.hits(text, known)) for text in text_bytes(batch.column("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64())], [*batch.schema.names, name])
 
-    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField("__score", DoubleType())]))
+    return docs.mapInArrow(work, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def scores(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """One row per document: doc_id, held_out, score, predicted."""
     rows = scored(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), train(docs, labels, sample))
-    return rows.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"),
-                       (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return rows.select("doc_id", held_out().alias("held_out"), F.col("score_of_text").alias("score"),
+                       (F.col("score_of_text") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def clean(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The rows of a table that are not predicted toxic, with all their columns."""
-    return scored(docs, train(docs, labels, sample)).where(F.col("__score") < THRESHOLD).drop("__score")
+    name = free_name(docs, "score_of_text")
+    return scored(docs, train(docs, labels, sample), name).where(F.col(name) < THRESHOLD).drop(name)

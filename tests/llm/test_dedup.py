@@ -41,6 +41,28 @@ def test_merge_verifies_equal_digests():
     assert [(x["digest"], x["check"], x["least"], x["n"]) for x in out] == [(b"a" * 32, 1, 2, 3), (b"a" * 32, 2, 4, 1), (b"b" * 32, 1, 3, 1)]
 
 
+def test_multiway_merge_of_sorted_runs(monkeypatch):
+    """Any number of runs; only their order is used, nothing is sorted again."""
+    r = np.random.default_rng(2)
+    rows = np.zeros(4000, exact_dedup.ENTRY)
+    rows["digest"] = [bytes([x]) * 31 + b"\0" for x in r.integers(0, 40, 4000)]
+    rows["check"], rows["size"] = r.integers(-3, 3, 4000), r.integers(0, 3, 4000)
+    rows["least"], rows["n"] = r.integers(0, 10**6, 4000), r.integers(1, 4, 4000)
+    cuts = np.sort(r.integers(0, 4000, 8))
+    runs = [exact_dedup.sorted_run(part) for part in np.split(rows, cuts)]
+    want = {}
+    for digest, check, size, least, n in rows.tolist():
+        old = want.get((digest, check, size), (least, 0))
+        want[digest, check, size] = (min(old[0], least), old[1] + n)
+    for name in ("sort", "argsort", "lexsort"):
+        monkeypatch.setattr(np, name, None)
+    got = exact_dedup.merged(runs)
+    monkeypatch.undo()
+    assert {(d, c, s): (least, n) for d, c, s, least, n in got.tolist()} == want and len(got) == len(want)
+    assert [x[:3] for x in got.tolist()] == sorted(want, key=lambda k: (k[0].ljust(32, b"\0"), k[1], k[2]))
+    assert len(exact_dedup.merged([])) == 0 and (exact_dedup.merged([runs[3]]) == runs[3]).all()
+
+
 def plain_near(rows, percent=85):
     sets = {}
     for i, t in rows:

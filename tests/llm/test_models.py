@@ -220,3 +220,26 @@ def test_language_fusion(make_docs, spark):
     assert all(0 < r.posterior <= 1 for r in got)
     assert language_id.identify(table.limit(0), docs.limit(0)).count() == 0
     assert {r.lang for r in language_id.identify(table, docs.limit(0)).collect()} == {None}
+
+
+def test_a_rare_language_is_kept(make_docs, spark):
+    rows = [(k, talk("aa", k, 5)) for k in range(1500)] + [(5000, "zorp zorpi zorpo zorpe")]
+    got = language_id.identify(spark.createDataFrame([(1, None, '<html lang="cc"><p>zorpi zorpo</p></html>')], "page_id long, url string, html string"),
+                               make_docs(rows, lambda t: "cc" if t.startswith("zorp") else "aa")).collect()
+    assert {r.lang for r in got if r.doc_id == 5000 or r.page_id == 1} == {"cc"}
+    assert {r.lang for r in got if r.doc_id is not None and r.doc_id < 5000} == {"aa"}
+
+
+def test_mixing_shows_what_it_reached(make_docs, make_labels):
+    rows, marks = labelled()
+    got = mixing.rates(make_docs(rows), make_labels(marks), {"high": 0.5, "low": 0.5}).first()
+    assert (got.target_high, got.target_low, got.target_toxic) == (0.5, 0.5, 0.0)
+    assert (got.reached_high + got.reached_low + got.reached_toxic) == pytest.approx(1, abs=1e-6)
+    assert got.reached_high / got.reached_low == pytest.approx(1, rel=1e-2)
+
+
+def test_targets_out_of_reach_end_and_show(make_docs, make_labels):
+    """Equal texts have equal posteriors, so no rates can tell the domains apart."""
+    docs, labels = make_docs([(k, "same words here") for k in range(40)]), make_labels([(k, k % 2, 0) for k in range(40)])
+    got = mixing.rates(docs, labels, {"high": 0.9, "low": 0.1}).first()
+    assert got.target_high == 0.9 and abs(got.reached_high - 0.9) > 0.1

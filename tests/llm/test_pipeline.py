@@ -84,6 +84,22 @@ def test_odd_and_empty_tables_go_through(spark):
         for _, stage in corpus_pipeline.STAGES[:3]:
             table = saved(stage(spark, table, SF), "odd")
         assert table.count() == rows
+        for _, stage in corpus_pipeline.STAGES[3:]:
+            table = saved(stage(spark, table, SF), "odd")
+        assert {r.doc_id for r in table.collect()} <= ({1, 3} if rows else set())
+
+
+def test_clashing_names_go_through(spark):
+    from pyspark.sql import functions as F
+
+    names = ["score_of_text", "copy_id", "copy_sha", "gone_id", "gone_key", "mix_id", "mix_copies", "mix_copy", "__score", "__id", "__sha", "__copies", "__copy"]
+    docs = documents(spark, SF).withColumns({n: F.lit(n) for n in names})
+    table = docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        table = saved(stage(spark, table, SF), "clash")
+        assert table.columns == docs.columns
+    first = table.first()
+    assert first and all(first[n] == n for n in names)
 
 
 def test_queries_match_sql(spark):
