@@ -205,12 +205,12 @@ def _sections(ctx):
     return quality.airline_sections(risk(ctx), 15)
 
 
-@query("risk_route_airline_pivot", "route_label:s A0:i A1:i A2:i all_airlines_total:i", sql("""
+@query("risk_route_airline_pivot", "route_label:s A0:i A1:i A2:i A3:i A4:i all_airlines_total:i", sql("""
   SELECT route_label, """ + ", ".join(f"sum(CASE WHEN airline = 'A{i}' THEN total_change_events ELSE 0 END) AS A{i}"
-                                      for i in range(3)) + """, sum(total_change_events) AS all_airlines_total
+                                      for i in range(5)) + """, sum(total_change_events) AS all_airlines_total
   FROM risk GROUP BY 1""", needs="changes", ctes=RISK_CTES))
 def _risk_pivot(ctx):
-    return quality.route_airline_pivot(risk(ctx), [f"A{i}" for i in range(3)])
+    return quality.route_airline_pivot(risk(ctx))
 
 
 @query("risk_top_routes", _RISK, sql("""SELECT * FROM risk ORDER BY risk_score DESC, total_change_events DESC,

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from farescope.functions import SERIES_KEY, clip, ewm_last, ewm_series, ratio, split_medians, top
 from farescope.operators.rollups import DAILY_KEY
+from farescope.session import work_dir
 from farescope.sources import latest_meta
 
 # Fixed targets and code values.
@@ -218,22 +219,35 @@ def _f1(side: str) -> Column:
     return F.when((tp + fp + fn) > 0, score)
 
 
-def error_metrics(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Error and direction metrics per model, and per ``by`` group."""
-    out = long.groupBy(*by, "model").agg(*_metrics())
-    out = out.withColumns({"f1_up": _f1("up"), "f1_down": _f1("down"),
-                           "directional_accuracy_pct": ratio(F.col("hits"), F.col("n_directional")) * 100.0})
+def _figures(sums: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rates of the summed counts."""
+    out = sums.withColumns({"f1_up": _f1("up"), "f1_down": _f1("down"),
+                            "directional_accuracy_pct": ratio(F.col("hits"), F.col("n_directional")) * 100.0})
     macro = F.coalesce((F.col("f1_up") + F.col("f1_down")) / 2, "f1_up", "f1_down")
     return out.withColumn("f1_macro", macro).select(
         *by, "model", "n", "mae", "rmse", "mape_pct", "smape_pct", "n_directional", "directional_accuracy_pct", "f1_up",
         "f1_down", "f1_macro")
 
 
+def error_metrics(long: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Error and direction metrics per model, and per ``by`` group."""
+    return _figures(long.groupBy(*by, "model").agg(*_metrics()), by)
+
+
+def error_metrics_sets(long: DataFrame, keys: Sequence[str] = SERIES_KEY) -> DataFrame:
+    """Metrics per model overall and per series in one read; ``overall`` tells the rows of all series, whose keys are null."""
+    sums = long.groupingSets([["model"], [*keys, "model"]], *keys, "model").agg((F.grouping_id() > 0).alias("overall"), *_metrics())
+    return _figures(sums, ["overall", *keys])
+
+
 def evaluate(df: DataFrame, target: str, columns: Sequence[str] | None = None,
              keys: Sequence[str] = SERIES_KEY) -> tuple[DataFrame, DataFrame]:
-    """Metrics per model overall, and per series."""
-    long = long_predictions(df, target, columns, keys)
-    return error_metrics(long), error_metrics(long, keys)
+    """Metrics per model overall, and per series: two views of one stored aggregate."""
+    both = error_metrics_sets(long_predictions(df, target, columns, keys), keys)
+    path = work_dir(df.sparkSession, "evaluation")
+    both.write.parquet(path)
+    stored = df.sparkSession.read.schema(both.schema).parquet(path)
+    return stored.where("overall").drop("overall", *keys), stored.where("NOT overall").drop("overall")
 
 
 def _ranked(evals: DataFrame, scope: Sequence[str], metric: str, coverage: float) -> DataFrame:

@@ -248,9 +248,12 @@ def airline_sections(risk: DataFrame, n: int) -> DataFrame:
         "availability_change_events", "price_change_events", "flights_affected", "risk_flags")
 
 
-def route_airline_pivot(risk: DataFrame, airlines: Sequence[str], n: int | None = None) -> DataFrame:
-    """Events per route label and listed carrier, and the total over all carriers."""
+def route_airline_pivot(risk: DataFrame, airlines: Sequence[str] | None = None, n: int | None = None) -> DataFrame:
+    """Events per route label and carrier, and the total over all carriers; without a list, a column for every carrier in the data."""
     events = F.col("total_change_events")
+    if airlines is None:
+        # One narrow row per carrier.
+        airlines = sorted(r[0] for r in risk.where("airline IS NOT NULL").select("airline").distinct().collect())
     pivoted = risk.groupBy("route_label").agg(
         *[F.coalesce(F.sum(F.when(F.col("airline") == a, events)), F.lit(0)).alias(a) for a in airlines],
         F.coalesce(F.sum(events), F.lit(0)).alias("all_airlines_total"))
