@@ -59,7 +59,8 @@ def _captured(ctx):
 
 
 def cells(ctx, **options):
-    top = monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx))
+    # A row per route, stored since its size is checked before it is broadcast.
+    top = stored(ctx, "monitor-routes", lambda: monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx)))
     return monitor.monitor_cells(_captured(ctx), ctx.meta_with(_SIDE), top, capture="capture", **options)
 
 

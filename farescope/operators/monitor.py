@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from farescope.functions import ROUTE, any_of, clock, first_rows, route_key, top
+from farescope.functions import ROUTE, any_of, bounded_broadcast, clock, first_rows, route_key, top
 
 _GROUP_PARTS = ["route_key", "airline", "flight_number", "departure_time", "cabin", "aircraft", "search_trip_type",
                 "requested_return_date", "leg_direction"]
@@ -37,7 +37,7 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
         "search_trip_type", "trip_origin", "trip_destination", "leg_direction", *_TRIP)
     rows = offers
     if routes is not None:
-        rows = rows.join(routes.select(*ROUTE), ROUTE, "left_semi")
+        rows = rows.join(bounded_broadcast(routes.select(*ROUTE)), ROUTE, "left_semi")
     rows = rows.join(side, "offer_id", "left")
     gap = F.col("price_total") - F.col("fare_amount")
     if dialect == "bq":
@@ -56,14 +56,13 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
     price, seats = F.col("price_total"), F.col("seat_available")
 
     def at(value: Column, sign: int) -> Column:
-        order = F.struct(price.isNull(), price * sign, seats.isNull(), -seats, value)
-        return F.min_by(value, F.when(value.isNotNull(), order))
+        order = F.struct(price.isNull(), price * sign, seats.isNull(), -seats, value.alias("value"))
+        return F.min(F.when(value.isNotNull(), order))["value"]
 
     keys = {
         "cycle_id": F.col("cycle_id"), "captured_at_utc": F.col(capture), "airline": F.col("airline"),
-        "origin": F.col("origin"), "destination": F.col("destination"), "route_key": route_key(),
-        "flight_number": F.col("flight_number"), "departure_utc": F.col("departure"),
-        "departure_date": F.to_date("departure"), "departure_time": clock("departure"), "cabin": F.col("cabin"),
+        "origin": F.col("origin"), "destination": F.col("destination"),
+        "flight_number": F.col("flight_number"), "departure_utc": F.col("departure"), "cabin": F.col("cabin"),
         "aircraft": F.coalesce("aircraft", F.lit("")),
         "search_trip_type": F.coalesce("search_trip_type", F.lit("OW")),
         "trip_origin": F.coalesce("trip_origin", "origin"),
@@ -81,6 +80,9 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
         F.max("load_factor_pct").cast("decimal(6,2)").alias("load_factor_pct"),
         F.max(F.coalesce("soldout", F.lit(False))).alias("soldout"),
     )
+    # What follows from the keys is spelled out per cell, not shuffled with the rows.
+    cells = cells.withColumns({
+        "route_key": route_key(), "departure_date": F.to_date("departure_utc"), "departure_time": clock("departure_utc")})
     return cells.withColumns({
         "booking_class": F.col("min_booking_class"), "seat_available": F.col("min_seat_available"),
         "trip_pair_key": F.concat("trip_origin", F.lit("-"), "trip_destination"),
