@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel, RandomForestClassifier
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression, LinearRegression, RandomForestRegressor
@@ -147,7 +147,7 @@ def move_classifier(states: DataFrame, features: FeatureSet, test_fraction: floa
     # A penalty of one on the sum over rows; the objective here is their mean.
     model = LogisticRegression(family="multinomial", maxIter=1000, regParam=1.0 / max(ready.count(), 1), standardization=False).fit(ready)
     text = F.element_at(F.array(*[F.lit(c) for c in classes]), F.col("prediction").cast("int") + 1)
-    scored = model.transform(prep.transform(test)).select(F.col("label_text").alias("label"), text.alias("predicted"))
+    scored = _bare(model, states).transform(prep.transform(test)).select(F.col("label_text").alias("label"), text.alias("predicted"))
     majority = train.agg(F.mode("label_text", True)).scalar()
     both = scored.withColumn("model", F.lit("logistic")).unionByName(
         test.select(F.lit("majority").alias("model"), F.col("label_text").alias("label"), majority.alias("predicted")))
@@ -155,6 +155,14 @@ def move_classifier(states: DataFrame, features: FeatureSet, test_fraction: floa
     return {"skipped": False, "metrics": _confusion(both), "top_features": top_features(prep, weights, ready)}
 
 
+def _bare(model: LogisticRegressionModel, frame: DataFrame) -> LogisticRegressionModel:
+    """A logistic model without its training summary: that of two classes holds the session, which can't go to a task once a
+    table was observed in it. A copy keeps the summary, a stored model does not."""
+    path = work_dir(frame.sparkSession, "logistic")
+    model.write().save(path)
+    return LogisticRegressionModel.load(path)
+
+
 def delta_regressor(states: DataFrame, features: FeatureSet, test_fraction: float = 0.2, min_rows: int = 100,
                     alpha: float = 1.0) -> dict:
     """Ridge regression of the next price change against the training median."""
@@ -233,6 +241,7 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
     ready, test_ready = prep.transform(filled).withColumn("weight", weight), prep.transform(tested)
     forest = RandomForestClassifier(labelCol="moved", weightCol="weight", numTrees=params.trees, maxDepth=params.max_depth,
                                     minInstancesPerNode=2, seed=params.seed).fit(ready)
+    forest = forest.copy()  # without the summary, see _bare; trees need not be stored for that
 
     def score(df: DataFrame) -> DataFrame:
         return forest.transform(df).withColumn("p_move", vector_to_array("probability")[1]).drop(
@@ -244,7 +253,7 @@ def two_stage(states: DataFrame, features: FeatureSet, params: TwoStageParams |
         scored = fitted.transform(scored).drop("p_move").withColumnRenamed("prediction", "p_move")
     elif params.calibration == "sigmoid":
         as_vector = VectorAssembler(inputCols=["p_move"], outputCol="p_vector")
-        fitted = LogisticRegression(featuresCol="p_vector", labelCol="moved").fit(as_vector.transform(score(ready)))
+        fitted = _bare(LogisticRegression(featuresCol="p_vector", labelCol="moved").fit(as_vector.transform(score(ready))), states)
         scored = fitted.transform(as_vector.transform(scored)).withColumn("p_move", vector_to_array("probability")[1]).drop(
             "rawPrediction", "probability", "prediction", "p_vector")
     moves = ready.where("moved = 1")

@@ -5,6 +5,7 @@ from datetime import date, datetime
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from farescope.functions import ewm_last, ewm_series, field_display_name, split_via, stops_label
@@ -225,6 +226,31 @@ def test_two_stage_leaves_out_numbers_without_values(spark):
     assert not result["skipped"] and result["scored"].count() == 24
 
 
+@pytest.mark.parametrize("calibration", ["none", "isotonic", "sigmoid"])
+def test_two_stage_after_a_table_was_observed(spark, calibration):
+    # The session then holds something that can't go to a task.
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    schema = """flight_key string, probe_join_id string, adt_count int, observed_at_utc timestamp_ntz, x double,
+        y_next_search_lowest_fare_delta double"""
+    made = [(str(i), "p", 1, datetime(2024, 1, 1 + i // 24, i % 24), float(i % 7), float(i % 7 > 2 and i % 5 > 0)) for i in range(120)]
+    params = models.TwoStageParams(trees=2, max_depth=2, calibration=calibration)
+    scored = models.two_stage(spark.createDataFrame(made, schema), models.FeatureSet(numeric=["x"]), params)["scored"].collect()
+    assert len(scored) == 24 and all(0 <= r["p_move"] <= 1 for r in scored)
+
+
+def test_move_classifier_of_two_classes_after_a_table_was_observed(spark):
+    seen = Observation()
+    spark.range(3).observe(seen, F.count("*").alias("n")).collect()
+    assert seen.get == {"n": 3}
+    schema = """flight_key string, probe_join_id string, adt_count int, observed_at_utc timestamp_ntz, x double,
+        y_next_search_price_move_class string"""
+    made = [(str(i), "p", 1, datetime(2024, 1, 1 + i // 24, i % 24), float(i % 7), "up" if i % 7 > 2 else "down") for i in range(120)]
+    got = models.move_classifier(spark.createDataFrame(made, schema), models.FeatureSet(numeric=["x"]))["metrics"].collect()
+    assert {r["model"]: r["rows"] for r in got} == {"logistic": 24, "majority": 24}
+
+
 def test_route_reports_query_covers_all_routes(spark, monkeypatch):
     from types import SimpleNamespace
 
