@@ -13,6 +13,8 @@ from tokenizers import Tokenizer
 CACHE_PIECES = 600_000
 #: Slots of the table of pieces.
 SLOTS = 1 << 21
+#: Unknown pieces that are encoded as one text.
+JOINED = 200
 #: Pieces up to this length are looked up by their bytes in vectors, longer ones in a dict.
 SHORT = 24
 
@@ -47,6 +49,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = plain
         self.spaced = spaced
+        # A space between pieces changes nothing, unless a special token takes or holds white space.
+        self.joins = not spaced and not any(
+            t.lstrip or t.rstrip or any(map(str.isspace, t.content)) for t in self.tokenizer.get_added_tokens_decoder().values())
         self.reset()
 
     def reset(self) -> None:
@@ -72,8 +77,7 @@ class Encoder:
         first = self.n
         for at in range(0, len(pieces), 20_000):
             part = pieces[at : at + 20_000]
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            lengths = np.fromiter(map(len, found), np.int64, len(found))
+            found, lengths = self._joined(part) if self.joins else self._single(part)
             total = int(lengths.sum())
             while self.n + len(part) > len(self.starts):
                 self.starts, self.lengths = np.resize(self.starts, 2 * len(self.starts)), np.resize(self.lengths, 2 * len(self.lengths))
@@ -88,6 +92,21 @@ class Encoder:
             self.n += len(part)
         return first
 
+    def _single(self, pieces: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return found, np.fromiter(map(len, found), np.int64, len(found))
+
+    def _joined(self, pieces: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        """Ids in runs, and their number for each piece: texts of many pieces are encoded, and a token belongs to the piece it starts in."""
+        runs = [pieces[at : at + JOINED] for at in range(0, len(pieces), JOINED)]
+        found, counts = [], []
+        for run, e in zip(runs, self.tokenizer.encode_batch(list(map(" ".join, runs)), add_special_tokens=False)):
+            firsts = np.cumsum([0, *(len(x) + 1 for x in run)])
+            begins = np.fromiter((a for a, _ in e.offsets), np.int64, len(e))
+            counts.append(np.diff(np.searchsorted(begins, firsts)))
+            found.append(e.ids)
+        return found, np.concatenate(counts)
+
     def _long(self, pieces: list[str]) -> list[int]:
         fresh = [x for x in dict.fromkeys(pieces) if x not in self.long]
         if fresh:

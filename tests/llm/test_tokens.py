@@ -35,6 +35,23 @@ def test_encoder_equals_whole_texts(name, spaced):
         assert [list(x) for x in np.split(flat, np.cumsum(counts)[:-1])] == want
 
 
+def test_unknown_words_are_encoded_together():
+    path = vocabulary("word_bpe_49k.json")
+    r = random.Random(5)
+    fresh = sorted({"".join(r.choice("abcdeéßX9.,'\u0301") for _ in range(r.randint(1, 40))) for _ in range(5000)}) + ["<|endoftext|>"]
+    encoder, calls = Encoder(path, spaced=False), []
+
+    class Told:
+        def __getattr__(self, name):
+            return lambda texts, **how: calls.append(len(texts)) or getattr(Tokenizer.from_file(path), name)(texts, **how)
+
+    encoder.tokenizer = Told()
+    flat, counts = encoder.encode([x.encode() for x in fresh])
+    assert [list(x) for x in np.split(flat, np.cumsum(counts)[:-1])] == [
+        e.ids for e in Tokenizer.from_file(path).encode_batch(fresh, add_special_tokens=False)]
+    assert sum(calls) < len(fresh) / 50
+
+
 def test_packing(make_docs):
     path = vocabulary("byte_bpe_50k.json")
     rows = ODD + [(100 + k, words(k, 17 * (k % 23))) for k in range(120)]
