@@ -5,9 +5,7 @@
 2. A class is posted under the coordinate-value pairs of its prefix, each a 64-bit name: two signatures that agree in at least m
    coordinates share a pair among any COORDINATES - m + 1 of either one, in whatever fixed order. Lists with one
    class, and lists with the same members as another list, go.
-3. Classes meet under the first of their pairs, then only the smallest class of each connected part of a list meets the other
-   parts, and whole lists are compared only where such parts stay apart. A group of near copies thus does not cost its size in
-   each of the lists it shares. Within a list, collisions are counted coordinate slab by slab. A pair whose remaining coordinates cannot reach
+3. Within a list, collisions are counted coordinate slab by slab. A pair whose remaining coordinates cannot reach
    m is skipped, and so is a pair that is already connected. What comes out is a spanning forest of the pairs
    above the match threshold, never all pairs.
 4. The forest's components are candidate groups. The whole texts of a group meet, and every link that could join two parts
@@ -38,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from farescope.llm.common import WordHashes, by_key, components, free_name, grouped, join_groups, maybe_in, mixed, parts, saved, shingles, text_bytes, word_hashes
+from farescope.llm.common import WordHashes, by_key, components, free_name, grouped, join_groups, maybe_in, mixed, saved, shingles, text_bytes, word_hashes
 
 WIDTH = 5
 COORDINATES = 64
@@ -121,12 +119,6 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"pair": names, "node": np.repeat(batch.column("node").to_numpy(), len(names) // batch.num_rows)})
 
 
-def _post_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for posted in _post([batch]):
-            yield posted.append_column("part", pa.array(np.repeat(batch.column("part").to_numpy(), posted.num_rows // batch.num_rows)))
-
-
 class Forest:
     """Union-find over positions 0 to n-1."""
 
@@ -271,50 +263,18 @@ def second_pass(first: DataFrame, keys: str) -> DataFrame | None:
     return None if rest.isEmpty() else rest
 
 
-def _met(members: DataFrame, signs: DataFrame, least: int, name: str) -> DataFrame:
-    """Links within lists; `members` has pair, node, leader and blocks."""
-    rows = in_blocks(members, "leader").select("pair", "node", "blocks", "block").join(signs, "node")
-    return saved(by_key(rows, ["pair", "block"], ["node"]).mapInArrow(_collide(least, SHORT), LINKS).distinct(), name)
-
-
-def _unrepeated_lists(members: DataFrame) -> DataFrame:
-    """Lists (pair, leader, blocks) of more than one class, one of those with the same classes."""
-    lists = members.groupBy("pair").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"),
-                                        F.min("node").alias("leader"))
-    return lists.where("n > 1").groupBy("n", "x", "y").agg(F.min("pair").alias("pair"), F.min("leader").alias("leader")).select(
-        "pair", "leader", F.ceil(F.col("n") / LIST_BLOCK).cast("bigint").alias("blocks"))
-
-
 def candidates(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Links (a, b) that connect all classes whose signatures are above the match threshold; `classes` has node, sign and posts.
-
-    A class meets others under its first pair alone, then what is connected so far is one part, and the smallest class of each
-    part of a list meets those of the other parts. Whole lists are compared only where parts of several classes are still apart.
-    """
+    """Links (a, b) that connect all classes whose signatures are above the match threshold; `classes` has node, sign and posts."""
     least = matches(percent)
+    posts = saved(classes.select("node", "posts").mapInArrow(_post, "pair long, node long"), "postings")
+    lists = posts.groupBy("pair").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(7))).alias("y"),
+                                      F.min("node").alias("leader"))
+    lists = lists.where("n > 1").groupBy("n", "x", "y").agg(F.min("pair").alias("pair"), F.min("leader").alias("leader")).select(
+        "pair", "leader", F.ceil(F.col("n") / LIST_BLOCK).cast("bigint").alias("blocks"))
     signs = classes.select("node", "sign")
-    first = classes.select("node", F.substring("posts", 1, 8).alias("posts")).mapInArrow(_post, "pair long, node long")
-    links = _met(first.join(_unrepeated_lists(first), "pair"), signs, least, "first").where("b IS NOT NULL").select("a", "b")
-    parts_of = components(links, "parts").withColumnsRenamed({"id": "node", "root": "part"})
-    named = classes.select("node", "posts").join(parts_of, "node", "left").select("posts", "node", F.coalesce("part", "node").alias("part"))
-    posts = saved(named.mapInArrow(_post_parts, "pair long, node long, part long"), "postings")
-    heads = posts.repartition(parts(posts.sparkSession), "pair").groupBy("pair", "part").agg(F.min("node").alias("node"), F.count("*").alias("held"))
-    sizes = heads.groupBy("pair").agg(F.count("*").alias("parts"), F.sum("held").alias("n")).where("parts > 1")
-    heads = saved(heads.join(sizes, "pair").select("pair", "node", "parts", "n"), "heads")
-    # Of lists with the same smallest classes one is enough here; each of them is looked at again below.
-    links = links.unionByName(_met(heads.select("pair", "node").join(_unrepeated_lists(heads), "pair"), signs, least, "met").where(
-        "b IS NOT NULL").select("a", "b"))
-    found = components(links, "joined")
-    stars = found.where("id <> root").select(F.col("id").alias("a"), F.col("root").alias("b"))
-    rooted = heads.where((F.col("parts") < F.col("n")) | (F.col("parts") > LIST_BLOCK)).join(
-        found.withColumnRenamed("id", "node"), "node", "left").select("pair", F.coalesce("root", "node").alias("root"))
-    still = saved(rooted.groupBy("pair").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("pair"), "apart")
-    if still.isEmpty():
-        return stars
-    posts = posts.join(still, "pair").select("pair", "node")
-    lists = _unrepeated_lists(posts)
-    first = _met(posts.join(lists, "pair"), signs, least, "collisions")
-    found = stars.unionByName(first.where("b IS NOT NULL").select("a", "b"))
+    members = in_blocks(posts.join(lists, "pair"), "leader").drop("leader").join(signs, "node")
+    first = saved(by_key(members, ["pair", "block"], ["node"]).mapInArrow(_collide(least, SHORT), LINKS).distinct(), "collisions")
+    found = first.where("b IS NOT NULL").select("a", "b")
     rest = second_pass(first, "pair")
     if rest is None:
         return found
