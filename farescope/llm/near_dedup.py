@@ -214,18 +214,31 @@ def _collide(least: int, short: int):
     return work
 
 
+def _led(own: np.ndarray, rest: np.ndarray) -> Forest:
+    """The parts of a block before the second pass: its own members that do not lie open are connected through the leader."""
+    forest = Forest(len(own))
+    led = np.flatnonzero(own & ~rest)
+    if len(led):
+        forest.root[led] = led[0]
+        forest.parts -= len(led) - 1
+    return forest
+
+
 def _collide_rest(least: int):
-    """Links between the members of a list that are not connected with its leader, and the members of another block."""
+    """Links between the members of a list that are not connected with its leader, and the members of another block.
+
+    What comes out of a block is a spanning forest, so its rows are no more than the members that lie open there.
+    """
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in grouped(batches, ["pair", "block"]):
             own = table.column("own").to_numpy(zero_copy_only=False)
             nodes, signs, rest = table.column("node").to_numpy(), _matrix(table), table.column("rest").to_numpy(zero_copy_only=False)
             here = np.flatnonzero(own)
-            out = []
+            forest, out = _led(own, rest), []
             for i in np.flatnonzero(~own):
                 # Of two that both lie open, the one with the smaller number goes to the other's block.
-                there = here[~rest[here] | (nodes[here] > nodes[i])]
-                out += [(int(nodes[j]), int(nodes[i])) for j in there[_agreeing(signs[i], signs[there], least)]]
+                there = here[(~rest[here] | (nodes[here] > nodes[i])) & (forest.root[here] != forest.root[i])]
+                out += [(int(nodes[j]), int(nodes[i])) for j in there[_agreeing(signs[i], signs[there], least)] if forest.join(int(i), int(j))]
             if out:
                 yield _links(out)
 
@@ -365,7 +378,8 @@ def _confirm(percent: int):
 
 
 def _confirm_rest(percent: int):
-    """Links on full sets between members of a group that are not connected with its leader, and the members of another block."""
+    """Links on full sets between members of a group that are not connected with its leader, and the members of another block;
+    a spanning forest of them for each block."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
         for table in grouped(unrepeated(batches), ["root", "block"]):
@@ -375,11 +389,12 @@ def _confirm_rest(percent: int):
             here = np.flatnonzero(own)
             if not len(here):
                 continue
-            sizes, counts, out = np.array([len(found[j]) for j in here]), Overlaps([found[j] for j in here]), []
+            sizes, counts = np.array([len(found[j]) for j in here]), Overlaps([found[j] for j in here])
+            forest, out = _led(own, rest), []
             for i in np.flatnonzero(~own):
                 both = counts.of(found[i])
                 good = (100 * both >= percent * (sizes + len(found[i]) - both)) & (~rest[here] | (nodes[here] > nodes[i]))
-                out += [(int(nodes[j]), int(nodes[i])) for j in here[good]]
+                out += [(int(nodes[j]), int(nodes[i])) for j in here[good] if forest.join(int(i), int(j))]
             yield _links(out)
 
     return work

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from shared import ODD, words
 from farescope.llm import exact_dedup, near_dedup
@@ -182,3 +183,26 @@ def test_components_of_random_links(spark, parts):
     got = {(x.id, x.root) for x in components(spark.createDataFrame(links, "a long, b long").repartition(parts), "random").collect()}
     assert got == want
     assert components(spark.createDataFrame([], "a long, b long"), "none").count() == 0
+
+
+@pytest.mark.parametrize("full_sets", [False, True])
+def test_second_pass_gives_a_spanning_forest(full_sets):
+    """Open members that are all alike are tied to a block with as many links as they are, not with all pairs."""
+    n, text = 40, " ".join(f"w{i}" for i in range(30))
+    own, rest = [i < n for i in range(2 * n)], [i % 2 == 1 or i >= n for i in range(2 * n)]
+    numbers = list(range(0, 2 * n, 2)) + list(range(1, 2 * n, 2))
+    table = {"root" if full_sets else "pair": pa.array([7] * 2 * n, pa.int64()), "block": pa.array([0] * 2 * n, pa.int64()),
+             "node": pa.array(numbers, pa.int64()), "own": pa.array(own), "rest": pa.array(rest)}
+    if full_sets:
+        table["text"] = pa.array([text] * 2 * n)
+    else:
+        table["sign"] = pa.array([bytes(2 * near_dedup.COORDINATES)] * 2 * n)
+    work = near_dedup._confirm_rest(85) if full_sets else near_dedup._collide_rest(40)
+    links = [(r["a"], r["b"]) for b in work(iter([pa.RecordBatch.from_pydict(table)])) for r in b.to_pylist()]
+    assert len(links) <= sum(rest)
+    led = [(numbers[0], x) for x, o, r in zip(numbers, own, rest) if o and not r]
+    part = {x: x for x in numbers}
+    for _ in numbers:
+        for a, b in links + led:
+            part[a] = part[b] = min(part[a], part[b])
+    assert len(set(part.values())) == 1
