@@ -29,7 +29,6 @@ SEAT_SEMANTICS: Mapping[str, tuple[str, int | None]] = {
 def prepare_rows(joined: DataFrame) -> DataFrame:
     """Clean joined offer and side-car rows and add the bucket code and calendar columns."""
     bucket = F.coalesce(*[blank_to_null(F.col(c)) for c in ("fare_basis", "booking_class", "brand")], F.lit("UNK"))
-    hours = (F.unix_timestamp("departure") - F.unix_timestamp("captured_at")) / 3600.0
     casts = {c: F.col(c).cast("double") for c in ("price_total", "tax_amount")}
     casts.update({c: F.col(c).try_cast("int") for c in ("seat_capacity", "seat_available", "duration_min", "adt_count",
                                                          "chd_count", "inf_count")})
@@ -37,12 +36,19 @@ def prepare_rows(joined: DataFrame) -> DataFrame:
         **casts,
         "airline": F.upper("airline"), "origin": F.upper("origin"), "destination": F.upper("destination"),
         "soldout": F.coalesce(F.col("soldout"), F.lit(False)),
-    }).withColumns({
-        "bucket_code": bucket, "route_key": route_key(), "departure_date": F.to_date("departure"),
-        "dep_weekday": F.weekday("departure"), "dep_month": F.month("departure"),
-        "dep_time_min": F.hour("departure") * 60 + F.minute("departure"), "search_hour": F.hour("captured_at"),
-        "hours_to_departure": hours, "days_to_departure": F.floor(hours / 24.0).cast("int"),
-    })
+    }).withColumns({"bucket_code": bucket, **_derived(), **_calendar()})
+
+
+def _derived() -> dict[str, Column]:
+    """Parts of the state key that follow from others."""
+    return {"route_key": route_key(), "departure_date": F.to_date("departure")}
+
+
+def _calendar() -> dict[str, Column]:
+    hours = (F.unix_timestamp("departure") - F.unix_timestamp("captured_at")) / 3600.0
+    return {"dep_weekday": F.weekday("departure"), "dep_month": F.month("departure"),
+            "dep_time_min": F.hour("departure") * 60 + F.minute("departure"), "search_hour": F.hour("captured_at"),
+            "days_to_departure": F.floor(hours / 24.0).cast("int"), "hours_to_departure": hours}
 
 
 def _semantics(table: Mapping[str, tuple[str, int | None]]) -> tuple[Column, Column]:
@@ -53,12 +59,16 @@ def _semantics(table: Mapping[str, tuple[str, int | None]]) -> tuple[Column, Col
     return F.coalesce(F.try_element_at(mode, F.col("airline")), F.lit("unknown")), cap
 
 
-def inventory_states(rows: DataFrame, semantics: Mapping[str, tuple[str, int | None]] = SEAT_SEMANTICS) -> DataFrame:
+def inventory_states(prepared: DataFrame, semantics: Mapping[str, tuple[str, int | None]] = SEAT_SEMANTICS) -> DataFrame:
     """One row per flight, capture and party: its fare ladder, seats, censoring and pressure.
 
-    Offers are first reduced to one row per bucket; a state then holds only its handful of fare
-    buckets, which the array expressions read. Open buckets count; where none is open, priced ones do.
+    Prepared offers are shuffled once, to their states, as they are: half-made aggregates of a bucket are wider than the few
+    rows they stand for. What follows from the key is left out and added again there. Then they are reduced to one row per
+    bucket, so a state holds only its handful of fare buckets, which the array expressions read. Open buckets count; where
+    none is open, priced ones do.
     """
+    derived, calendar = _derived(), _calendar()
+    rows = prepared.drop(*derived, *calendar).repartition(*[k for k in STATE_KEY if k not in derived]).withColumns(derived)
     price, seats = F.col("price_total"), F.col("seat_available")
     priced = price.isNotNull()
     is_open = priced & ~F.col("soldout")
@@ -71,18 +81,17 @@ def inventory_states(rows: DataFrame, semantics: Mapping[str, tuple[str, int | N
                                                         F.col("bucket_code").alias("c"), value.alias("v")))).alias(f"f_{name}")
 
     led = ["aircraft", "duration_min", "arrival", "inventory_confidence"]
-    calendar = ["dep_weekday", "dep_month", "dep_time_min", "search_hour", "days_to_departure", "hours_to_departure"]
     confidence = F.nullif(F.lower(F.trim("inventory_confidence")), F.lit(""))
     buckets = rows.groupBy(*STATE_KEY, "bucket_code").agg(
         F.min(F.when(is_open, pick)).alias("open_pick"), F.min(F.when(priced, pick)).alias("priced_pick"),
         F.max("soldout").alias("any_soldout"), F.max("seat_capacity").alias("cap"),
-        F.collect_set(confidence).alias("confidences"), *[leading(c) for c in led], *[F.first(c).alias(c) for c in calendar])
+        F.collect_set(confidence).alias("confidences"), *[leading(c) for c in led])
     state = buckets.groupBy(*STATE_KEY).agg(
         F.collect_list(F.struct("bucket_code", "open_pick", "priced_pick")).alias("b"),
         F.max(F.col("open_pick").isNotNull()).alias("is_available"),
         F.count("priced_pick").alias("priced_bucket_count"), F.count_if("any_soldout").alias("soldout_bucket_count"),
         F.max("cap").alias("capacity_physical"), F.array_distinct(F.flatten(F.collect_list("confidences"))).alias("confidences"),
-        *[F.min(f"f_{c}").alias(f"f_{c}") for c in led], *[F.first(c).alias(c) for c in calendar])
+        *[F.min(f"f_{c}").alias(f"f_{c}") for c in led]).withColumns(calendar)
     chosen = F.transform("b", lambda x: F.struct(
         F.when(F.col("is_available"), x["open_pick"]).otherwise(x["priced_pick"]).alias("p"), x["bucket_code"].alias("code")))
     ladder = F.array_sort(F.transform(F.filter(chosen, lambda x: x["p"].isNotNull()), lambda x: F.struct(

@@ -1,5 +1,6 @@
 """What is shuffled, and how often state is asked: plans and counts that must not grow faster than the input."""
 
+import re
 from contextlib import contextmanager, redirect_stdout
 from io import StringIO
 
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 
 from farescope import fixtures
-from farescope.catalog import change_source, q_monitor  # noqa: F401
+from farescope.catalog import base, change_source, q_inventory, q_monitor  # noqa: F401
 from farescope.catalog.base import Context
 from farescope.operators import monitor
 
@@ -105,3 +106,30 @@ def test_repeats_ask_the_state_once_a_cycle():
     assert pairs.waiting == {(1,): ("49", "r49"), (2,): ("5", "first")} and pairs.waiting.asked == 2
     list(pairs.handleInputRows(("x",), iter([batch.head(10)]), None))
     assert pairs.waiting[(1,)] == ("49", "r49")
+
+
+def test_partitions_follow_the_line_items(spark, tables, monkeypatch):
+    names = ("spark.sql.shuffle.partitions", "spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    before = [spark.conf.get(n) for n in names]
+    try:
+        base.run(spark, tables, "dq_duplicates")
+        assert [spark.conf.get(n) for n in names] == before
+        monkeypatch.setattr(base, "ROWS_A_TASK", 4)
+        base.run(spark, tables, "dq_duplicates")
+        # 60 line items.
+        assert [spark.conf.get(n) for n in names] == ["15", "16m"]
+        spark.conf.set(names[0], "40")
+        base.run(spark, tables, "dq_duplicates")
+        assert spark.conf.get(names[0]) == "40"
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+
+
+def test_offers_are_shuffled_to_their_states_once(spark, tables):
+    with no_broadcast_by_size(spark):
+        states = q_inventory.computed_states(Context(spark, tables))
+        text = plan(states)[1]
+    assert len(re.findall(r"Exchange hashpartitioning\(cycle_id#\d+, probe_group_id", text)) == 1
+    row = states.where("adt_count IS NOT NULL").first()
+    assert (row["route_key"], row["dep_time_min"]) == (f"{row['origin']}-{row['destination']}", row["departure"].hour * 60 + row["departure"].minute)
