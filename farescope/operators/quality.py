@@ -39,6 +39,40 @@ def dq_duplicates(offers: DataFrame) -> DataFrame:
     )
 
 
+def _core_totals(offers: DataFrame) -> DataFrame:
+    """One row with the figures of ``dq_summary``, ``dq_duplicates`` and ``core_nulls``, from one reading of the offers.
+
+    Offers are counted by the nine key columns first. Missing values of six of them are seen in the keys, the others are counted.
+    """
+    keys = ["cycle_id", "airline", "origin", "destination", "flight_number", "departure"]
+    filled = ["cabin", "fare_basis", "brand"]
+    counted = [f for f in CORE_FIELDS if f not in keys]
+    groups = offers.groupBy(*keys, *[F.coalesce(c, F.lit("")).alias(f"filled_{c}") for c in filled]).agg(
+        F.count("*").alias("n"), F.min("captured_at").alias("first_at"), F.max("captured_at").alias("last_at"),
+        *[F.count_if(F.col(f).isNull()).alias(f"n_{f}") for f in counted])
+    n, zero = F.col("n"), F.lit(0)
+    missing = {f: F.col(f"n_{f}") if f in counted else F.when(F.col(f).isNull(), n).otherwise(zero) for f in CORE_FIELDS}
+    return groups.agg(
+        F.coalesce(F.sum(n), zero).alias("total_rows"), F.countDistinct("cycle_id").alias("cycle_count"),
+        F.countDistinct("airline", "origin", "destination").alias("observed_route_count"),
+        F.min("first_at").alias("min_captured_at"), F.max("last_at").alias("max_captured_at"),
+        F.coalesce(F.sum(F.greatest(n - 1, zero)), zero).alias("duplicate_rows"), F.count_if(n > 1).alias("duplicate_keys"),
+        *[F.coalesce(F.sum(c), zero).alias(f"null_{f}") for f, c in missing.items()])
+
+
+def _meta_totals(offers: DataFrame, meta: DataFrame) -> DataFrame:
+    """One row with the figures of ``meta_nulls`` and ``meta_coverage``, from one join. Only flags of the fields are shuffled."""
+    flags = {f"null_{f}": F.col(f).isNull() for f in META_FIELDS}
+    flags |= {s: F.coalesce(F.col("inventory_confidence") == s, F.lit(False)) for s in ("reported", "unknown")}
+    side = latest_meta(meta.select("offer_id", "meta_id", *[c.alias(n) for n, c in flags.items()]))
+    rows = offers.select("offer_id").join(side, "offer_id", "left")
+    # An offer without a side-car lacks every field.
+    return rows.agg(
+        F.count("*").alias("rows_seen"), F.count("meta_id").alias("rows_with_raw_meta"),
+        *[F.count_if(F.coalesce(f"null_{f}", F.lit(True))).alias(f"null_{f}") for f in META_FIELDS],
+        F.count_if("reported").alias("reported_count"), F.count_if("unknown").alias("unknown_count"))
+
+
 def _null_counts(df: DataFrame, fields: Sequence[str], scope: str, extra: Sequence[Column] = ()) -> DataFrame:
     """One aggregate over all fields, then one row per field."""
     wide = df.agg(F.count("*").alias("rows_seen"), *extra,
@@ -109,32 +143,33 @@ def dq_report(offers: DataFrame, meta: DataFrame, routes: DataFrame,
               scope: dict[str, str] | None = None) -> DataFrame:
     """The whole quality report as (category, metric, value, notes), values as text."""
     c = F.col
-    total = offers.agg(F.count("*")).scalar()
     summary_time = "yyyy-MM-dd HH:mm:ss"
-    summary = _metric_rows(dq_summary(offers), [
+
+    def nulls(category: str, fields: Sequence[str], seen: str) -> list[tuple[str, str, Column, str]]:
+        return [(category, f"{f}{suffix}", value, "") for f in fields for suffix, value in (
+            ("_null_count", c(f"null_{f}")), ("_null_rate_pct", pct(c(f"null_{f}"), c(seen), 4)))]
+
+    core = _metric_rows(_core_totals(offers), [
         ("summary", "total_rows", c("total_rows"), ""),
         ("summary", "cycle_count", c("cycle_count"), ""),
         ("summary", "observed_route_count", c("observed_route_count"), ""),
         ("summary", "min_captured_at", F.date_format("min_captured_at", summary_time), ""),
         ("summary", "max_captured_at", F.date_format("max_captured_at", summary_time), ""),
         *[("scope", name, F.lit(value), "") for name, value in (scope or {}).items()],
-    ])
-    duplicates = _metric_rows(dq_duplicates(offers), [
         ("duplicates", "duplicate_rows", c("duplicate_rows"), ""),
         ("duplicates", "duplicate_keys", c("duplicate_keys"), ""),
-        ("duplicates", "duplicate_row_rate_pct", pct(c("duplicate_rows"), total, 4), ""),
+        ("duplicates", "duplicate_row_rate_pct", pct(c("duplicate_rows"), c("total_rows"), 4), ""),
+        *nulls("null_core", CORE_FIELDS, "total_rows"),
     ])
-    nulls = dq_nulls(offers, meta).select(F.inline(F.array(*[
-        F.struct(c("scope").alias("category"), F.concat("field", F.lit(suffix)).alias("metric"),
-                 c(value).cast("string").alias("value"), F.lit("").alias("notes"))
-        for suffix, value in (("_null_count", "null_count"), ("_null_rate_pct", "null_rate_pct"))
-    ])))
-    coverage = _metric_rows(meta_coverage(offers, meta), [
+    side = _metric_rows(_meta_totals(offers, meta), [
+        *nulls("null_raw_meta", META_FIELDS, "rows_seen"),
         ("raw_meta", "rows_seen", c("rows_seen"), ""),
         ("raw_meta", "rows_with_raw_meta", c("rows_with_raw_meta"), ""),
-        ("raw_meta", "raw_meta_coverage_pct", c("raw_meta_coverage_pct"), ""),
-        *[("inventory", n, c(n), "") for n in ("reported_count", "unknown_count", "reported_rate_pct",
-                                               "unknown_rate_pct")],
+        ("raw_meta", "raw_meta_coverage_pct", pct(c("rows_with_raw_meta"), c("rows_seen"), 4), ""),
+        ("inventory", "reported_count", c("reported_count"), ""),
+        ("inventory", "unknown_count", c("unknown_count"), ""),
+        ("inventory", "reported_rate_pct", pct(c("reported_count"), c("rows_seen"), 4), ""),
+        ("inventory", "unknown_rate_pct", pct(c("unknown_count"), c("rows_seen"), 4), ""),
     ])
     route = _metric_rows(dq_route_coverage(offers, routes), [
         ("route_coverage", "expected_route_count", c("expected_route_count"), "configured routes under the filters"),
@@ -142,7 +177,7 @@ def dq_report(offers: DataFrame, meta: DataFrame, routes: DataFrame,
         ("route_coverage", "coverage_pct", c("coverage_pct"), ""),
         ("route_coverage", "missing_routes", c("missing_routes"), ""),
     ])
-    return summary.unionByName(duplicates).unionByName(nulls).unionByName(coverage).unionByName(route)
+    return core.unionByName(side).unionByName(route)
 
 
 _PIVOT_METRICS = ["total_rows", "cycle_count", "observed_route_count", "duplicate_row_rate_pct",

@@ -10,7 +10,7 @@ import pytest
 from farescope import fixtures
 from farescope.catalog import base, change_source, q_inventory, q_monitor  # noqa: F401
 from farescope.catalog.base import Context
-from farescope.operators import monitor
+from farescope.operators import monitor, quality
 
 NAMES = {
     "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 1)]),
@@ -133,3 +133,26 @@ def test_offers_are_shuffled_to_their_states_once(spark, tables):
     assert len(re.findall(r"Exchange hashpartitioning\(cycle_id#\d+, probe_group_id", text)) == 1
     row = states.where("adt_count IS NOT NULL").first()
     assert (row["route_key"], row["dep_time_min"]) == (f"{row['origin']}-{row['destination']}", row["departure"].hour * 60 + row["departure"].minute)
+
+
+def test_quality_report_reads_offers_with_side_cars_once(spark, tables):
+    ctx = Context(spark, tables)
+    # Repeats, and rows of which every field is missing.
+    offers = ctx.offers.unionByName(ctx.offers.limit(7)).unionByName(ctx.offers.limit(3).selectExpr("offer_id", *[f"CAST(NULL AS {t}) AS {n}" for n, t in ctx.offers.dtypes[1:]]))
+    offers = offers.localCheckpoint()
+    routes = spark.createDataFrame([("A1", "R0", "R1"), ("A9", "R0", "R1")], "airline string, origin string, destination string")
+    report = quality.dq_report(offers, ctx.meta, routes)
+    assert plan(report)[0].split("== Optimized Logical Plan ==")[1].count("Join LeftOuter") == 1
+    got = {(r["category"], r["metric"]): r["value"] for r in report.collect()}
+    for r in quality.dq_nulls(offers, ctx.meta).collect():
+        assert got[r["scope"], f"{r['field']}_null_count"] == str(r["null_count"])
+        assert got[r["scope"], f"{r['field']}_null_rate_pct"] == str(r["null_rate_pct"])
+    for one in (quality.dq_summary(offers), quality.dq_duplicates(offers), quality.meta_coverage(offers, ctx.meta)):
+        row = one.first().asDict()
+        for (category, metric), value in got.items():
+            if metric in row and category != "route_coverage":
+                assert value == str(row[metric])
+    # No rows give figures as well.
+    none = {(r["category"], r["metric"]): r["value"] for r in quality.dq_report(offers.limit(0), ctx.meta, routes).collect()}
+    assert none["summary", "total_rows"] == none["duplicates", "duplicate_rows"] == none["null_core", "brand_null_count"] == "0"
+    assert none["null_core", "brand_null_rate_pct"] is None and none["null_raw_meta", "soldout_null_count"] == "0" and set(none) == set(got)
