@@ -115,6 +115,26 @@ def test_response_that_is_flat_already(spark):
     assert (got[0]["airline"], got[0]["seat_available"], got[0]["baggage"], got[0]["departure"]) == ("ZQ", 4, "5 KG", datetime(2031, 7, 5, 21, 40))
 
 
+def test_grouped_payload_is_parsed_once(spark):
+    df = spark.createDataFrame([("{}",)], "payload string")
+    plan = payloads.flatten_gds(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
+def test_grouped_response_of_odd_shapes(spark):
+    flat_price = {"alternatives": [{"amount": 20, "currency": "BDT"}]}
+    odd = [gds_offer("8", itineraryPart=[None, {"segments": ["x", None]}, {"stops": 3}], itineraryParts=[], total=flat_price, cabinClass="Y", origin="QQZ"),
+           gds_offer("9", itineraryPart={"segments": [{"flightNumber": 9}]}, total={"alternatives": "none"}, fare=None, taxes=[1]),
+           gds_offer("10", segments=[{"flightNumber": "10", "stops": "two"}], status=7, soldout=False), "no offer"]
+    del odd[2]["itineraryPart"]
+    df = spark.createDataFrame([(json.dumps({"offers": odd}),)], "payload string")
+    got = payloads.flatten_gds(df, keep_soldout=True)
+    assert rows(got.where("total_amount = 20"), "flight_number", "cabin", "origin", "stops", "currency") == [
+        (None, "Y", "QQZ", 3, "BDT"), (None, "Y", "QQZ", None, "BDT"), (None, "Y", None, 0, "BDT"), (None, "Y", None, 0, "BDT")]
+    assert rows(got.where("flight_number IS NOT NULL"), "flight_number", "soldout", "total_amount", "stops") == [
+        ("10", True, Decimal("93.75"), 0), ("9", False, None, 0)]
+
+
 def test_block_response(spark):
     leg = {"flight": "ZQ-51", "type": "E95", "TOD": "2031-07-05T06:10:00", "TOA": "2031-07-05T08:00:00", "stops": 2}
     fares = {"LT": {"one": 2210, "all": 2210, "seats": 9}, "MX": {"one": 4480, "all": 4480, "seats": None}}
