@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -224,5 +225,33 @@ def test_bloom_filter_never_forgets():
     assert (np.ceil(bloom_lm.BASE ** (bloom_lm.levels(counts) - 1) - 1e-9) <= counts).all()
 
 
+def _most(work) -> int:
+    """Most bytes that numpy and Python hold at once for some work."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_little_beside_their_block_and_filter():
+    words = np.random.default_rng(5).integers(1, 50_000, 1_000_000).astype(np.uint64)
+    made = []
+    assert _most(lambda: made.append(bloom_lm._block(0, [1, 2], [False, True], [words[:600_000].copy(), words[600_000:].copy()]))) < 45 * len(words)
+    row = made[0].to_pylist()[0]
+    vocabulary = np.frombuffer(row["vocabulary"], np.uint64)
+    assert (vocabulary[bloom_lm.numbers(row["words"])] == words).all()
+    assert (np.frombuffer(row["train"], np.int64) == np.bincount(words[:600_000].astype(int), minlength=50_000)[vocabulary.astype(int)]).all()
+    keys = np.unique(words * np.uint64(0x9E3779B97F4A7C15)).repeat(20) + np.arange(20 * 50_000, dtype=np.uint64)[: 20 * len(np.unique(words))]
+    assert _most(lambda: bloom_lm.bloom(keys, np.ones(len(keys), np.int64))) < 45 * len(keys)
+
+
+def test_rounds_are_even():
+    sizes = dict.fromkeys(range(20), 5)
+    assert [len(r) for r in bloom_lm.rounds(sizes, 90)] == [11, 9] and bloom_lm.rounds({}, 90) == [[]]
+    assert all(5 * len(r) <= 40 for r in bloom_lm.rounds(sizes, 40))
+
+
 def test_bounded_rounds():
     assert bloom_lm.rounds({0: 5, 1: 5, 2: 9, 3: 1, 4: 20}, 10) == [[0, 1], [2, 3], [4]]
