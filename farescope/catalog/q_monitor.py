@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql, stored
 from farescope.catalog.q_reporting import NEWEST, newest, recent, tax
-from farescope.functions import bounded_broadcast
+from farescope.functions import ROUTE, bounded_broadcast
 from farescope.operators import cycles, monitor, operations
 
 _TOP = f"""toproutes AS (SELECT origin, destination, origin || '-' || destination AS route_key, count(*) AS row_count
@@ -52,16 +52,19 @@ _PG = "coalesce(tax_amount, greatest(price_total - fare_amount, 0))"
 _CELLS = f"{_TOP}, {_CAP}, {_cells(_PG)}"
 
 
-def _captured(ctx):
+def _captured(ctx, offers):
     """Offers with the capture time of their cycle, so a cycle is one column of the matrix."""
     times = cycles.cycle_times(ctx.capture_times).withColumnRenamed("captured_at", "capture")
-    return ctx.offers.join(bounded_broadcast(times), "cycle_id")
+    return offers.join(bounded_broadcast(times), "cycle_id")
 
 
-def cells(ctx, **options):
-    # A row per route, stored since its size is checked before it is broadcast.
-    top = stored(ctx, "monitor-routes", lambda: monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx)))
-    return monitor.monitor_cells(_captured(ctx), ctx.meta_with(_SIDE), top, capture="capture", **options)
+def cells(ctx, offers=None, meta=None, **options):
+    # A row per route, stored since its size is checked before it is broadcast. Their counts are not needed here, and without
+    # them Spark leaves out the side-car of the whole table.
+    top = stored(ctx, "monitor-routes", lambda: monitor.top_monitor_routes(ctx.offers, ctx.meta_with(""), newest(ctx)).select(*ROUTE))
+    offers = ctx.sharing.offers if offers is None else offers
+    meta = ctx.sharing.meta_with(_SIDE) if meta is None else meta
+    return monitor.monitor_cells(_captured(ctx, offers), meta, top, capture="capture", **options)
 
 
 _CELL_COLS = ("cycle_id:s captured_at_utc:t flight_group_id:s departure_date:D trip_request_id:s trip_origin:s "

@@ -55,9 +55,27 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
     code = F.coalesce("booking_class", "fare_basis")
     price, seats = F.col("price_total"), F.col("seat_available")
 
-    def at(value: Column, sign: int) -> Column:
-        order = F.struct(price.isNull(), price * sign, seats.isNull(), -seats, value.alias("value"))
-        return F.min(F.when(value.isNotNull(), order))["value"]
+    # Rows with class and seats settle both at once; those without one of them need a struct of their own. It is mostly NULL,
+    # so an end of a cell is shuffled as one struct and not as one for each value.
+    none = price.isNull().alias("none")
+    ends = {}
+    for end, first in (("low", price), ("high", -price)):
+        first = first.alias("price")
+        ends[f"__{end}_both"] = F.when(code.isNotNull() & seats.isNotNull(), F.struct(none, first, (-seats).alias("seats"), code.alias("code")))
+        ends[f"__{end}_code"] = F.when(code.isNotNull() & seats.isNull(), F.struct(none, first, code.alias("code")))
+        ends[f"__{end}_seats"] = F.when(code.isNull() & seats.isNotNull(), F.struct(none, first, (-seats).alias("seats")))
+
+    def candidate(name: str, no_seats: bool, value: str) -> Column:
+        found = F.col(name)
+        parts = {"none": found["none"], "price": found["price"], "no_seats": F.lit(no_seats),
+                 "seats": F.lit(None) if no_seats else found["seats"], "value": found[value]}
+        return F.when(found.isNotNull(), F.struct(*[c.alias(n) for n, c in parts.items()]))
+
+    def code_at(end: str) -> Column:
+        return F.least(candidate(f"__{end}_both", False, "code"), candidate(f"__{end}_code", True, "code"))["value"]
+
+    def seats_at(end: str) -> Column:
+        return -F.least(candidate(f"__{end}_both", False, "seats"), candidate(f"__{end}_seats", False, "seats"))["value"]
 
     keys = {
         "cycle_id": F.col("cycle_id"), "captured_at_utc": F.col(capture), "airline": F.col("airline"),
@@ -74,12 +92,15 @@ def monitor_cells(offers: DataFrame, meta: DataFrame, routes: DataFrame | None =
         F.min(price).cast("decimal(12,2)").alias("min_total_price_bdt"),
         F.max(price).cast("decimal(12,2)").alias("max_total_price_bdt"),
         F.max(amount).cast("decimal(12,2)").alias("tax_amount"),
-        at(code, 1).alias("min_booking_class"), at(code, -1).alias("max_booking_class"),
-        at(seats, 1).alias("min_seat_available"), at(seats, -1).alias("max_seat_available"),
+        *[F.min(c).alias(n) for n, c in ends.items()],
         F.max("seat_capacity").alias("seat_capacity"),
         F.max("load_factor_pct").cast("decimal(6,2)").alias("load_factor_pct"),
         F.max(F.coalesce("soldout", F.lit(False))).alias("soldout"),
     )
+    cells = cells.withColumns({
+        "min_booking_class": code_at("low"), "max_booking_class": code_at("high"),
+        "min_seat_available": seats_at("low"), "max_seat_available": seats_at("high"),
+    }).drop(*ends)
     # What follows from the keys is spelled out per cell, not shuffled with the rows.
     cells = cells.withColumns({
         "route_key": route_key(), "departure_date": F.to_date("departure_utc"), "departure_time": clock("departure_utc")})

@@ -1,5 +1,6 @@
 """What is shuffled, and how often state is asked: plans and counts that must not grow faster than the input."""
 
+import random
 import re
 from contextlib import contextmanager, redirect_stdout
 from io import StringIO
@@ -10,6 +11,7 @@ import pytest
 from farescope import fixtures
 from farescope.catalog import base, change_source, q_inventory, q_monitor  # noqa: F401
 from farescope.catalog.base import Context
+from pyspark.sql import functions as F
 from farescope.operators import monitor, quality
 
 NAMES = {
@@ -156,3 +158,59 @@ def test_quality_report_reads_offers_with_side_cars_once(spark, tables):
     none = {(r["category"], r["metric"]): r["value"] for r in quality.dq_report(offers.limit(0), ctx.meta, routes).collect()}
     assert none["summary", "total_rows"] == none["duplicates", "duplicate_rows"] == none["null_core", "brand_null_count"] == "0"
     assert none["null_core", "brand_null_rate_pct"] is None and none["null_raw_meta", "soldout_null_count"] == "0" and set(none) == set(got)
+
+
+@contextmanager
+def not_adaptive(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        with no_broadcast_by_size(spark):
+            yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_offers_and_side_cars_share_a_shuffle_of_the_line_items(spark, tables):
+    ctx = Context(spark, tables)
+    with not_adaptive(spark):
+        text = plan(q_monitor.cells(ctx))[1]
+        assert len(re.findall(r"- Exchange hashpartitioning\(l_orderkey", text)) == 1 and "ReusedExchange" in text
+    plain = lambda df, c: sorted(tuple(map(str, r)) for r in df.select(*sorted(c)).collect())
+    assert plain(ctx.sharing.offers, ctx.offers.columns) == plain(ctx.offers, ctx.offers.columns)
+    assert plain(ctx.sharing.meta, ctx.meta.columns) == plain(ctx.meta, ctx.meta.columns)
+
+
+def test_monitor_routes_take_no_side_car(spark, tables):
+    ctx = Context(spark, tables)
+    base._STORED.pop((fixtures.session_key(spark), tables, "monitor-routes"), None)
+    q_monitor.cells(ctx)
+    path, schema = base._STORED[fixtures.session_key(spark), tables, "monitor-routes"]
+    assert schema.fieldNames() == ["origin", "destination"]
+    assert sorted(map(tuple, spark.read.parquet(path).collect())) == sorted(
+        {(r[0], r[1]) for r in ctx.offers.where("cycle_id = '1998-04-01'").select("origin", "destination").collect()})
+
+
+def test_stored_tables_leave_no_shuffle(spark, tables):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, seen = spark.conf.get(name), []
+    with base.shuffles_removed(spark):
+        seen.append(spark.conf.get(name))
+    assert seen == ["true"] and spark.conf.get(name) == before
+
+
+def test_ends_of_a_cell_with_missing_classes_and_seats(spark, tables):
+    """Against the definition: rows in order of price, seats and value, those without the value left out."""
+    ctx, chosen = Context(spark, tables), random.Random(7)
+    n = 400
+    made = [(f"x{i}", f"C{i % 60}", chosen.choice([None, 10, 20, 30]), chosen.choice([None, 1, 2, 3]), chosen.choice([None, "Y", "M"])) for i in range(n)]
+    rows = spark.createDataFrame(made, "offer_id string, cycle_id string, price_total int, seat_available int, fare_basis string")
+    offers = ctx.offers.limit(1).drop("offer_id", "cycle_id", "price_total", "seat_available", "fare_basis").crossJoin(
+        rows.withColumn("price_total", F.col("price_total").cast("decimal(12,2)"))).localCheckpoint()
+    got = {r["cycle_id"]: r for r in monitor.monitor_cells(offers, ctx.meta.limit(0)).collect()}
+    for cycle in {m[1] for m in made}:
+        mine = [m[2:] for m in made if m[1] == cycle]
+        for sign, end in ((1, "min"), (-1, "max")):
+            def first(value):
+                found = [((p is None, sign * (p or 0)), (s is None, -(s or 0)), v) for p, s, c in mine for v in [s if value else c] if v is not None]
+                return min(found)[2] if found else None
+            assert (got[cycle][f"{end}_booking_class"], got[cycle][f"{end}_seat_available"]) == (first(False), first(True))
