@@ -3,9 +3,9 @@
 from pyspark.sql import functions as F
 
 from farescope.catalog.base import query, sql, stored
-from farescope.catalog.q_reporting import NEWEST, newest, recent, tax
-from farescope.functions import ROUTE, bounded_broadcast
-from farescope.operators import cycles, monitor, operations
+from farescope.catalog.q_reporting import NEWEST, newest, recent
+from farescope.functions import ROUTE, bounded_broadcast, shuffled_once
+from farescope.operators import cycles, monitor, operations, reporting
 
 _TOP = f"""toproutes AS (SELECT origin, destination, origin || '-' || destination AS route_key, count(*) AS row_count
   FROM offers LEFT JOIN meta USING (offer_id) WHERE cycle_id = {NEWEST} GROUP BY 1, 2)"""
@@ -89,7 +89,10 @@ _BQ = """coalesce(CASE WHEN tax_amount > 0 THEN tax_amount END, CASE WHEN lk > 0
     max(CAST({_PG} AS DECIMAL(12,2))) AS lk FROM offers JOIN meta USING (offer_id) GROUP BY ALL),
   {_cells(_BQ, "LEFT JOIN lookup USING (cycle_id, airline, origin, destination, flight_number, departure, cabin)")}"""))
 def _cells_bq(ctx):
-    return cells(ctx, dialect="bq", tax=tax(ctx))
+    # The cells and the tax fact join the same offers with the same side-cars: both are dealt by offer once.
+    offers = shuffled_once(ctx.sharing.offers, "offer_id")
+    meta = shuffled_once(ctx.sharing.meta_with(f"{_SIDE} currency").drop("meta_id"), "offer_id")
+    return cells(ctx, offers, meta, dialect="bq", tax=reporting.tax_snapshot(offers, meta))
 
 
 _MATRIX = _CELLS + f""",

@@ -175,6 +175,9 @@ def test_offers_and_side_cars_share_a_shuffle_of_the_line_items(spark, tables):
     with not_adaptive(spark):
         text = plan(q_monitor.cells(ctx))[1]
         assert len(re.findall(r"- Exchange hashpartitioning\(l_orderkey", text)) == 1 and "ReusedExchange" in text
+        both = plan(q_monitor._cells_bq(ctx))[1]
+        # Offers and side-cars: an exchange each, for the cells and for the tax lookup.
+        assert len(re.findall(r"- Exchange hashpartitioning\(offer_id", both)) == 2
     plain = lambda df, c: sorted(tuple(map(str, r)) for r in df.select(*sorted(c)).collect())
     assert plain(ctx.sharing.offers, ctx.offers.columns) == plain(ctx.offers, ctx.offers.columns)
     assert plain(ctx.sharing.meta, ctx.meta.columns) == plain(ctx.meta, ctx.meta.columns)
