@@ -12,7 +12,7 @@ from farescope import fixtures
 from farescope.catalog import base, change_source, q_inventory, q_monitor  # noqa: F401
 from farescope.catalog.base import Context
 from pyspark.sql import functions as F
-from farescope.operators import monitor, quality
+from farescope.operators import ingest, monitor, quality
 
 NAMES = {
     "nation": ("n_nationkey int, n_name string, n_regionkey int", [(0, "N", 0), (1, "M", 1)]),
@@ -217,3 +217,29 @@ def test_ends_of_a_cell_with_missing_classes_and_seats(spark, tables):
                 found = [((p is None, sign * (p or 0)), (s is None, -(s or 0)), v) for p, s, c in mine for v in [s if value else c] if v is not None]
                 return min(found)[2] if found else None
             assert (got[cycle][f"{end}_booking_class"], got[cycle][f"{end}_seat_available"]) == (first(False), first(True))
+
+
+def test_backfill_joins_offers_and_side_cars_once(spark, tables, monkeypatch):
+    ctx = Context(spark, tables)
+    store = spark.createDataFrame([("p1", '{"fare_ref_num":"S1","source":"x"}'), ("p2", None)], "fingerprint string, payload_json string")
+    names = ("meta_id string, offer_id string, fare_ref_num string, fare_search_reference string, raw_offer string, payload_fingerprint string, arrival timestamp_ntz, "
+             + ", ".join(f"{n} string" for n in ("inventory_confidence", "source_endpoint", "departure_tz_offset", "arrival_tz_offset")) + ", "
+             + ", ".join(f"{n} timestamp_ntz" for n in ("departure_local", "departure_utc", "arrival_utc")) + ", adt_count int, chd_count int, inf_count int")
+    # Two rows of one offer, a row of an offer that is not there, and one of none; other offers have no row.
+    made = [("m1", "1-1-1-1", None, None, None, "p1"), ("m2", "1-1-1-1", "F", None, '{"fare_ref_num":"own","fare_search_reference":"s"}', "p1"),
+            ("m3", "nowhere", None, None, None, "p2"), ("m4", None, None, None, "no json", None)]
+    meta = spark.createDataFrame([(*r, *[None] * 11) for r in made], names)
+    offers = ctx.offers.where("offer_id IN ('1-1-1-1', '1-2-1-1')").localCheckpoint()
+    show = lambda df: sorted(tuple(map(str, r)) for r in df.select("meta_id", "offer_id", "fare_ref_num", "fare_search_reference", "source_endpoint", "adt_count").collect())
+    filled, counts = ingest.backfill_meta(offers, meta, store, ctx.offsets)
+    want = [("1-2-1-1#0", "1-2-1-1", "None", "None", "legacy/unknown", "1"), ("m1", "1-1-1-1", "S1", "None", "legacy/unknown", "1"),
+            ("m2", "1-1-1-1", "F", "s", "legacy/unknown", "1"), ("m3", "nowhere", "None", "None", "None", "1"), ("m4", "None", "None", "None", "None", "1")]
+    assert show(filled) == want
+    assert {r["step"]: r["rows"] for r in counts.collect()} == {
+        "insert_missing_raw_meta": 1, "inventory_confidence": 2, "source_endpoint": 2, "pax_defaults": 4, "departure_timestamps": 2, "arrival_timestamps": 2, "fare_references": 2}
+    text = plan(filled)[0].split("== Optimized Logical Plan ==")[1]
+    assert "LeftAnti" not in text and text.count("Join FullOuter") == 1 and "__salt" not in text
+    # A store of many payloads is joined by salted keys.
+    monkeypatch.setattr(ingest, "bounded_broadcast", lambda df: df)
+    many = ingest.backfill_meta(offers, meta, store, ctx.offsets)[0]
+    assert show(many) == want and "__salt" in plan(many)[0]
