@@ -1,6 +1,7 @@
 """Hand-computed cases: odd inputs, ties, missing values and kept quirks."""
 
 import json
+import re
 from datetime import date, datetime
 from decimal import Decimal
 
@@ -146,6 +147,29 @@ def test_block_response(spark):
     assert {r["price_total"] for r in got.collect()} == {2210, 4480}
 
 
+def test_block_payload_is_walked_over_once(spark):
+    df = spark.createDataFrame([("{}",)], "payload string")
+    plan = payloads.flatten_blocks(df)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and not re.search(r"Generate \w+\(try_variant_get", plan)
+
+
+def test_block_response_of_odd_shapes(spark):
+    flight = {"itinerary": [None, {"flight": "not this"}], "familyFares": {"A": {"one": 5, "hold": "so"}, "B": None, "C": 7, "D": {"all": "x", "inventory": {"seatsLeft": 3}}}}
+    listed = {"itinerary": [{"flight": 8, "stops": ["Q", None]}], "familyFares": {"E": {"one": "12.5", "seats": 0, "id": "e"}}}
+    flights = [flight, listed, listed, "x", None, {"itinerary": [], "familyFares": {"F": {}}}, {"itinerary": {"flight": "f"}, "familyFares": {"G": {}}},
+               {"itinerary": ["text"], "familyFares": {"H": {"one": {"a": 1}}}}, {"itinerary": [{"stops": "3"}]}]
+    response = {"flightSelections": {"currency": "BDT", "fareFamilies": [[{"code": "E", "name": "Eco", "cabin": "C"}], {"title": "no code"}], "flightBlocks": [
+        {"from": "QQA", "into": {"k": 1}, "flightDates": [None, {"date": 5, "flights": flights}, {"date": "d", "flights": "none"}]}, "block", {"flightDates": {}}]},
+        "flightSearchModel": {"flightSearchData": {"adultCount": "two", "childCount": 1}}}
+    df = spark.createDataFrame([(json.dumps(response),), ("no json",), (None,), ('{"flightSelections": []}',)], "payload string")
+    got = payloads.flatten_blocks(df)
+    assert rows(got, "fare_basis", "fare_id", "flight_number", "search_date", "destination", "stops", "price_total", "seat_available", "soldout", "brand", "cabin", "adt_count", "chd_count") == sorted([
+        ("A", "", None, "5", '{"k":1}', 0, 5, 0, True, "A", "Economy", None, 1), ("B", "", None, "5", '{"k":1}', 0, None, None, False, "B", "Economy", None, 1),
+        ("C", "", None, "5", '{"k":1}', 0, None, None, False, "C", "Economy", None, 1), ("D", "", None, "5", '{"k":1}', 0, None, 3, False, "D", "Economy", None, 1),
+        ("E", "e", "8", "5", '{"k":1}', 2, Decimal("12.5"), 0, True, "Eco", "Business", None, 1),
+        ("H", "", None, "5", '{"k":1}', 0, None, None, False, "H", "Economy", None, 1)], key=str)
+
+
 def test_via_texts_and_labels(spark):
     df = spark.createDataFrame([("aaa, BBB|x|AAA", "2", "total_price_bdt"), (None, "x", "my_field"), ("", "0", " ")],
                                "v string, s string, f string")
