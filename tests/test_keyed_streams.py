@@ -129,3 +129,26 @@ def test_days_close_once_with_exact_counts(spark, tmp_path):
     keyed.write_append(live.day_rollups(live.stream_files(spark, feed, events.schema, 1), "36 hours"), out, checkpoint)
     got, want = spark.read.option("recursiveFileLookup", True).parquet(out), rollups.daily_rollups(events)
     assert rows(got, *want.columns) == rows(want, *want.columns)
+
+
+def test_repeats_of_a_file_are_settled_before_the_shuffle(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    names = pa.schema([("cycle_no", pa.int64()), ("identity", pa.string()), ("newer", pa.string()), ("row", pa.string())])
+    made = [(1 + i % 2, "ab"[i // 2 % 2], f"{i:03d}", f"r{i}") for i in range(40)] + [(1, None, None, None), (2, "a", None, "x")]
+    parts = [pa.RecordBatch.from_pylist([dict(zip(names.names, r)) for r in made[i:i + 6]], names) for i in range(0, len(made), 6)]
+    found = [tuple(r.values()) for b in keyed.settle_repeats(iter(parts)) for r in b.to_pylist()]
+    assert sorted(found, key=str) == sorted([(1, "a", "036", "r36"), (2, "a", "037", "r37"), (1, "b", "038", "r38"), (2, "b", "039", "r39"), *made[40:]], key=str)
+    # In pieces, more rows stay, and the newest are among them.
+    monkeypatch.setattr(keyed, "SETTLED", 6)
+    pieces = [tuple(r.values()) for b in keyed.settle_repeats(iter(parts)) for r in b.to_pylist()]
+    assert len(found) < len(pieces) < len(made) and set(found) <= set(pieces)
+
+
+def test_a_cycle_is_fed_without_a_shuffle(spark, tmp_path):
+    table = spark.createDataFrame(DAYS[1] * 3, OFFER).repartition(6)
+    table.write.parquet(f"{tmp_path}/rows")
+    keyed.feed_cycle(spark.read.parquet(f"{tmp_path}/rows"), f"{tmp_path}/feed", f"{tmp_path}/markers", 1, "C1", 2)
+    names = [p.name for p in (tmp_path / "feed").glob("part-*.parquet")]
+    assert len(names) <= 3 and sum(".zstd." in n for n in names) >= 1
+    assert spark.read.parquet(f"{tmp_path}/feed").where("row IS NOT NULL").count() == 9
